@@ -163,14 +163,18 @@ def judge_scores(raw: Column) -> Column:
     text = _unfenced(raw)
     block = F.regexp_extract(text, r"(?s)\{[^{}]*\}", 0)
     parsed = F.from_json(F.when(block != "", block).otherwise(text), "map<string,string>")
-    values = [F.try_element_at(parsed, F.lit(d)).try_cast("double") for d in JUDGE_DIMENSIONS]
-    bad = F.lit(False)
-    for v in values:
-        bad = bad | v.isNull()
-    return F.struct(
-        *[F.when(~bad, v).alias(d) for d, v in zip(JUDGE_DIMENSIONS, values)],
-        bad.alias("parse_error"),
-    )
+
+    def read(m: Column) -> Column:
+        values = [F.try_element_at(m, F.lit(d)).try_cast("double") for d in JUDGE_DIMENSIONS]
+        bad = F.lit(False)
+        for v in values:
+            bad = bad | v.isNull()
+        return F.struct(
+            *[F.when(~bad, v).alias(d) for d, v in zip(JUDGE_DIMENSIONS, values)],
+            bad.alias("parse_error"),
+        )
+
+    return F.transform(F.array(parsed), read)[0]
 
 
 def passes_judge(scores: list[Column], threshold: float) -> Column:

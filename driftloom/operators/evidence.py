@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftloom.config import DriftConfig
-from driftloom.operators.timeline import exact, ranked, row_blocks
+from driftloom.operators.timeline import TOTAL, exact, ranked, row_blocks
 
 CFG = DriftConfig()
 
@@ -33,7 +33,7 @@ def evidence_stats(
     hit = F.col("composite") >= cfg.anomalous_at
     x = F.when(hit, exact(F.col("composite")))
     xx = F.when(hit, exact(F.col("composite") * F.col("composite")))
-    zero = F.lit(0).cast("decimal(38,10)")
+    zero = F.lit(0).cast(TOTAL)
     rows = rows.withColumns(
         {
             "_n": F.count(x).over(upto),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from driftloom.config import DIMENSIONS, DriftConfig
-from driftloom.operators.timeline import ranked
+from driftloom.operators.timeline import ranked, whole_part
 
 CFG = DriftConfig()
 FAN_IN = 1000
@@ -82,7 +82,7 @@ def moving_baseline(
         return F.transform("_rows", lambda r: F.struct(r["rn"].alias("rn"), r[d].alias("x")))
 
     blocks = (
-        rows.withColumn("_node", F.floor(F.col("rn") / FAN_IN))
+        rows.withColumn("_node", whole_part(F.col("rn"), FAN_IN))
         .groupBy(*keys, "_node")
         .agg(in_order.alias("_rows"))
         .select(
@@ -110,7 +110,7 @@ def moving_baseline(
     )
     for _ in range(levels):
         blocks = (
-            blocks.withColumn("_up", F.floor(F.col("_node") / FAN_IN))
+            blocks.withColumn("_up", whole_part(F.col("_node"), FAN_IN))
             .groupBy(*keys, "dim", "_up")
             .agg(
                 F.sum("n_events").alias("n_events"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from driftloom.operators.timeline import HOUR_US, ranked
+from driftloom.operators.timeline import HOUR_US, ranked, whole_part
 from driftloom.session import cut
 
 
@@ -56,7 +56,7 @@ def ordered_fold(
 
     rows = cut(
         ranked(df, keys, order, ts, bucket_us, "_rn")
-        .withColumn("_chunk", F.floor(F.col("_rn") / F.lit(fold_rows)))
+        .withColumn("_chunk", whole_part(F.col("_rn"), fold_rows))
         .drop("_rn")
     )
     by = [*keys, "_chunk"]

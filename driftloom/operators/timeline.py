@@ -13,8 +13,14 @@ from pyspark.sql import Window as W
 
 HOUR_US = 3_600_000_000
 # Exact running totals: differences of totals then lose nothing to rounding.
-EXACT = "decimal(28,10)"
-EXACT_LIMIT = 1e15
+EXACT = "decimal(33,18)"
+TOTAL = "decimal(38,18)"
+EXACT_LIMIT = 1e14
+
+
+def whole_part(a: Column, b: int) -> Column:
+    """Integer quotient, without the rounding of a double division."""
+    return F.call_function("div", a, F.lit(b))
 
 
 def ranked(
@@ -26,7 +32,7 @@ def ranked(
     out: str = "rn",
 ) -> DataFrame:
     """Adds the 0-based position of each row in its key's order, as one global `row_number`."""
-    rows = df.withColumn("_bucket", F.floor(F.col(ts) / F.lit(bucket_us)))
+    rows = df.withColumn("_bucket", whole_part(F.col(ts), bucket_us))
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -42,7 +48,7 @@ def ranked(
 
 
 def exact(value: Column) -> Column:
-    """Value as a decimal with 10 places, clamped to where decimals can hold it."""
+    """Value as a decimal with 18 places, clamped to where decimals can hold it."""
     top = F.lit(EXACT_LIMIT)
     return F.least(F.greatest(value, -top), top).cast(EXACT)
 
@@ -66,14 +72,14 @@ def trailing_means(
     """
     span = span_s * 1_000_000
     longest = max(windows_s.values()) * 1_000_000
-    own = F.floor(F.col(ts) / F.lit(span))
-    reach = F.floor((F.col(ts) + F.lit(longest)) / F.lit(span))
+    own = whole_part(F.col(ts), span)
+    reach = whole_part(F.col(ts) + F.lit(longest), span)
     rows = df.withColumn("_own", own).withColumn("_span", F.explode(F.sequence(own, reach)))
 
     part = W.partitionBy(*keys, "_span")
     upto = part.orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     x = exact(F.col(value))
-    zero = F.lit(0).cast("decimal(38,10)")
+    zero = F.lit(0).cast(TOTAL)
     cols = {"_sum": F.sum(x).over(upto), "_cnt": F.count(value).over(upto)}
     for name, w in windows_s.items():
         before = part.orderBy(ts).rangeBetween(W.unboundedPreceding, -(w * 1_000_000 + 1))
@@ -93,8 +99,8 @@ def row_blocks(df: DataFrame, rn: str, block_rows: int, halo_rows: int) -> DataF
 
     Adds `_block` and `_halo` (true on the copies).
     """
-    own = F.floor(F.col(rn) / F.lit(block_rows))
-    last = F.floor((F.col(rn) + F.lit(halo_rows)) / F.lit(block_rows))
+    own = whole_part(F.col(rn), block_rows)
+    last = whole_part(F.col(rn) + F.lit(halo_rows), block_rows)
     return df.withColumn("_own", own).withColumn(
         "_block", F.explode(F.sequence(own, last))
     ).withColumn("_halo", F.col("_block") != F.col("_own")).drop("_own")

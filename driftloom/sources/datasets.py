@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from driftloom.functions.text import chat_text, strip
 from driftloom.schemas import DPO_ROW, FAILURE_ROW, SFT_ROW
+from driftloom.sources.signals import complete
 
 
 def failure_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,12 +36,9 @@ def failure_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def parse_lines(lines: DataFrame, schema: T.StructType, value: str = "value"):
     """(rows, rejects) of JSON lines; blank lines are skipped, incomplete rows rejected."""
-    filled = lines.filter(strip(F.col(value)) != "").withColumn("_r", F.from_json(value, schema))
-    good = F.lit(True)
-    for name in schema.fieldNames():
-        good = good & F.col("_r")[name].isNotNull()
-    good = F.coalesce(good, F.lit(False))
-    return filled.filter(good).select("_r.*"), filled.filter(~good).drop("_r")
+    filled = lines.filter(strip(F.col(value)) != "")
+    parsed = complete(F.col(value), schema, schema.fieldNames())
+    return filled.select(F.inline(parsed)), filled.filter(F.size(parsed) == 0)
 
 
 def sft_rows(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.config import TOPICS
 from driftloom.functions.signals import with_dimensions
+from driftloom.operators.timeline import whole_part
 from driftloom.schemas import DRIFT_EVENT, SIGNAL
 
 REQUIRED = [f.name for f in SIGNAL.fields]
@@ -28,16 +29,26 @@ def kafka_stream(
     )
 
 
+def complete(value: Column, schema: T.StructType, required: list[str]) -> Column:
+    """The parsed message in an array of one, or an empty array when it is unusable.
+
+    The array keeps the parser to one call per row.
+    """
+
+    def filled(r: Column) -> Column:
+        ok = r.isNotNull()
+        for name in required:
+            ok = ok & r[name].isNotNull()
+        return ok
+
+    return F.filter(F.array(F.from_json(value, schema)), filled)
+
+
 def decode(messages: DataFrame, schema: T.StructType, required: list[str], value: str = "value"):
     """(rows, rejects) of JSON messages. Null messages are skipped, bad ones are kept apart."""
-    parsed = messages.filter(F.col(value).isNotNull()).withColumn(
-        "_r", F.from_json(value, schema)
-    )
-    good = F.col("_r").isNotNull()
-    for name in required:
-        good = good & F.col("_r")[name].isNotNull()
-    good = F.coalesce(good, F.lit(False))
-    return parsed.filter(good).select("_r.*"), parsed.filter(~good).drop("_r")
+    given = messages.filter(F.col(value).isNotNull())
+    parsed = complete(F.col(value), schema, required)
+    return given.select(F.inline(parsed)), given.filter(F.size(parsed) == 0)
 
 
 def decode_signals(messages: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -48,7 +59,7 @@ def decode_signals(messages: DataFrame, value: str = "value") -> tuple[DataFrame
 def prepared(signals: DataFrame) -> DataFrame:
     """Decoded signals with event time in micros and the derived dimension."""
     return with_dimensions(signals).withColumn(
-        "ts_us", F.floor(F.col("timestamp_ns") / F.lit(1000)).cast("long")
+        "ts_us", whole_part(F.col("timestamp_ns"), 1000)
     )
 
 
