@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("drift", "sources")
+MODULES = ("drift", "sources", "audit", "lineage", "accounting", "metrics", "evaluation")
 
 
 def _registry():

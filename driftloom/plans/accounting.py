@@ -35,6 +35,12 @@ def records_of_cycle(costs: DataFrame, cycle_id, order: str = "seq") -> DataFram
     return costs.filter(F.col("cycle_id") == cycle_id).orderBy(order)
 
 
+def record_positions(costs: DataFrame, order: list[str]) -> DataFrame:
+    """Adds the position of each record among those of its cycle, in insertion order."""
+    w = W.partitionBy("cycle_id").orderBy(*order)
+    return costs.withColumn("position", F.row_number().over(w))
+
+
 def budget_guard(
     totals: DataFrame, extra_usd, budget_usd=CFG.budget_usd, out: str = "exceeds"
 ) -> DataFrame:
