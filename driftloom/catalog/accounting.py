@@ -143,12 +143,12 @@ runs AS (
 
 @query(
     "exp21_phase_costs",
-    f"WITH {RUNS_SQL} SELECT cycle_id, phase, round(duration_s / 3600e0 * hourly_usd, 9) AS "
+    f"WITH {RUNS_SQL} SELECT cycle_id, phase, round(duration_s / 3600e0 * hourly_usd, 10) AS "
     "amount_usd FROM runs",
 )
 def exp21(spark, sf):
     return A.phase_costs(runs(spark, sf)).select(
-        "cycle_id", "phase", F.round("amount_usd", 9).alias("amount_usd")
+        "cycle_id", "phase", F.round("amount_usd", 10).alias("amount_usd")
     )
 
 
@@ -221,7 +221,7 @@ def win8(spark, sf):
     "h AS (SELECT *, NOT pre AND NOT stop AND dp IS NOT NULL AS dpo FROM g) "
     "SELECT cycle_id, CASE WHEN pre OR stop THEN 'COST_EXCEEDED' WHEN dpo THEN 'COMPLETED' ELSE "
     "'FAILED' END AS status, round(spent + CASE WHEN NOT pre THEN sc ELSE 0 END + CASE WHEN dpo "
-    "THEN dc ELSE 0 END, 9) AS cost_usd, round((CASE WHEN NOT pre THEN sd ELSE 0 END + CASE WHEN "
+    "THEN dc ELSE 0 END, 10) AS cost_usd, round((CASE WHEN NOT pre THEN sd ELSE 0 END + CASE WHEN "
     "dpo THEN dd ELSE 0 END) / 3600, 9) AS gpu_hours, CASE WHEN dpo THEN dp WHEN NOT pre THEN sp "
     "ELSE dir END AS candidate_path FROM h",
 )
@@ -239,6 +239,6 @@ def cycle_accounting(spark, sf):
     )
     out = A.cycle_accounting(cyc, runs(spark, sf), earlier)
     return out.select(
-        "cycle_id", "status", F.round("cost_usd", 9).alias("cost_usd"),
+        "cycle_id", "status", F.round("cost_usd", 10).alias("cost_usd"),
         F.round("gpu_hours", 9).alias("gpu_hours"), "candidate_path",
     )

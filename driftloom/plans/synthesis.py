@@ -134,6 +134,16 @@ def stable_order(clusters: DataFrame) -> DataFrame:
     return clusters.orderBy(F.desc("persistence_score"), F.asc("cluster_id"))
 
 
+def stable_positions(clusters: DataFrame) -> DataFrame:
+    """Position of each cluster in the stable order (0 first)."""
+    from driftloom.operators.timeline import ranked
+
+    slot = F.floor((1.0 - F.least("persistence_score", F.lit(1.0))) * 1000).cast("long")
+    order = ["_slot", "_down", "cluster_id"]
+    rows = clusters.withColumns({"_slot": slot, "_down": -F.col("persistence_score")})
+    return ranked(rows, [], order, "_slot", 10, "position").select("cluster_id", "position")
+
+
 def cluster_quality(clusters: DataFrame) -> DataFrame:
     """Persistence per cluster as (cluster, quality) rows."""
     return clusters.select(

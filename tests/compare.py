@@ -21,7 +21,7 @@ def connect(sf):
 
 def cell(v):
     if isinstance(v, float):
-        return "nan" if v != v else round(v + 0.0, 9)
+        return "nan" if v != v else round(v + 0.0, 12)
     if isinstance(v, bool) or v is None:
         return v
     return v
