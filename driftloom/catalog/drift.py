@@ -16,6 +16,7 @@ from driftloom.operators.ewma import calibrated_baseline, moving_baseline
 from driftloom.plans import audit, drift
 from driftloom.plans.drift import KEYS, NARROW
 from driftloom.plans.metrics import detector_counters
+from driftloom.session import stage
 
 Z = ["z_" + d for d in DIMENSIONS]
 
@@ -251,7 +252,7 @@ def exp3(spark, sf):
 )
 def jon1(spark, sf):
     s = signals(spark, sf)
-    out = drift.join_baselines(s, calibrated_baseline(s, KEYS, cfg=CFG))
+    out = drift.join_baselines(s, stage(calibrated_baseline(s, KEYS, cfg=CFG)))
     return out.select("request_id", "is_calibrating", *r6("mean_mean_logprob"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.config import DriftConfig
+from driftloom.session import spread
 
 # Keys of the given tables are short, so baselines calibrate on fewer events.
 CALIBRATION = 200
@@ -18,7 +19,9 @@ CFG = replace(DriftConfig(), calibration_events=CALIBRATION)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    # Text and JSON work on these tables is heavy, and they may come as a single file.
+    return spread(df) if name in ("events", "documents", "conversations") else df
 
 
 def micros(c):

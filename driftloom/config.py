@@ -56,7 +56,7 @@ class DriftConfig:
     persistence_at: float = 3.0
     # Physical layout: rows of one key handled by one task at a time.
     fold_rows: int = 200_000
-    block_rows: int = 65_536
+    block_rows: int = 16_384
     span_s: int = 3600
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Whitespace as a Unicode-aware tokenizer sees it.
-SPACE = r"(?U)[\s\x1c-\x1f]+"
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+SPACE = _BLANK
+EDGE_SPACE = f"^{_BLANK}|{_BLANK}$"
 
 # An answer holding any of these is a refusal.
 REFUSAL_KEYWORDS = (

@@ -91,10 +91,9 @@ def adaptive_scores(
         scored, end = fold_scores(rows, start, cfg)
         return _columns(scored), end
 
-    guesses = calibrated_baseline(signals, keys, cfg=cfg)
     scored = ordered_fold(
         signals, keys, ["ts_us", "request_id"], step, SEED, STATE, SCORES, cfg.fold_rows,
-        guesses=guesses,
+        guesses=lambda: calibrated_baseline(signals, keys, cfg=cfg),
     )
     return scored.filter("composite IS NOT NULL").withColumn(
         "dominant_dimension", dominant_dimension()
@@ -123,7 +122,7 @@ def adaptive_baselines(
 
     folded = ordered_fold(
         signals, keys, ["ts_us", "request_id"], step, SEED, STATE, added, cfg.fold_rows,
-        guesses=calibrated_baseline(signals, keys, cfg=cfg),
+        guesses=lambda: calibrated_baseline(signals, keys, cfg=cfg),
     ).filter("_last_event_count IS NOT NULL")
     last = F.struct("ts_us", "request_id")
     return folded.groupBy(*keys).agg(

@@ -149,19 +149,11 @@ def with_p_value(ks: DataFrame) -> DataFrame:
 
 def type_token_ratio(df: DataFrame, group: list[str], text: str) -> DataFrame:
     """Distinct over all lower-case words per group (0 without words), in two levels."""
-    tokens = df.select(*group, F.explode(words(F.lower(F.col(text)))).alias("_t"))
-    counts = tokens.groupBy(*group, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("distinct_tokens"), F.sum("_n").alias("tokens")
-    )
+    tokens = df.select(*group, F.explode_outer(words(F.lower(F.col(text)))).alias("_t"))
+    counts = tokens.groupBy(*group, "_t").agg(F.count("_t").alias("_n"))
     return (
-        df.select(*group).distinct()
-        .join(found, group, "left")
-        .select(
-            *group,
-            F.coalesce("distinct_tokens", F.lit(0)).alias("distinct_tokens"),
-            F.coalesce("tokens", F.lit(0)).alias("tokens"),
-        )
+        counts.groupBy(*group)
+        .agg(F.count("_t").alias("distinct_tokens"), F.sum("_n").alias("tokens"))
         .withColumn(
             "ttr",
             F.when(F.col("tokens") > 0, F.col("distinct_tokens") / F.col("tokens")).otherwise(0.0),

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from driftloom.operators.timeline import HOUR_US, ranked, whole_part
-from driftloom.session import cut
+from driftloom.session import cut, stage
 
 
 def _fields(schema: T.StructType, names: list[str]) -> list[T.StructField]:
@@ -35,7 +35,7 @@ def ordered_fold(
     added: T.StructType,
     fold_rows: int,
     ts: str = "ts_us",
-    guesses: DataFrame | None = None,
+    guesses: Callable[[], DataFrame] | None = None,
     bucket_us: int = HOUR_US,
 ) -> DataFrame:
     """Adds the columns `added` computed by `step(rows, start) -> (new columns, end)`.
@@ -54,7 +54,7 @@ def ordered_fold(
 
         return df.groupBy(*keys).applyInPandas(whole, schema)
 
-    rows = cut(
+    rows = stage(
         ranked(df, keys, order, ts, bucket_us, "_rn")
         .withColumn("_chunk", whole_part(F.col("_rn"), fold_rows))
         .drop("_rn")
@@ -69,7 +69,7 @@ def ordered_fold(
     if guesses is None:
         starts = chunks.select(*by, *known)
     else:
-        g = guesses.select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
+        g = guesses().select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
         assumed = [
             F.when(F.col("_chunk") == 0, k).otherwise(F.coalesce(F.col("_g_" + n), k)).alias(n)
             for n, k in zip(names, known)

@@ -11,15 +11,25 @@ from driftloom.operators.adaptive import adaptive_scores
 from driftloom.operators.evidence import evidence_stats, qualified, with_evidence_ids
 from driftloom.operators.ewma import calibrated_baseline
 from driftloom.operators.timeline import trailing_means
+from driftloom.session import broadcast_if_small, stage
 
 CFG = DriftConfig()
 KEYS = ["model_version", "tenant_id"]
 NARROW = ["request_id", "ts_us", *KEYS, *DIMENSIONS]
 
 
+# A baseline row is about 150 bytes, so this is some 75 MB.
+BROADCAST_BASELINES = 500_000
+
+
 def join_baselines(signals: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Signals with the baseline of their key; an unseen key is still calibrating."""
-    return signals.join(baselines, KEYS, "left").withColumn(
+    """Signals with the baseline of their key; an unseen key is still calibrating.
+
+    `baselines` is a written snapshot. While it is small the signals, whose keys are skewed,
+    stay where they are.
+    """
+    small = broadcast_if_small(baselines, BROADCAST_BASELINES)
+    return signals.join(small, KEYS, "left").withColumn(
         "is_calibrating", F.coalesce(F.col("is_calibrating"), F.lit(True))
     )
 
@@ -33,7 +43,7 @@ def score_frozen(
     Keys that are still calibrating are not scored.
     """
     if baselines is None:
-        baselines = calibrated_baseline(signals, KEYS, cfg=cfg)
+        baselines = stage(calibrated_baseline(signals, KEYS, cfg=cfg), "baselines")
     usable = join_baselines(signals, baselines).filter(~F.col("is_calibrating"))
     learned = ["event_count", "is_calibrating"] + [
         p + d for d in DIMENSIONS for p in ("mean_", "var_")
@@ -113,5 +123,9 @@ def detect_drift(
 ) -> DataFrame:
     """Signals with dimensions in, drift events out."""
     narrow = signals.select(*NARROW)
-    scored = adaptive_scores(narrow, KEYS, cfg) if adaptive else score_frozen(narrow, None, cfg)
+    if adaptive:
+        # The fold is the costly part and is read twice below.
+        scored = stage(adaptive_scores(narrow, KEYS, cfg), "scored")
+    else:
+        scored = score_frozen(narrow, None, cfg)
     return drift_events(with_alert_level(scored, cfg), cfg)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.config import LoopConfig
+from driftloom.session import stage
 
 
 def children(nodes: DataFrame, adapter_id: str | None = None) -> DataFrame:
@@ -40,12 +41,14 @@ def ancestor_chains(nodes: DataFrame, max_depth: int = LoopConfig().max_lineage_
         .otherwise(F.array().cast("array<string>"))
         .alias("_up"),
     )
+    chain = stage(chain)
     length = 1
     while length < max_depth:
         more = chain.select(F.col("adapter_id").alias("_last"), F.col("_up").alias("_more"))
         full = F.when(F.size("_up") == length, F.element_at("_up", -1))
         none = F.array().cast("array<string>")
-        chain = (
+        # Both sides of the next join are this table: without the cut the plan would double.
+        chain = stage(
             chain.withColumn("_last", _spread(full))
             .join(more, "_last", "left")
             .select(

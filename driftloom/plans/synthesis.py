@@ -15,6 +15,9 @@ from driftloom.functions import hooks
 from driftloom.functions.text import JUDGE_DIMENSIONS, STOP_WORDS, passes_judge
 from driftloom.functions.vectors import euclidean
 from driftloom.operators.density import density_clusters
+from driftloom.operators.timeline import ranked
+from driftloom.session import broadcast_if_small, cut, stage
+from driftloom.sources.datasets import write_training_sets
 
 CFG = SynthesisConfig()
 CLUSTERS = ClusterConfig()
@@ -44,8 +47,9 @@ def representatives(
 ) -> DataFrame:
     """The k members closest to their centroid, with `distance` and `rank`."""
     near = W.partitionBy(label).orderBy("distance", id_col)
+    means = broadcast_if_small(stage(centroids(labelled, label, vec), "centroids"), 20_000)
     return (
-        labelled.join(centroids(labelled, label, vec), label)
+        labelled.join(means, label)
         .withColumn("distance", euclidean(F.col(vec), F.col("centroid_embedding")))
         .drop("centroid_embedding")
         .withColumn("rank", F.row_number().over(near))
@@ -57,7 +61,12 @@ def top_keywords(
     samples: DataFrame, text: str, order: str, label: str = "cluster_id",
     k: int = CLUSTERS.archetype_keywords,
 ) -> DataFrame:
-    """Most frequent words per cluster: keyword, n, rank; ties go to the word seen first."""
+    """Most frequent words per cluster: keyword, n, rank; ties go to the word seen first.
+
+    `order` is an integer column. It is packed with the position into one number, so that the
+    counts are hashed and reduced before the shuffle.
+    """
+    first = F.col(order).cast("decimal(38,0)") * F.lit(1 << 31) + F.col("_pos")
     found = samples.select(
         label, order,
         F.posexplode(
@@ -65,7 +74,7 @@ def top_keywords(
         ).alias("_pos", "keyword"),
     ).filter((F.length("keyword") > 2) & ~F.col("keyword").isin(*STOP_WORDS))
     counted = found.groupBy(label, "keyword").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "_pos")).alias("_first")
+        F.count(F.lit(1)).alias("n"), F.min(first.cast("decimal(38,0)")).alias("_first")
     )
     w = W.partitionBy(label).orderBy(F.desc("n"), F.asc("_first"))
     return (
@@ -136,8 +145,6 @@ def stable_order(clusters: DataFrame) -> DataFrame:
 
 def stable_positions(clusters: DataFrame) -> DataFrame:
     """Position of each cluster in the stable order (0 first)."""
-    from driftloom.operators.timeline import ranked
-
     slot = F.floor((1.0 - F.least("persistence_score", F.lit(1.0))) * 1000).cast("long")
     order = ["_slot", "_down", "cluster_id"]
     rows = clusters.withColumns({"_slot": slot, "_down": -F.col("persistence_score")})
@@ -162,9 +169,6 @@ def find_clusters(
 
     Ids are numbered first, in id order, so that any id type can be clustered.
     """
-    from driftloom.operators.timeline import ranked
-    from driftloom.session import cut
-
     spread = embedded.withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)))
     numbered = cut(ranked(spread, [], ["_h", id_col], "_h", 100_000, "_id").drop("_h"))
     labels, scores = density_clusters(numbered, "_id", "embedding", cfg)
@@ -263,9 +267,6 @@ def synthesize(
     **models,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, totals) of one job; with `folder` both training sets are written there too."""
-    from driftloom.session import cut
-    from driftloom.sources.datasets import write_training_sets
-
     embedded = (embed or (lambda d: hooks.hashed_embedding(d, "prompt")))(failures)
     table, _ = find_clusters(embedded, clusters)
     pairs = cut(synthetic_pairs(table, job_id, cfg, **models))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "driftloom", master: str | None = None, **conf) -> SparkSession:
@@ -47,6 +48,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes a table to the shared folder and reads it back: later steps read only the columns
+    they need, and do not repeat the work behind them."""
+    path = run_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast hint behind a row count; a larger table is joined by shuffling instead.
+
+    Give it a written table, so that the count is cheap and the rows are not computed twice.
+    """
+    few = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if few else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a handful of files over all cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < min(cores, 64) else df
+
+
 def run_folder(spark: SparkSession, name: str) -> str:
     """New subfolder path below the shared folder."""
     import uuid

@@ -223,3 +223,23 @@ def test_plans_stay_distributed(spark):
         assert "CartesianProduct" not in plan
         assert "NestedLoop" not in plan
         assert "SinglePartition" not in plan
+
+
+def test_first_events_are_limited_before_the_exchange(spark):
+    s = signals(spark, "/root/testdata/sf0.001")
+    plan = calibrated_baseline(s, KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_small_snapshots_are_broadcast(spark, monkeypatch):
+    s = signals(spark, "/root/testdata/sf0.001")
+    def plan():
+        return drift.score_frozen(s, None, CFG)._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(drift, "BROADCAST_BASELINES", 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" in plan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
