@@ -284,7 +284,7 @@ def win14(spark, sf):
     "exp11_canary_anomalies",
     "WITH c AS (SELECT user_id, avg(value) AS s FROM events WHERE event_id % 10 = 0 GROUP BY 1), "
     "p AS (SELECT user_id, avg(value) AS s FROM events WHERE event_id % 10 <> 0 GROUP BY 1) "
-    "SELECT c.user_id, round(c.s, 6) AS canary_score, round(p.s, 6) AS production_score, "
+    "SELECT c.user_id, round(c.s, 10) AS canary_score, round(p.s, 10) AS production_score, "
     "c.s - p.s > 2 AS roll_back FROM c JOIN p USING (user_id)",
 )
 def exp11(spark, sf):
@@ -296,8 +296,8 @@ def exp11(spark, sf):
         .filter("canary_score IS NOT NULL AND production_score IS NOT NULL")
     )
     return audit.canary_anomalies(pairs).select(
-        "user_id", F.round("canary_score", 6).alias("canary_score"),
-        F.round("production_score", 6).alias("production_score"), "roll_back",
+        "user_id", F.round("canary_score", 10).alias("canary_score"),
+        F.round("production_score", 10).alias("production_score"), "roll_back",
     )
 
 

@@ -19,6 +19,8 @@ CFG = replace(DriftConfig(), calibration_events=CALIBRATION)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # The tables hold zone-free timestamps; they are read as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     # Text and JSON work on these tables is heavy, and they may come as a single file.
     return spread(df) if name in ("events", "documents", "conversations") else df

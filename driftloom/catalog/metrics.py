@@ -53,7 +53,7 @@ def _bounds_sql(bounds):
 @query(
     "agg26_duration_histogram",
     "SELECT o_orderpriority AS label, le, count(*) FILTER (WHERE le IS NULL OR o_totalprice / 30 "
-    "<= le) AS cumulative, count(*) AS observations, round(sum(o_totalprice / 30), 4) AS total "
+    "<= le) AS cumulative, count(*) AS observations, round(sum(o_totalprice / 30), 6) AS total "
     f"FROM orders CROSS JOIN {_bounds_sql(HISTOGRAM_BOUNDS['training_cycle_duration_seconds'])} "
     "GROUP BY 1, 2",
 )
@@ -62,7 +62,7 @@ def agg26(spark, sf):
         F.col("o_orderpriority").alias("label"), (F.col("o_totalprice") / 30).alias("seconds")
     )
     out = M.histogram(obs, "training_cycle_duration_seconds", "seconds", ["label"])
-    return out.withColumn("total", F.round("total", 4))
+    return out.withColumn("total", F.round("total", 6))
 
 
 @query(
@@ -94,7 +94,7 @@ def agg27(spark, sf):
 
 @query(
     "agg28_mean_latency",
-    "SELECT event_type, round(coalesce(avg(CASE WHEN user_id % 5 > 0 THEN value END), 0e0), 6) AS "
+    "SELECT event_type, round(coalesce(avg(CASE WHEN user_id % 5 > 0 THEN value END), 0e0), 10) AS "
     "mean_latency FROM events GROUP BY 1",
 )
 def agg28(spark, sf):
@@ -102,7 +102,7 @@ def agg28(spark, sf):
         "event_type", F.when(F.col("user_id") % 5 > 0, F.col("value")).alias("us")
     )
     out = M.mean_latency(obs, "us", ["event_type"])
-    return out.select("event_type", F.round("mean_latency", 6).alias("mean_latency"))
+    return out.select("event_type", F.round("mean_latency", 10).alias("mean_latency"))
 
 
 @query(

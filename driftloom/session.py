@@ -59,10 +59,9 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint behind a row count; a larger table is joined by shuffling instead.
 
-    Give it a written table, so that the count is cheap and the rows are not computed twice.
+    Give it a written table: its count comes from the file footers.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:
