@@ -21,6 +21,9 @@ from driftloom.operators.timeline import HOUR_US, ranked, whole_part
 from driftloom.session import cut, stage
 
 
+NO_KEY = "\x00"
+
+
 def _fields(schema: T.StructType, names: list[str]) -> list[T.StructField]:
     return [schema[n] for n in names]
 
@@ -54,8 +57,11 @@ def ordered_fold(
 
         return df.groupBy(*keys).applyInPandas(whole, schema)
 
+    # Chunks are joined by key, so a null key stands in as text until the end.
+    text = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
+    named = df.withColumns({k: F.coalesce(k, F.lit(NO_KEY)) for k in text})
     rows = stage(
-        ranked(df, keys, order, ts, bucket_us, "_rn")
+        ranked(named, keys, order, ts, bucket_us, "_rn")
         .withColumn("_chunk", whole_part(F.col("_rn"), fold_rows))
         .drop("_rn")
     )
@@ -69,7 +75,7 @@ def ordered_fold(
     if guesses is None:
         starts = chunks.select(*by, *known)
     else:
-        g = guesses().select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
+        g = guesses().withColumns({k: F.coalesce(k, F.lit(NO_KEY)) for k in text}).select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
         assumed = [
             F.when(F.col("_chunk") == 0, k).otherwise(F.coalesce(F.col("_g_" + n), k)).alias(n)
             for n, k in zip(names, known)
@@ -122,7 +128,8 @@ def ordered_fold(
         cols, _ = step(pdf, start_of(pdf))
         return pdf[wanted].assign(**cols)
 
-    return with_start(starts).groupBy(*by).applyInPandas(emit, out_schema)
+    out = with_start(starts).groupBy(*by).applyInPandas(emit, out_schema)
+    return out.withColumns({k: F.nullif(k, F.lit(NO_KEY)) for k in text})
 
 
 def _plain(v, like):

@@ -31,19 +31,25 @@ def ranked(
     bucket_us: int = HOUR_US,
     out: str = "rn",
 ) -> DataFrame:
-    """Adds the 0-based position of each row in its key's order, as one global `row_number`."""
+    """Adds the 0-based position of each row in its key's order, as one global `row_number`.
+
+    Keys are compared as a struct, which joins null keys to each other.
+    """
+    key = ["_key"] if keys else []
     rows = df.withColumn("_bucket", whole_part(F.col(ts), bucket_us))
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    if keys:
+        rows = rows.withColumn("_key", F.struct(*keys))
+    sizes = rows.groupBy(*key, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
-    inside = W.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = W.partitionBy(*key, "_bucket").orderBy(*order)
     return (
         rows.withColumn("_i", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        .join(offsets, [*key, "_bucket"])
         .withColumn(out, F.col("_before") + F.col("_i") - 1)
-        .drop("_bucket", "_before", "_i")
+        .drop("_key", "_bucket", "_before", "_i")
     )
 
 

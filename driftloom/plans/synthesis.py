@@ -244,15 +244,21 @@ def amplification(pairs: DataFrame, cfg: SynthesisConfig = CFG) -> DataFrame:
 
 def job_totals(pairs: DataFrame, failures: DataFrame, cfg: SynthesisConfig = CFG) -> DataFrame:
     """One row per job, also when there are no clusters."""
-    inputs = failures.groupBy().agg(F.count(F.lit(1)).alias("failures_input"))
-    per = amplification(pairs, cfg).groupBy().agg(
-        F.count(F.lit(1)).alias("clusters_processed"),
-        F.coalesce(F.sum("pairs_synthesized"), F.lit(0)).alias("pairs_synthesized"),
-        F.coalesce(F.sum("pairs_passing"), F.lit(0)).alias("pairs_passing"),
-        F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"),
+    per = amplification(pairs, cfg).select(
+        F.lit(1).alias("clusters"), "pairs_synthesized", "pairs_passing", "cost_usd",
+        F.lit(0).cast("long").alias("failures"),
+    )
+    inputs = failures.groupBy().agg(F.count(F.lit(1)).alias("failures")).select(
+        F.lit(0).alias("clusters"), F.lit(0).cast("long").alias("pairs_synthesized"),
+        F.lit(0).cast("long").alias("pairs_passing"), F.lit(0.0).alias("cost_usd"), "failures",
+    )
+    both = per.unionByName(inputs).groupBy().agg(
+        F.sum("clusters").alias("clusters_processed"),
+        F.sum("pairs_synthesized").alias("pairs_synthesized"),
+        F.sum("pairs_passing").alias("pairs_passing"),
+        F.sum("cost_usd").alias("cost_usd"),
+        F.sum("failures").alias("failures_input"),
     )
-    one = F.lit(1).alias("_one")
-    both = per.select("*", one).join(inputs.select("*", one), "_one").drop("_one")
     factor = F.when(F.col("failures_input") > 0, F.col("pairs_passing") / F.col("failures_input"))
     return both.withColumn("overall_factor", F.coalesce(factor, F.lit(0.0)))
 

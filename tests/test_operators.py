@@ -120,6 +120,15 @@ def test_ranked_is_a_global_row_number(spark):
     assert [r.ts_us for r in out] == sorted(r.ts_us for r in out)
 
 
+def test_null_keys_are_kept(spark):
+    df = alert_rows(spark, [(None if i % 3 else "CRITICAL", i) for i in range(60)])
+    assert ranked(df, ["level"], ["ts_us", "alert_id"]).count() == 60
+    whole = greedy.alert_budget(df)
+    parts = greedy.alert_budget(df, AlertBudgetConfig(fold_rows=7))
+    assert sent(whole) == sent(parts) == {"CRITICAL": 5, None: 40}
+    assert whole.exceptAll(parts).count() == 0
+
+
 @pytest.mark.parametrize("block", [4096, 13])
 def test_nearest_matches_brute_force(spark, block):
     rng = np.random.default_rng(3)
