@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("drift", "sources", "audit", "lineage", "accounting", "metrics", "evaluation", "synthesis")
+MODULES = ("drift", "sources", "audit", "lineage", "accounting", "metrics", "evaluation", "synthesis", "streams")
 
 
 def _registry():

@@ -131,19 +131,20 @@ def with_p_value(ks: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.DoubleType())
     def exact(n: pd.Series, m: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([ks_p_exact(int(a), int(b), c) for a, b, c in zip(n, m, d)])
+        return pd.Series(
+            [ks_p_exact(int(a), int(b), c) if c == c else None for a, b, c in zip(n, m, d)],
+            dtype="float64",
+        )
 
     n, m, d = F.col("n_first"), F.col("n_second"), F.col("ks_distance")
     usable = (n > 0) & (m > 0)
-    small = F.greatest(n, m) <= EXACT_SAMPLES
-    fit = ks.filter(usable & small)
-    rest = ks.filter(~(usable & small))
-    return fit.withColumn("p_value", exact(n, m, d)).withColumn(
-        "method", F.lit("exact")
-    ).unionByName(
-        rest.withColumn("p_value", F.when(usable, ks_p_asymptotic(n, m, d))).withColumn(
-            "method", F.when(usable, F.lit("asymptotic"))
-        )
+    small = usable & (F.greatest(n, m) <= EXACT_SAMPLES)
+    # Rows for the limiting law pass a null distance, which the exact count skips.
+    counted = exact(n, m, F.when(small, d))
+    return ks.withColumn("_exact", counted).select(
+        *ks.columns,
+        F.when(small, F.col("_exact")).when(usable, ks_p_asymptotic(n, m, d)).alias("p_value"),
+        F.when(small, F.lit("exact")).when(usable, F.lit("asymptotic")).alias("method"),
     )
 
 

@@ -18,10 +18,12 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from driftloom.operators.timeline import HOUR_US, ranked, whole_part
-from driftloom.session import cut, stage
+from driftloom.session import broadcast_if_small, cut, stage
 
 
 NO_KEY = "\x00"
+# A chunk's start state is below 1 KB.
+BROADCAST_CHUNKS = 50_000
 
 
 def _fields(schema: T.StructType, names: list[str]) -> list[T.StructField]:
@@ -96,7 +98,9 @@ def ordered_fold(
         return pd.DataFrame({**head, **{"_end_" + n: [end[n]] for n in names}})
 
     def with_start(s: DataFrame) -> DataFrame:
-        return rows.join(s.select(*by, *[F.col(n).alias("_s_" + n) for n in names]), by)
+        # Later rounds fold few chunks; a short list of them filters the rows where they are.
+        given = s.select(*by, *[F.col(n).alias("_s_" + n) for n in names])
+        return rows.join(broadcast_if_small(given, BROADCAST_CHUNKS), by)
 
     todo, done = starts, None
     while True:
