@@ -29,3 +29,124 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftloom.llm.jaccard import jaccard_groups
 
     return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+  FROM s
+)
+SELECT * FROM r WHERE rank <= 5
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.topk import quantised, top_k
+
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0").select("vec_id"))
+
+
+@query("op2_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM d GROUP BY source
+), c AS (
+  SELECT *, 3 * source_size AS most, 3.0::DOUBLE * source_size / weight AS bend FROM s
+), o AS (
+  SELECT *, sum(most) OVER (ORDER BY bend, source ROWS UNBOUNDED PRECEDING) - most AS fixed,
+    sum(weight) OVER (ORDER BY bend, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open,
+    sum(source_size) OVER () AS total
+  FROM c
+), l AS (
+  SELECT arg_min(CAST(total - fixed AS DOUBLE) / CAST(open AS DOUBLE), bend) FILTER (
+    WHERE CAST(total - fixed AS DOUBLE) / CAST(open AS DOUBLE) <= bend) AS level FROM o
+), t AS (
+  SELECT source, source_size,
+    CASE WHEN weight * level > most THEN CAST(most AS DOUBLE) ELSE weight * level END AS target
+  FROM c, l
+), r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+    CAST('0x' || substr(md5('0:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM r
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftloom.llm.mixing import mixed
+
+    rows = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+@query("op3_exact_dedup", """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW w AS (PARTITION BY coalesce(text, ''))
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.exact import ExactDedup
+
+    rows = ExactDedup(table(spark, sf_dir, "documents").select("doc_id", "text")).decisions()
+    return rows.withColumnRenamed("digest", "text_sha256").drop("row")
+
+
+@query("op8_substring_dedup", r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50
+), h AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS k FROM s
+), m AS (
+  SELECT k, min(doc_id) AS first FROM h GROUP BY k
+), f AS (
+  SELECT doc_id, list_distinct(flatten(list(range(p, p + 50)))) AS gone
+  FROM h JOIN m USING (k) WHERE first < doc_id GROUP BY doc_id
+), r AS (
+  SELECT doc_id, ws, coalesce(gone, []) AS gone FROM w LEFT JOIN f USING (doc_id)
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN len(gone) = 0 THEN ws ELSE
+    list_filter(ws, lambda x, i: NOT list_contains(gone, i)) END, ' ')) AS kept_sha256
+FROM r
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
