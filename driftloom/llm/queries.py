@@ -150,3 +150,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftloom.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of labels that may be learned from."""
+    return table(spark, sf_dir, "labels").where("crc32(cast(doc_id as string)) % 5 != 0").select("doc_id", "toxic")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftloom.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = scored(docs, fit(docs, training_labels(spark, sf_dir)))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
