@@ -167,3 +167,63 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(docs, fit(docs, training_labels(spark, sf_dir)))
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return rows.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op6_html_extraction")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftloom.llm.wrappers import extract
+
+    rows = extract(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op9_warc_derivatives", r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
+    sha256('response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), 'null') || chr(10) || coalesce(url, '')) AS d
+  FROM pages
+), r AS (
+  SELECT *, '<urn:uuid:' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-8'
+    || substr(d, 18, 3) || '-' || substr(d, 21, 12) || '>' AS refers_to,
+    'sha256:' || sha256(html) AS payload_digest, 'sha256:' || sha256(head || html) AS source_digest
+  FROM p
+), t AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'),
+    '</?(a|b|i|em|strong|span|u|small|sub|sup|code)(\s[^>]*)?>', '', 'gi'), '<[^>]*>', ' ', 'g') AS bare
+  FROM r
+), m AS (
+  SELECT page_id, url, refers_to, payload_digest, 'metadata' AS warc_type,
+    'source-content-type: application/http; msgtype=response' || chr(13) || chr(10)
+    || 'source-content-length: ' || strlen(head || html) || chr(13) || chr(10)
+    || 'source-payload-digest: ' || payload_digest || chr(13) || chr(10)
+    || 'source-block-digest: ' || source_digest || chr(13) || chr(10)
+    || 'source-http-Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
+    || 'source-http-Content-Length: ' || strlen(html) || chr(13) || chr(10) AS block
+  FROM t
+  UNION ALL
+  SELECT page_id, url, refers_to, payload_digest, 'conversion',
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(bare,
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '),
+      '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \t\r\n\f\x0B]+', ' ', 'g'), ' ')
+  FROM t
+), i AS (
+  SELECT *, sha256(warc_type || chr(10) || refers_to) AS d FROM m
+)
+SELECT page_id, warc_type, '<urn:uuid:' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3)
+    || '-8' || substr(d, 18, 3) || '-' || substr(d, 21, 12) || '>' AS record_id,
+  refers_to, url AS target_uri, payload_digest, 'sha256:' || sha256(block) AS block_digest,
+  CAST(strlen(block) AS BIGINT) AS content_length
+FROM i
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftloom.llm.warc import derive, responses
+
+    records = derive(responses(table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length"
+    )
