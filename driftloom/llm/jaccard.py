@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.llm import graph, sketch
@@ -106,16 +106,17 @@ def _prefix(size: int, share: int) -> int:
 
 
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """Each text's set: kind 0 (doc_id, id, n, low, sign), kind 1 (counts, chunk by chunk)."""
+    """Each text's set: kind 0 (doc_id, row, id, n, low, sign), kind 1 (counts, chunk by chunk)."""
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.int64)
-        rows, ids = [], []
+        rows, ids, keys = [], [], []
 
         def out():
             got = _table({
                 "kind": pa.array([0] * len(rows), pa.int32()),
                 "doc_id": pa.array(ids, pa.int64()),
+                "row": pa.array(keys, pa.int64()),
                 "id": pa.array([r[0] for r in rows], pa.int64()),
                 "n": pa.array([r[1] for r in rows], pa.int32()),
                 "low": pa.array([r[2] for r in rows], pa.int64()),
@@ -123,15 +124,15 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
             })
             rows.clear()
             ids.clear()
+            keys.clear()
             return got
 
         for batch, i, grams in _sets(batches, n):
             ids.append(batch.column("doc_id")[i].as_py())
+            keys.append(batch.column("row")[i].as_py())
             if len(grams):
                 rows.append((set_id(grams), len(grams), int(signed(grams[:1])[0]), bitmap(grams)))
-                counts += np.bincount((grams & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(grams) > 1 << 16 else 0
-                if len(grams) <= 1 << 16:
-                    counts[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)] += 1
+                np.add.at(counts, (grams & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             else:
                 rows.append((None, 0, None, None))
             if len(rows) >= 4096:
@@ -141,13 +142,14 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
         yield _table({
             "kind": pa.array([1] * len(got), pa.int32()),
             "doc_id": pa.array([None] * len(got), pa.int64()),
+            "row": pa.array([None] * len(got), pa.int64()),
             "id": pa.array([i for i, _ in got], pa.int64()),
             "n": pa.array([0] * len(got), pa.int32()),
             "low": pa.array([None] * len(got), pa.int64()),
             "part": pa.array([x for _, x in got], pa.binary()),
         })
 
-    return docs.mapInArrow(run, "kind int, doc_id long, id long, n int, low long, part binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, row long, id long, n int, low long, part binary")
 
 
 def prefix_rows(docs: DataFrame, n: int, share: int, counts) -> DataFrame:
@@ -360,21 +362,27 @@ def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, shar
     return rows.mapInArrow(_tile_pairs(share), "u long, v long, low long").distinct()
 
 
+def row_key() -> Column:
+    """Hash of a row's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def jaccard_groups(
     docs: DataFrame, n: int = 5, share: int = 80, band_rows: int = 1024, tile_pairs: int = 2048
 ) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) of every row of docs (doc_id, text).
+    """(doc_id, row, n_shingles, set_id, component, component_id) of every row of docs (doc_id, text).
 
     Rows link when `100 * intersection >= share * union` of their n-gram sets; component_id is the
-    smallest doc_id that links lead to. set_id is null for rows without words.
+    smallest doc_id that links lead to, component a number of the component. set_id and component
+    are null for rows without words. row is a hash of id and text, to find the row again by.
     """
     if not 1 <= n <= len(_PLACE) or not 1 <= share <= 100:
         raise ValueError("n must be 1 to 64 and share 1 to 100")
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = scratch.write(nodes(docs, n), "nodes")
-    rows = found.where("kind = 0").select("doc_id", "id", "n", "low", F.col("part").alias("sign"))
+    rows = found.where("kind = 0").select("doc_id", "row", "id", "n", "low", F.col("part").alias("sign"))
     counts = sketch.merged(
         found.where("kind = 1").select(F.col("id").cast("int").alias("chunk"), "part"), COUNTERS, np.int64
     )
@@ -420,7 +428,9 @@ def jaccard_groups(
     least = named.where("top is not null").groupBy("top").agg(F.min("doc_id").alias("component"))
     return named.join(least, "top", "left").select(
         "doc_id",
+        "row",
         F.col("n").cast("long").alias("n_shingles"),
         F.col("id").alias("set_id"),
+        F.col("top").alias("component"),
         F.coalesce("component", "doc_id").alias("component_id"),
     )

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftloom.llm.jaccard import jaccard_groups
 
-    return jaccard_groups(table(spark, sf_dir, "documents"))
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("row", "component")
 
 
 @query("op1_top_k", """
@@ -227,3 +227,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(
         "page_id", "warc_type", "record_id", "refers_to", "target_uri", "payload_digest", "block_digest", "content_length"
     )
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftloom.llm.lines import dedup_lines
+
+    rows = dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
