@@ -1,9 +1,9 @@
 """Exact deduplication as a stream with keyed state that never expires.
 
-A written table of the rows (row, doc_id, digest, source; in bucket folders by digest) is both the
+A written table of the rows (part, row, doc_id, digest, source; one file for each part) is both the
 feed and the content store. The stream reads the narrow columns. Its state, kept by RocksDB on disk
 and saved to the shared folder, has one entry per digest: the stable identifier to keep (the
-largest doc_id so far), the content locator (bucket and row) of its text, and how many rows came.
+largest doc_id so far), the content locator (part and row) of its text, and how many rows came.
 Every micro-batch writes the entries it changed to a table of its own, overwritten if it reruns.
 
 A hit, a row whose digest the state has already, is checked on full bytes: its text is compared
@@ -29,14 +29,15 @@ from pyspark.sql.types import StructType
 from driftloom.llm.scratch import Scratch
 from driftloom.session import broadcast_if_small
 
-BUCKETS = 16
 #: Tables of at most so many short rows may be broadcast.
 SMALL_ROWS = 200_000
 STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.minBatchesToRetain": "2",
 }
 
 
@@ -61,7 +62,7 @@ def _state(scratch: Scratch, feed: DataFrame) -> DataFrame:
     entries = feed.groupBy("digest").agg(
         F.max(F.struct(
             F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rank"), (-F.col("row")).alias("first"),
-            "doc_id", "bucket", "row",
+            "doc_id", "part", "row",
         )).alias("best"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -80,7 +81,10 @@ def _state(scratch: Scratch, feed: DataFrame) -> DataFrame:
     # counts only grow, so the entry with the most rows is the last one
     seen = spark.read.schema(entries.schema).parquet(changed)
     last = seen.groupBy("digest").agg(F.max(F.struct("n", "best")).alias("e"))
-    return scratch.write(last.select("digest", "e.best", "e.n"), "state")
+    state = scratch.write(last.select("digest", "e.best", "e.n"), "state")
+    scratch.drop_path(progress)
+    scratch.drop_path(changed)
+    return state
 
 
 class ExactDedup:
@@ -101,14 +105,15 @@ class ExactDedup:
             F.col("doc_id").cast("long").alias("doc_id"),
             digest(self._content("text")).alias("digest"),
             F.monotonically_increasing_id().alias("row"),
+            F.spark_partition_id().alias("part"),
             F.struct([F.col(f"`{c}`") for c in docs.columns]).alias("source"),
-        ).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int"))
+        )
         path = scratch.path("store")
-        rows.write.partitionBy("bucket").parquet(path)
+        rows.write.parquet(path)
         schema: StructType = rows.schema
         self.store = spark.read.schema(schema).parquet(path)
         feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-        state = _state(scratch, feed.select("doc_id", "digest", "row", "bucket"))
+        state = _state(scratch, feed.select("doc_id", "digest", "row", "part"))
         self.hits = scratch.write(state.where("n > 1"), "hits")
         self.mixed = self._mixed()
 
@@ -118,14 +123,14 @@ class ExactDedup:
     def _mixed(self) -> DataFrame:
         """Digests under which there is more than one text: full bytes of every hit are compared."""
         hits = self.hits.select(
-            "digest", F.col("best.bucket").alias("at_bucket"), F.col("best.row").alias("at_row"),
+            "digest", F.col("best.part").alias("at_part"), F.col("best.row").alias("at_row"),
             F.ceil(F.col("n") / self.share_rows).cast("int").alias("shares"),
         )
         small = broadcast_if_small(hits, SMALL_ROWS)
         found = self.store.join(small, "digest").select(
-            "digest", "row", "bucket", "at_row", "at_bucket", "shares", self._content("source.text").alias("content")
+            "digest", "row", "part", "at_row", "at_part", "shares", self._content("source.text").alias("content")
         )
-        located = found.where("row = at_row and bucket = at_bucket").select(
+        located = found.where("row = at_row and part = at_part").select(
             "digest", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
             F.col("content").alias("held"),
         )

@@ -3,14 +3,16 @@
 The method is a join over size-banded tiles with hashed bitmap signatures:
 
 1. Every text becomes the sorted array of its distinct n-gram hashes; equal arrays are one node.
-   A node also has a bitmap in which each n-gram flips one of 1024 bits. The bits in which two
-   bitmaps differ cannot outnumber the n-grams that only one of them has, so
+   A node also has a bitmap, in which each n-gram flips one of at least as many bits as the node
+   has n-grams (a power of two; wider bitmaps fold to narrower ones). The bits in which two bitmaps
+   differ cannot outnumber the n-grams that only one of them has, so
    `(|A| + |B| - bits) / 2` bounds the overlap from above.
 2. Two sets at or above the threshold share one of the first `|A| - ceil(t |A|) + 1` members in any
    common order. The order puts n-grams that the corpus repeats most last (counted in a fixed-size
    sketch), so passages that many documents hold rarely make a bucket.
-3. Inside a bucket nodes are sorted by size. Neighbours in that order which meet in many buckets
-   are compared first; that already joins groups of near copies, however large, along a path.
+3. Inside a bucket nodes are sorted by size. Each node is first compared with the one node that
+   stands before it most often; that already joins groups of near copies, however large, into a
+   tree with one pair per node.
 4. What is left are pairs of one bucket whose components differ. They go through tiles: bands of
    at most `band_rows` nodes by size, pairs of bands whose sizes can match, bitmap bound first,
    then the exact intersection of the sorted arrays. Every such pair is tested, so the components
@@ -39,7 +41,8 @@ from driftloom.llm.words import (
 
 COUNTERS = 1 << 18
 BLOOM_BYTES = 1 << 21
-SIGN_WORDS = 16
+#: Least and largest number of 64-bit words of a bitmap.
+SIGN_WORDS = (8, 1024)
 #: Multipliers of the places in an n-gram.
 _PLACE = mixed(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
 
@@ -74,7 +77,9 @@ def set_id(grams: np.ndarray) -> int:
 
 def bitmap(grams: np.ndarray) -> bytes:
     """Parity bitmap of a set."""
-    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % (SIGN_WORDS * 64), minlength=SIGN_WORDS * 64) & 1
+    least, most = SIGN_WORDS
+    bits = 64 * min(most, max(least, 1 << (-(-len(grams) // 64) - 1).bit_length()))
+    odd = np.bincount((grams >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -244,27 +249,44 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, share:
     return scratch.write(out, "links")
 
 
-def _bounded(sizes_a, sizes_b, signs_a, signs_b, share: int) -> np.ndarray:
-    """Which pairs the sizes and the bitmaps do not rule out."""
-    total = sizes_a + sizes_b
-    apart = np.bitwise_count(signs_a ^ signs_b).sum(axis=1, dtype=np.int64)
-    # similar only if (100 + share) * overlap >= share * total, and overlap <= (total - apart) / 2
-    return (100 + share) * (total - apart) >= 2 * share * total
+def _apart(pool: np.ndarray, at_a, width_a, at_b, width_b) -> np.ndarray:
+    """Bits in which the bitmaps of pairs differ; both are folded to the narrower width."""
+    out = np.zeros(len(at_a), np.int64)
+    narrow = np.minimum(width_a, width_b)
+    for width in np.unique(narrow):
+        own = np.flatnonzero(narrow == width)
+        for part in np.array_split(own, 1 + len(own) * int(width) // (1 << 20)):
+            both = [_folded(pool, at[part], wide[part], int(width)) for at, wide in ((at_a, width_a), (at_b, width_b))]
+            out[part] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _folded(pool: np.ndarray, at: np.ndarray, wide: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(at), width), np.uint64)
+    for step in range(int(wide.max()) // width if len(wide) else 0):
+        on = np.flatnonzero(wide > step * width)
+        out[on] ^= pool[at[on][:, None] + step * width + np.arange(width)]
+    return out
 
 
 def _tile_pairs(share: int):
     """Pairs of different components inside each run of rows with equal (token, i, j)."""
 
-    def emit(rows):
-        left, right = rows
+    def emit(left, right, pool):
         n_left, n_right = left["n"], right["n"]
         small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
         ok = (100 * small >= share * large) & (left["comp"] != right["comp"])
         left, right = ({k: v[ok] for k, v in x.items()} for x in (left, right))
-        ok = _bounded(left["n"], right["n"], left["sign"], right["sign"], share)
+        # a pair stands once in a chunk, in however many buckets it meets
+        _, once = np.unique(np.stack([left["id"], right["id"]]), axis=1, return_index=True)
+        left, right = ({k: v[once] for k, v in x.items()} for x in (left, right))
+        total = left["n"] + right["n"]
+        apart = _apart(pool, left["at"], left["wide"], right["at"], right["wide"])
+        # similar only if (100 + share) * overlap >= share * total, and overlap <= (total - apart) / 2
+        ok = (100 + share) * (total - apart) >= 2 * share * total
         a, b = left["id"][ok], right["id"][ok]
         u, v, low = np.maximum(a, b), np.minimum(a, b), np.minimum(left["low"][ok], right["low"][ok])
-        both = np.unique(np.stack([u, v, low], axis=1), axis=0) if len(u) else np.empty((0, 3), np.int64)
+        both = np.stack([u, v, low], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(3)], names=["u", "v", "low"])
 
     def pairs_of(rows, starts, ends):
@@ -301,7 +323,7 @@ def _tile_pairs(share: int):
                     k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "i", "j", "side", "id", "n", "comp", "low")
                 }
                 now["n"] = now["n"].astype(np.int64)
-                now["sign"] = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint64).reshape(-1, SIGN_WORDS)
+                now["sign"] = np.array([*batch.column("sign").to_pylist(), None], object)[:-1]
                 rows = now if kept is None else {k: np.concatenate([kept[k], now[k]]) for k in now}
             elif kept is None:
                 return
@@ -319,8 +341,13 @@ def _tile_pairs(share: int):
             if batch is not None:  # the last run may go on in the next batch
                 kept = {k: v[starts[-1] :].copy() for k, v in rows.items()}
                 starts, ends = starts[:-1], ends[:-1]
+            signs = rows["sign"].tolist()
+            pool = np.frombuffer(b"".join(signs), np.uint64)
+            plain = {k: rows[k] for k in ("id", "n", "comp", "low")}
+            plain["wide"] = np.array([len(x) // 8 for x in signs], np.int64)
+            plain["at"] = np.cumsum(plain["wide"]) - plain["wide"]
             for a, b in pairs_of(rows, starts, ends):
-                yield emit(({k: v[a] for k, v in rows.items()}, {k: v[b] for k, v in rows.items()}))
+                yield emit({k: v[a] for k, v in plain.items()}, {k: v[b] for k, v in plain.items()}, pool)
 
     return run
 
@@ -411,7 +438,8 @@ def jaccard_groups(
         buckets.where(f"p is not null and 100 * p_n >= {share} * n")
         .groupBy("p", "id").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
         .where(f"met >= greatest(1, 0.3 * (n - ceil({share / 100} * n)))")
-        .select(F.greatest("p", "id").alias("u"), F.least("p", "id").alias("v"), F.col("id"))
+        .groupBy("id").agg(F.max(F.struct("met", "p")).alias("best"))
+        .select(F.greatest("best.p", "id").alias("u"), F.least("best.p", "id").alias("v"), F.col("id"))
         .join(lows, "id").select("u", "v", "low")
     )
     links = verified(scratch, docs, near, n, share, tile_pairs)
