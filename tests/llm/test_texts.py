@@ -3,6 +3,7 @@
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -91,9 +92,10 @@ def test_packing_repeats(docs):
 
 def test_toxicity_nearest_is_exact(spark, none):
     bad, rows, labels = ["vile", "foul", "nasty"], [], []
+    rng = np.random.default_rng(1)
     for i in range(600):
         toxic = i % 5 == 0
-        own = ["c%d" % ((i * 7 + k) % 90) for k in range(20)]
+        own = ["c%d" % rng.integers(90) for _ in range(20)]
         rows.append((i, " ".join(own + ([bad[i % 3], bad[(i + 1) % 3]] if toxic else []))))
         if i % 2 == 0:
             labels.append((i, int(toxic)))
