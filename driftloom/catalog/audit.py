@@ -256,11 +256,11 @@ def stuck(spark, sf):
 
 @query(
     "win13_current_production",
-    "SELECT user_id % 10 AS cluster_id, 'a' || arg_max(event_id, ts) AS adapter_id FROM events "
-    "WHERE event_type = 'purchase' GROUP BY 1",
+    "SELECT user_id % 10 AS cluster_id, 'a' || arg_max(event_id, (ts, 'a' || event_id)) AS adapter_id "
+    "FROM events GROUP BY 1",
 )
 def win13(spark, sf):
-    promotions = table(spark, sf, "events").filter("event_type = 'purchase'").select(
+    promotions = table(spark, sf, "events").select(
         (F.col("user_id") % 10).alias("cluster_id"),
         F.concat(F.lit("a"), "event_id").alias("adapter_id"), micros("ts").alias("ts_us"),
     )

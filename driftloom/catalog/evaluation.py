@@ -55,12 +55,12 @@ probes AS (
   SELECT 'a' || (doc_id % 7) AS adapter_id, 'p' || doc_id AS prompt,
          CASE WHEN coalesce(toxic, 0) = 1 THEN text ELSE 'I cannot help with: ' || text END
            AS response
-  FROM documents JOIN labels USING (doc_id))
+  FROM documents LEFT JOIN labels USING (doc_id))
 """
 
 
 def probes(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     return d.select(
         F.concat(F.lit("a"), (F.col("doc_id") % 7).cast("string")).alias("adapter_id"),
         F.concat(F.lit("p"), "doc_id").alias("prompt"),

@@ -400,10 +400,15 @@ def snk5_edges(spark, sf):
 def snk6(spark, sf):
     n = nodes(spark, sf)
     late = table(spark, sf, "part").filter(F.col("p_partkey") % 11 == 0).select(
-        F.concat(F.lit("a"), "p_partkey").alias("adapter_id"), F.lit("ROLLED_BACK").alias("status")
-    )
+        F.concat(F.lit("a"), "p_partkey").alias("adapter_id"),
+        F.explode(F.array(
+            F.struct(F.lit(1).alias("seq"), F.lit("STAGING").alias("status")),
+            F.struct(F.lit(2).alias("seq"), F.lit("ROLLED_BACK").alias("status")),
+        )).alias("u"),
+    ).select("adapter_id", "u.*")
     unknown = table(spark, sf, "supplier").select(
-        F.concat(F.lit("x"), "s_suppkey").alias("adapter_id"), F.lit("PRODUCTION").alias("status")
+        F.concat(F.lit("x"), "s_suppkey").alias("adapter_id"), F.lit(1).alias("seq"),
+        F.lit("PRODUCTION").alias("status"),
     )
     return K.updated_status(n, late.unionByName(unknown)).select("adapter_id", "status")
 

@@ -21,11 +21,19 @@ from driftloom.operators.timeline import HOUR_US, ranked, whole_part
 from driftloom.session import broadcast_if_small, cut, stage
 
 
-NO_KEY = "\x00"
 # A chunk's start state is below 1 KB.
 BROADCAST_CHUNKS = 50_000
 
 
+def _null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on `by` in which null keys match each other; keeps the left side's key columns."""
+    named = right.withColumnsRenamed({k: "_r_" + k for k in by})
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col("_r_" + k))
+    return left.join(named, on, how).drop(*["_r_" + k for k in by])
+
+
 def _fields(schema: T.StructType, names: list[str]) -> list[T.StructField]:
     return [schema[n] for n in names]
 
@@ -59,11 +67,8 @@ def ordered_fold(
 
         return df.groupBy(*keys).applyInPandas(whole, schema)
 
-    # Chunks are joined by key, so a null key stands in as text until the end.
-    text = [k for k in keys if isinstance(df.schema[k].dataType, T.StringType)]
-    named = df.withColumns({k: F.coalesce(k, F.lit(NO_KEY)) for k in text})
     rows = stage(
-        ranked(named, keys, order, ts, bucket_us, "_rn")
+        ranked(df, keys, order, ts, bucket_us, "_rn")
         .withColumn("_chunk", whole_part(F.col("_rn"), fold_rows))
         .drop("_rn")
     )
@@ -77,12 +82,12 @@ def ordered_fold(
     if guesses is None:
         starts = chunks.select(*by, *known)
     else:
-        g = guesses().withColumns({k: F.coalesce(k, F.lit(NO_KEY)) for k in text}).select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
+        g = guesses().select(*keys, *[F.col(n).cast(types[n]).alias("_g_" + n) for n in names])
         assumed = [
             F.when(F.col("_chunk") == 0, k).otherwise(F.coalesce(F.col("_g_" + n), k)).alias(n)
             for n, k in zip(names, known)
         ]
-        starts = chunks.join(g, keys, "left").select(*by, *assumed)
+        starts = _null_safe(chunks, g, keys, "left").select(*by, *assumed)
     starts = cut(starts)
 
     end_schema = T.StructType(key_fields + [T.StructField("_end_" + n, types[n]) for n in names])
@@ -100,19 +105,19 @@ def ordered_fold(
     def with_start(s: DataFrame) -> DataFrame:
         # Later rounds fold few chunks; a short list of them filters the rows where they are.
         given = s.select(*by, *[F.col(n).alias("_s_" + n) for n in names])
-        return rows.join(broadcast_if_small(given, BROADCAST_CHUNKS), by)
+        return _null_safe(rows, broadcast_if_small(given, BROADCAST_CHUNKS), by)
 
     todo, done = starts, None
     while True:
         fresh = with_start(todo).groupBy(*by).applyInPandas(ends, end_schema)
         if done is not None:
-            fresh = fresh.unionByName(done.join(todo.select(*by), by, "left_anti"))
+            fresh = fresh.unionByName(_null_safe(done, todo.select(*by), by, "left_anti"))
         done = cut(fresh)
         previous = W.partitionBy(*keys).orderBy("_chunk")
         linked = done.select(
             *by, *[F.lag("_end_" + n).over(previous).alias("_new_" + n) for n in names]
         ).filter(F.col("_chunk") > 0)
-        joined = starts.join(linked, by, "left")
+        joined = _null_safe(starts, linked, by, "left")
         moved = F.lit(False)
         for n in names:
             moved = moved | ~F.col(n).eqNullSafe(F.col("_new_" + n))
@@ -132,8 +137,7 @@ def ordered_fold(
         cols, _ = step(pdf, start_of(pdf))
         return pdf[wanted].assign(**cols)
 
-    out = with_start(starts).groupBy(*by).applyInPandas(emit, out_schema)
-    return out.withColumns({k: F.nullif(k, F.lit(NO_KEY)) for k in text})
+    return with_start(starts).groupBy(*by).applyInPandas(emit, out_schema)
 
 
 def _plain(v, like):

@@ -13,9 +13,7 @@ from pyspark.sql import Window as W
 
 HOUR_US = 3_600_000_000
 # Exact running totals: differences of totals then lose nothing to rounding.
-EXACT = "decimal(33,18)"
-TOTAL = "decimal(38,18)"
-EXACT_LIMIT = 1e14
+EXACT = TOTAL = "decimal(38,18)"
 
 
 def whole_part(a: Column, b: int) -> Column:
@@ -54,9 +52,12 @@ def ranked(
 
 
 def exact(value: Column) -> Column:
-    """Value as a decimal with 18 places, clamped to where decimals can hold it."""
-    top = F.lit(EXACT_LIMIT)
-    return F.least(F.greatest(value, -top), top).cast(EXACT)
+    """Value as a decimal with 18 places; NaN and infinite values count as missing.
+
+    Values and sums of 1e20 or more do not fit and raise an overflow error.
+    """
+    usable = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.when(usable, value).cast(EXACT)
 
 
 def trailing_means(
@@ -86,15 +87,16 @@ def trailing_means(
     upto = part.orderBy(ts, tie).rowsBetween(W.unboundedPreceding, W.currentRow)
     x = exact(F.col(value))
     zero = F.lit(0).cast(TOTAL)
-    cols = {"_sum": F.sum(x).over(upto), "_cnt": F.count(value).over(upto)}
+    cols = {"_sum": F.sum(x).over(upto), "_cnt": F.count(x).over(upto)}
     for name, w in windows_s.items():
         before = part.orderBy(ts).rangeBetween(W.unboundedPreceding, -(w * 1_000_000 + 1))
         cols["_sum_" + name] = F.coalesce(F.sum(x).over(before), zero)
-        cols["_cnt_" + name] = F.count(value).over(before)
+        cols["_cnt_" + name] = F.count(x).over(before)
     out = rows.withColumns(cols).filter(F.col("_span") == F.col("_own"))
     means = {
-        prefix + n: (F.col("_sum") - F.col("_sum_" + n)).cast("double")
-        / (F.col("_cnt") - F.col("_cnt_" + n))
+        prefix + n: F.try_divide(
+            (F.col("_sum") - F.col("_sum_" + n)).cast("double"), F.col("_cnt") - F.col("_cnt_" + n)
+        )
         for n in windows_s
     }
     return out.withColumns(means).drop("_own", "_span", *cols)

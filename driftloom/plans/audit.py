@@ -79,9 +79,9 @@ def execution_summaries(log: DataFrame) -> DataFrame:
 
 
 def execution_history(summaries: DataFrame, last_n: int = 20) -> DataFrame:
-    """Last n archived executions, oldest first; n is at most 100."""
+    """Last n archived executions, oldest first."""
     done = summaries.filter("archived_us IS NOT NULL")
-    newest = done.orderBy(F.desc("archived_us"), F.desc("execution_id")).limit(min(last_n, 100))
+    newest = done.orderBy(F.desc("archived_us"), F.desc("execution_id")).limit(last_n)
     return newest.orderBy("archived_us", "execution_id")
 
 

@@ -90,16 +90,12 @@ def chain_depths(nodes: DataFrame, max_depth: int = 10) -> DataFrame:
 
 
 def list_adapters(nodes: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
-    if not 1 <= limit <= 200:
-        raise ValueError("limit must be 1..200")
     rows = nodes if status is None else nodes.filter(F.col("status") == status)
     return rows.orderBy("created_at", "adapter_id").limit(limit)
 
 
 def list_cycles(nodes: DataFrame, limit: int = 20) -> DataFrame:
     """Latest adapters as cycle summaries; `deployment_record` may be null or lack a cost."""
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be 1..100")
     return (
         cycle_summaries(nodes).orderBy(F.desc("created_at"), F.asc("adapter_id")).limit(limit)
     )

@@ -32,8 +32,12 @@ def checkpoints(
 
 
 def updated_status(nodes: DataFrame, updates: DataFrame) -> DataFrame:
-    """Nodes with the status of `updates` (adapter_id, status); unknown ids change nothing."""
-    new = updates.select("adapter_id", F.col("status").alias("_status"))
+    """Nodes with the status of `updates` (adapter_id, status); unknown ids change nothing.
+
+    Of several updates of one adapter the last one wins, by `seq` if there is one.
+    """
+    order = F.struct(*[c for c in ("seq", "status") if c in updates.columns])
+    new = updates.groupBy("adapter_id").agg(F.max_by("status", order).alias("_status"))
     return (
         nodes.join(new, "adapter_id", "left")
         .withColumn("status", F.coalesce("_status", "status"))
