@@ -10,9 +10,9 @@ The method is a join over size-banded tiles with hashed bitmap signatures:
 2. Two sets at or above the threshold share one of the first `|A| - ceil(t |A|) + 1` members in any
    common order. The order puts n-grams that the corpus repeats most last (counted in a fixed-size
    sketch), so passages that many documents hold rarely make a bucket.
-3. Inside a bucket nodes are sorted by size. Each node is first compared with the one node that
-   stands before it most often; that already joins groups of near copies, however large, into a
-   tree with one pair per node.
+3. Inside a bucket nodes are sorted by size, and by two hashes. Each node is first compared with
+   the node that stands before it most often, one for each order; that already joins groups of near
+   copies, however large, by three pairs per node.
 4. What is left are pairs of one bucket whose components differ. They go through tiles: bands of
    at most `band_rows` nodes by size, pairs of bands whose sizes can match, bitmap bound first,
    then the exact intersection of the sorted arrays. Every such pair is tested, so the components
@@ -41,6 +41,8 @@ from driftloom.llm.words import (
 
 COUNTERS = 1 << 18
 BLOOM_BYTES = 1 << 21
+#: Orders of a bucket in which each node is first compared with the node before it.
+FIRST_PAIRS = 3
 #: Least and largest number of 64-bit words of a bitmap.
 SIGN_WORDS = (8, 1024)
 #: Multipliers of the places in an n-gram.
@@ -422,11 +424,10 @@ def jaccard_groups(
     buckets = (
         prefix_rows(docs, n, share, common)
         .withColumn("p", F.lag("id").over(inside))
-        .withColumn("p_n", F.lag("n").over(inside))
         .withColumn("a", F.min("id").over(bucket))
         .withColumn("b", F.max("id").over(bucket))
         .where("a != b and (p is null or p != id)")
-        .select("token", "id", "n", "p", "p_n")
+        .select("token", "id", "n")
     )
     buckets = scratch.write(buckets, "buckets")
 
@@ -434,13 +435,18 @@ def jaccard_groups(
     marks = scratch.write(marks, "marks")
     lows = marks.select("id", "low")
 
+    before = F.struct("id", "n")
+    orders = [bucket.orderBy("n", "id")] + [
+        bucket.orderBy(F.xxhash64("id", F.lit(k)), "id") for k in range(1, FIRST_PAIRS)
+    ]
+    met = buckets.select("id", "n", F.posexplode(F.array([F.lag(before).over(o) for o in orders])).alias("order", "p"))
     near = (
-        buckets.where(f"p is not null and 100 * p_n >= {share} * n")
-        .groupBy("p", "id").agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
-        .where(f"met >= greatest(1, 0.3 * (n - ceil({share / 100} * n)))")
-        .groupBy("id").agg(F.max(F.struct("met", "p")).alias("best"))
-        .select(F.greatest("best.p", "id").alias("u"), F.least("best.p", "id").alias("v"), F.col("id"))
-        .join(lows, "id").select("u", "v", "low")
+        met.where(f"p is not null and 100 * least(n, p.n) >= {share} * greatest(n, p.n)")
+        .groupBy("order", "id", F.col("p.id").alias("p")).agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
+        .where(f"met >= greatest(1, 0.2 * (n - ceil({share / 100} * n)))")
+        .groupBy("order", "id").agg(F.max(F.struct("met", "p")).alias("best"))
+        .select(F.greatest("best.p", "id").alias("u"), F.least("best.p", "id").alias("v")).distinct()
+        .withColumn("id", F.col("u")).join(lows, "id").select("u", "v", "low")
     )
     links = verified(scratch, docs, near, n, share, tile_pairs)
     comps = graph.components(scratch, links)
