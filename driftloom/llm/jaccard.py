@@ -439,7 +439,8 @@ def jaccard_groups(
     orders = [bucket.orderBy("n", "id")] + [
         bucket.orderBy(F.xxhash64("id", F.lit(k)), "id") for k in range(1, FIRST_PAIRS)
     ]
-    met = buckets.select("id", "n", F.posexplode(F.array([F.lag(before).over(o) for o in orders])).alias("order", "p"))
+    placed = buckets.select("id", "n", F.array([F.lag(before).over(o) for o in orders]).alias("earlier"))
+    met = placed.select("id", "n", F.posexplode("earlier").alias("order", "p"))
     near = (
         met.where(f"p is not null and 100 * least(n, p.n) >= {share} * greatest(n, p.n)")
         .groupBy("order", "id", F.col("p.id").alias("p")).agg(F.count(F.lit(1)).alias("met"), F.first("n").alias("n"))
