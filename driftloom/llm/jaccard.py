@@ -14,9 +14,11 @@ The method is a join over size-banded tiles with hashed bitmap signatures:
    the node that stands before it most often, one for each order; that already joins groups of near
    copies, however large, by three pairs per node.
 4. What is left are pairs of one bucket whose components differ. They go through tiles: bands of
-   at most `band_rows` nodes by size, pairs of bands whose sizes can match, bitmap bound first,
-   then the exact intersection of the sorted arrays. Every such pair is tested, so the components
-   are exact.
+   at most `band_rows` nodes by size, pairs of bands whose sizes can match. A bucket passes a pair
+   on only if enough of both sets stands behind its member in the common order; the bucket of the
+   first member that a similar pair shares always does, so most pairs come from few of their
+   buckets. Then the bitmap bound, then the exact intersection of the sorted arrays. Every such
+   pair is tested, so the components are exact.
 
 Sets are never collected: a tile holds at most `tile_pairs` pairs. 64-bit hashes stand for n-grams
 and for sets.
@@ -160,7 +162,10 @@ def nodes(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, n: int, share: int, counts) -> DataFrame:
-    """(token, id, n) of the members that a set must share one of with every similar set."""
+    """(token, id, n, pos) of the members that a set must share one of with every similar set.
+
+    pos is the member's place in the common order, from 1; equal ranks share the first place.
+    """
 
     def run(batches):
         common = counts.value
@@ -172,6 +177,7 @@ def prefix_rows(docs: DataFrame, n: int, share: int, counts) -> DataFrame:
                 "token": pa.array(signed(np.concatenate([x[2] for x in held])) if held else np.empty(0, np.int64)),
                 "id": pa.array(np.repeat(np.array([x[0] for x in held], np.int64), sizes)),
                 "n": pa.array(np.repeat(np.array([x[1] for x in held], np.int32), sizes)),
+                "pos": pa.array(np.concatenate([x[3] for x in held]) if held else np.empty(0, np.int32)),
             })
             held.clear()
             return got
@@ -180,12 +186,14 @@ def prefix_rows(docs: DataFrame, n: int, share: int, counts) -> DataFrame:
             most = _prefix(len(grams), share)
             order = common[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)] | (grams & np.uint64((1 << 40) - 1))
             last = np.partition(order, most - 1)[most - 1]
-            held.append((key, len(grams), grams[order <= last]))
+            front = order <= last
+            pos = np.searchsorted(np.sort(order[front]), order[front]) + 1
+            held.append((key, len(grams), grams[front], pos.astype(np.int32)))
             if len(held) >= 500:
                 yield out()
         yield out()
 
-    return docs.mapInArrow(run, "token long, id long, n int")
+    return docs.mapInArrow(run, "token long, id long, n int, pos int")
 
 
 def chosen_sets(docs: DataFrame, n: int, wanted) -> DataFrame:
@@ -278,6 +286,9 @@ def _tile_pairs(share: int):
         n_left, n_right = left["n"], right["n"]
         small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
         ok = (100 * small >= share * large) & (left["comp"] != right["comp"])
+        # were this the first member both have, the overlap could be no more than what is left of either
+        rest = np.minimum(left["rest"], right["rest"])
+        ok &= (100 + share) * rest >= share * (n_left + n_right)
         left, right = ({k: v[ok] for k, v in x.items()} for x in (left, right))
         # a pair stands once in a chunk, in however many buckets it meets
         _, once = np.unique(np.stack([left["id"], right["id"]]), axis=1, return_index=True)
@@ -322,9 +333,10 @@ def _tile_pairs(share: int):
         for batch in _with_end(batches):
             if batch is not None:
                 now = {
-                    k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "i", "j", "side", "id", "n", "comp", "low")
+                    k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "i", "j", "side", "id", "n", "pos", "comp", "low")
                 }
                 now["n"] = now["n"].astype(np.int64)
+                now["rest"] = now["n"] - now.pop("pos") + 1
                 now["sign"] = np.array([*batch.column("sign").to_pylist(), None], object)[:-1]
                 rows = now if kept is None else {k: np.concatenate([kept[k], now[k]]) for k in now}
             elif kept is None:
@@ -345,7 +357,7 @@ def _tile_pairs(share: int):
                 starts, ends = starts[:-1], ends[:-1]
             signs = rows["sign"].tolist()
             pool = np.frombuffer(b"".join(signs), np.uint64)
-            plain = {k: rows[k] for k in ("id", "n", "comp", "low")}
+            plain = {k: rows[k] for k in ("id", "n", "rest", "comp", "low")}
             plain["wide"] = np.array([len(x) // 8 for x in signs], np.int64)
             plain["at"] = np.cumsum(plain["wide"]) - plain["wide"]
             for a, b in pairs_of(rows, starts, ends):
@@ -371,7 +383,7 @@ def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, shar
         .withColumn("b", F.max("comp").over(whole))
         .withColumn("band", ((F.row_number().over(whole.orderBy("n", "id")) - 1) / band_rows).cast("int"))
         .where("a != b")
-        .select("token", "id", "n", "comp", "band")
+        .select("token", "id", "n", "pos", "comp", "band")
     )
     marked = marked.join(marks, "id")
     bands = marked.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -382,7 +394,7 @@ def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, shar
         F.struct(F.col("i").alias("band"), F.lit(0).alias("side")),
         F.struct(F.col("j").alias("band"), F.lit(1).alias("side")),
     )).alias("s")).select("token", "i", "j", "s.*")
-    columns = ["token", "i", "j", "side", "id", "n", "comp", "low", "sign"]
+    columns = ["token", "i", "j", "side", "id", "n", "pos", "comp", "low", "sign"]
     own = marked.withColumns({"i": F.col("band"), "j": F.col("band"), "side": F.lit(0)}).select(columns)
     other = marked.join(sides, ["token", "band"]).select(columns)
     rows = own.unionAll(other)
@@ -427,7 +439,7 @@ def jaccard_groups(
         .withColumn("a", F.min("id").over(bucket))
         .withColumn("b", F.max("id").over(bucket))
         .where("a != b and (p is null or p != id)")
-        .select("token", "id", "n")
+        .select("token", "id", "n", "pos")
     )
     buckets = scratch.write(buckets, "buckets")
 
