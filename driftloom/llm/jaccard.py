@@ -252,6 +252,7 @@ def verified(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, share:
     needs = tiles.select(
         F.col("tile").alias("t"), F.col("part").alias("p"), F.explode(F.array("u", "v")).alias("id")
     ).distinct()
+    needs = scratch.write(needs, "needs")
     bits = sketch.bloom(needs.select("id"), BLOOM_BYTES)
     wanted = checked_broadcast(spark, bits, bits.nbytes, BLOOM_BYTES)
     sets = needs.join(chosen_sets(docs, n, wanted).dropDuplicates(["id"]), "id")
