@@ -17,8 +17,9 @@ The method is a join over size-banded tiles with hashed bitmap signatures:
    at most `band_rows` nodes by size, pairs of bands whose sizes can match. A bucket passes a pair
    on only if enough of both sets stands behind its member in the common order; the bucket of the
    first member that a similar pair shares always does, so most pairs come from few of their
-   buckets. Then the bitmap bound, then the exact intersection of the sorted arrays. Every such
-   pair is tested, so the components are exact.
+   buckets. Rows that have such a partner in their tile get their bitmaps; then the bitmap bound,
+   then the exact intersection of the sorted arrays. Every such pair is tested, so the components
+   are exact.
 
 Sets are never collected: a tile holds at most `tile_pairs` pairs. 64-bit hashes stand for n-grams
 and for sets.
@@ -49,6 +50,12 @@ FIRST_PAIRS = 3
 SIGN_WORDS = (8, 1024)
 #: Multipliers of the places in an n-gram.
 _PLACE = mixed(np.arange(11, 75, dtype=np.uint64)) | np.uint64(1)
+#: Columns of a tile's rows before they get their bitmaps.
+_TILE = {
+    "token": np.int64, "i": np.int32, "j": np.int32, "side": np.int32,
+    "id": np.int64, "n": np.int32, "pos": np.int32, "comp": np.int64,
+}
+_SQL_TYPE = {np.int64: "long", np.int32: "int"}
 
 
 def gram_sets(data: np.ndarray, at: np.ndarray, n: int):
@@ -280,16 +287,98 @@ def _folded(pool: np.ndarray, at: np.ndarray, wide: np.ndarray, width: int) -> n
     return out
 
 
+def _possible(left: dict, right: dict, share: int) -> np.ndarray:
+    """Which pairs of rows sizes, components and places leave open."""
+    n_left, n_right = left["n"], right["n"]
+    small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
+    # were this the first member both have, the overlap could be no more than what is left of either
+    rest = np.minimum(left["rest"], right["rest"])
+    return (
+        (100 * small >= share * large) & (left["comp"] != right["comp"])
+        & ((100 + share) * rest >= share * (n_left + n_right))
+    )
+
+
+def _runs(batches):
+    """Columns of rows and the starts and ends of their runs of equal (token, i, j), whole runs only."""
+    kept = None
+    for batch in _with_end(batches):
+        if batch is not None:
+            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names if k != "sign"}
+            now["n"] = now["n"].astype(np.int64)
+            now["rest"] = now["n"] - now["pos"] + 1
+            if "sign" in batch.schema.names:
+                now["sign"] = np.array([*batch.column("sign").to_pylist(), None], object)[:-1]
+            rows = now if kept is None else {k: np.concatenate([kept[k], now[k]]) for k in now}
+        elif kept is None:
+            return
+        else:
+            rows = kept
+        size = len(rows["id"])
+        if not size:
+            continue
+        new = np.zeros(size, bool)
+        new[0] = True
+        for k in ("token", "i", "j"):
+            new[1:] |= rows[k][1:] != rows[k][:-1]
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], size)
+        if batch is not None:  # the last run may go on in the next batch
+            kept = {k: v[starts[-1] :].copy() for k, v in rows.items()}
+            starts, ends = starts[:-1], ends[:-1]
+        yield rows, starts, ends
+
+
+def _pairs_of(rows: dict, starts: np.ndarray, ends: np.ndarray):
+    """All pairs of each run: row k with the later rows, or side 0 with side 1 of two bands."""
+    budget, left, right, made = 1 << 18, [], [], 0
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        side = rows["side"][s:e]
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1)
+        if len(second):
+            for k in first:
+                left.append(np.full(len(second), s + k))
+                right.append(s + second)
+                made += len(second)
+                if made >= budget:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, made = [], [], 0
+        else:
+            for k in range(e - s - 1):
+                left.append(np.full(e - s - 1 - k, s + k))
+                right.append(np.arange(s + k + 1, e))
+                made += e - s - 1 - k
+                if made >= budget:
+                    yield np.concatenate(left), np.concatenate(right)
+                    left, right, made = [], [], 0
+    if made:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _open_rows(share: int):
+    """Rows of a tile that have a possible partner there; only these need their bitmaps."""
+
+    def run(batches):
+        for rows, starts, ends in _runs(batches):
+            plain = {k: rows[k] for k in ("n", "rest", "comp")}
+            found = np.zeros(len(rows["id"]), bool)
+            for a, b in _pairs_of(rows, starts, ends):
+                ok = _possible({k: v[a] for k, v in plain.items()}, {k: v[b] for k, v in plain.items()}, share)
+                found[a[ok]] = True
+                found[b[ok]] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows[k][found].astype(t)) for k, t in _TILE.items()], names=list(_TILE)
+            )
+
+    return run
+
+
 def _tile_pairs(share: int):
     """Pairs of different components inside each run of rows with equal (token, i, j)."""
 
     def emit(left, right, pool):
-        n_left, n_right = left["n"], right["n"]
-        small, large = np.minimum(n_left, n_right), np.maximum(n_left, n_right)
-        ok = (100 * small >= share * large) & (left["comp"] != right["comp"])
-        # were this the first member both have, the overlap could be no more than what is left of either
-        rest = np.minimum(left["rest"], right["rest"])
-        ok &= (100 + share) * rest >= share * (n_left + n_right)
+        ok = _possible(left, right, share)
         left, right = ({k: v[ok] for k, v in x.items()} for x in (left, right))
         # a pair stands once in a chunk, in however many buckets it meets
         _, once = np.unique(np.stack([left["id"], right["id"]]), axis=1, return_index=True)
@@ -303,65 +392,14 @@ def _tile_pairs(share: int):
         both = np.stack([u, v, low], axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[:, k]) for k in range(3)], names=["u", "v", "low"])
 
-    def pairs_of(rows, starts, ends):
-        """All pairs of each run: row k with the later rows, or side 0 with side 1 of two bands."""
-        budget, left, right, made = 1 << 18, [], [], 0
-        for s, e in zip(starts, ends):
-            side = rows["side"][s:e]
-            first = np.flatnonzero(side == 0)
-            second = np.flatnonzero(side == 1)
-            if len(second):
-                for k in first:
-                    left.append(np.full(len(second), s + k))
-                    right.append(s + second)
-                    made += len(second)
-                    if made >= budget:
-                        yield np.concatenate(left), np.concatenate(right)
-                        left, right, made = [], [], 0
-            else:
-                for k in range(e - s - 1):
-                    left.append(np.full(e - s - 1 - k, s + k))
-                    right.append(np.arange(s + k + 1, e))
-                    made += e - s - 1 - k
-                    if made >= budget:
-                        yield np.concatenate(left), np.concatenate(right)
-                        left, right, made = [], [], 0
-        if made:
-            yield np.concatenate(left), np.concatenate(right)
-
     def run(batches):
-        kept = None
-        for batch in _with_end(batches):
-            if batch is not None:
-                now = {
-                    k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("token", "i", "j", "side", "id", "n", "pos", "comp", "low")
-                }
-                now["n"] = now["n"].astype(np.int64)
-                now["rest"] = now["n"] - now.pop("pos") + 1
-                now["sign"] = np.array([*batch.column("sign").to_pylist(), None], object)[:-1]
-                rows = now if kept is None else {k: np.concatenate([kept[k], now[k]]) for k in now}
-            elif kept is None:
-                return
-            else:
-                rows = kept
-            size = len(rows["id"])
-            if not size:
-                continue
-            new = np.zeros(size, bool)
-            new[0] = True
-            for k in ("token", "i", "j"):
-                new[1:] |= rows[k][1:] != rows[k][:-1]
-            starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], size)
-            if batch is not None:  # the last run may go on in the next batch
-                kept = {k: v[starts[-1] :].copy() for k, v in rows.items()}
-                starts, ends = starts[:-1], ends[:-1]
+        for rows, starts, ends in _runs(batches):
             signs = rows["sign"].tolist()
             pool = np.frombuffer(b"".join(signs), np.uint64)
             plain = {k: rows[k] for k in ("id", "n", "rest", "comp", "low")}
             plain["wide"] = np.array([len(x) // 8 for x in signs], np.int64)
             plain["at"] = np.cumsum(plain["wide"]) - plain["wide"]
-            for a, b in pairs_of(rows, starts, ends):
+            for a, b in _pairs_of(rows, starts, ends):
                 yield emit({k: v[a] for k, v in plain.items()}, {k: v[b] for k, v in plain.items()}, pool)
 
     return run
@@ -372,7 +410,9 @@ def _with_end(batches):
     yield None
 
 
-def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, share: int, band_rows: int) -> DataFrame:
+def remaining_pairs(
+    scratch: Scratch, buckets: DataFrame, marks: DataFrame, comps: DataFrame, share: int, band_rows: int
+) -> DataFrame:
     """Pairs (u, v, low) of one bucket in different components that the bounds leave over."""
     marked = (
         buckets.join(comps.select(F.col("u").alias("id"), F.col("v").alias("comp")), "id", "left")
@@ -386,7 +426,7 @@ def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, shar
         .where("a != b")
         .select("token", "id", "n", "pos", "comp", "band")
     )
-    marked = marked.join(marks, "id")
+    marked = scratch.write(marked, "marked")
     bands = marked.groupBy("token", "band").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     two = bands.alias("x").join(bands.alias("y"), "token").where(
         f"x.band < y.band and 100 * x.hi >= {share} * y.lo"
@@ -395,13 +435,17 @@ def remaining_pairs(buckets: DataFrame, marks: DataFrame, comps: DataFrame, shar
         F.struct(F.col("i").alias("band"), F.lit(0).alias("side")),
         F.struct(F.col("j").alias("band"), F.lit(1).alias("side")),
     )).alias("s")).select("token", "i", "j", "s.*")
-    columns = ["token", "i", "j", "side", "id", "n", "pos", "comp", "low", "sign"]
+    columns = list(_TILE)
     own = marked.withColumns({"i": F.col("band"), "j": F.col("band"), "side": F.lit(0)}).select(columns)
     other = marked.join(sides, ["token", "band"]).select(columns)
-    rows = own.unionAll(other)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return rows.mapInArrow(_tile_pairs(share), "u long, v long, low long").distinct()
+    parts = int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def tiles(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    schema = ", ".join(f"{k} {_SQL_TYPE[t]}" for k, t in _TILE.items())
+    left = scratch.write(tiles(own.unionAll(other)).mapInArrow(_open_rows(share), schema), "open")
+    return tiles(left.join(marks, "id")).mapInArrow(_tile_pairs(share), "u long, v long, low long").distinct()
 
 
 def row_key() -> Column:
@@ -464,7 +508,7 @@ def jaccard_groups(
     )
     links = verified(scratch, docs, near, n, share, tile_pairs)
     comps = graph.components(scratch, links)
-    more = remaining_pairs(buckets, marks, comps, share, band_rows)
+    more = remaining_pairs(scratch, buckets, marks, comps, share, band_rows)
     more = scratch.write(more, "more")
     rest = verified(scratch, docs, more, n, share, tile_pairs)
     if rest.isEmpty():
