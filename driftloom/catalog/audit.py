@@ -106,9 +106,8 @@ def start_requests(spark, sf):
     )
 
 
-@query(
-    "win10_cycle_admission",
-    "WITH RECURSIVE req AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cluster_id "
+ADMISSION_SQL = (
+    "req AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cluster_id "
     "ORDER BY ts_us, request_id) AS rn FROM (SELECT o_orderkey AS request_id, o_orderpriority AS "
     "cluster_id, epoch_us(o_orderdate) + o_orderkey AS ts_us, CASE WHEN o_orderkey % 5000 <> 3 "
     "THEN epoch_us(o_orderdate) + o_orderkey + CAST(trunc(o_totalprice * 1000000) AS BIGINT) ELSE "
@@ -118,7 +117,14 @@ def start_requests(spark, sf):
     "busy END FROM (SELECT q.cluster_id, q.rn, q.request_id, q.done AS own, r.done AS busy, CASE "
     "WHEN q.ts_us < r.done THEN 'running' WHEN q.ts_us - r.done < 43200000000 THEN "
     "'rate_limited' ELSE 'ok' END AS reason FROM run r JOIN req q ON q.cluster_id = r.cluster_id "
-    "AND q.rn = r.rn + 1)) SELECT request_id, reason = 'ok' AS admitted, reason FROM run",
+    "AND q.rn = r.rn + 1))"
+)
+
+
+@query(
+    "win10_cycle_admission",
+    f"WITH RECURSIVE {ADMISSION_SQL} "
+    "SELECT request_id, reason = 'ok' AS admitted, reason FROM run",
 )
 def win10(spark, sf):
     return greedy.cycle_admission(start_requests(spark, sf), "cluster_id").select(
@@ -254,6 +260,25 @@ def stuck(spark, sf):
     return audit.stuck_executions(s).select("execution_id", "current_state")
 
 
+@query(
+    "loop_audit",
+    f"WITH RECURSIVE {LOOP_SQL}, {ADMISSION_SQL}, moves AS (SELECT execution_id, count(*) AS moves, "
+    f"count(*) FILTER (WHERE NOT {_legal_sql(LOOP_TRANSITIONS)}) AS illegal_moves, "
+    "arg_max(to_state, (ts_us, seq)) AS current_state FROM log GROUP BY 1), asked AS (SELECT 'x' || "
+    "request_id AS execution_id, reason = 'ok' AS admitted, reason FROM run) SELECT execution_id, "
+    "admitted, reason, moves, illegal_moves, current_state, CASE WHEN admitted IS NULL THEN "
+    "'unrequested' WHEN NOT admitted THEN CASE WHEN moves IS NULL THEN 'refused' ELSE 'ran though "
+    "refused' END WHEN moves IS NULL THEN 'never started' WHEN illegal_moves > 0 THEN 'illegal "
+    "moves' WHEN current_state <> 'IDLE' THEN 'open' ELSE 'ok' END AS finding "
+    "FROM asked FULL JOIN moves USING (execution_id)",
+)
+def audit_loop(spark, sf):
+    requests = start_requests(spark, sf).withColumn(
+        "request_id", F.concat(F.lit("x"), "request_id")
+    )
+    return audit.loop_audit(requests, loop_log(spark, sf))
+
+
 @query(
     "win13_current_production",
     "SELECT user_id % 10 AS cluster_id, 'a' || arg_max(event_id, (ts, 'a' || event_id)) AS adapter_id "

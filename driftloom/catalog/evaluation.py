@@ -358,7 +358,8 @@ def agg18(spark, sf):
 @query("agg21_gate_decisions")
 def agg21(spark, sf):
     a = answers(spark, sf)
-    return E.evaluate_adapters(a, a, sums(spark, sf), probes(spark, sf))
+    failures = sums(spark, sf).withColumn("cluster_id", (F.col("prompt_id") % 2).cast("int"))
+    return E.evaluate_adapters(a, a, failures, probes(spark, sf))
 
 
 @query(

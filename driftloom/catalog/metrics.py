@@ -78,6 +78,40 @@ def agg26_promotion(spark, sf):
     )
 
 
+def observations(spark, sf):
+    """Three observations of each event: a counted one, a gauge's and a duration."""
+
+    def seen(metric, kind, value):
+        return F.struct(
+            F.lit(metric).alias("metric"), F.lit(kind).alias("kind"),
+            value.cast("double").alias("value"),
+        )
+
+    return table(spark, sf, "events").select(
+        F.col("event_type").alias("label"), "ts", F.col("event_id").alias("seq"),
+        F.inline(F.array(
+            seen("drift_events_total", "counter", F.lit(1)),
+            seen("anomaly_score", "gauge", F.col("value")),
+            seen("promotion_duration_ms", "histogram", F.col("value") * 50),
+        )),
+    )
+
+
+@query(
+    "metrics_rollup",
+    "SELECT 'drift_events_total' AS metric, 'counter' AS kind, event_type AS label, "
+    "CAST(NULL AS DOUBLE) AS le, CAST(count(*) AS DOUBLE) AS value, count(*) AS observations "
+    "FROM events GROUP BY event_type UNION ALL "
+    "SELECT 'anomaly_score', 'gauge', event_type, NULL, round(arg_max(value, (ts, event_id)), 6), "
+    "count(*) FILTER (WHERE value IS NOT NULL) FROM events GROUP BY event_type UNION ALL "
+    "SELECT 'promotion_duration_ms', 'histogram', event_type, le, CAST(count(*) FILTER (WHERE le IS "
+    "NULL OR value * 50 <= le) AS DOUBLE), count(*) FROM (SELECT * FROM events WHERE value IS NOT "
+    f"NULL) CROSS JOIN {_bounds_sql(HISTOGRAM_BOUNDS['promotion_duration_ms'])} GROUP BY event_type, le",
+)
+def rollup(spark, sf):
+    return M.metrics_rollup(observations(spark, sf)).withColumn("value", F.round("value", 6))
+
+
 @query(
     "agg27_capture_p99",
     "SELECT event_type, observations, CASE WHEN observations = 0 THEN 0e0 ELSE bound END AS "

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from driftloom.config import ADAPTER_TRANSITIONS, LOOP_TERMINAL, LOOP_TRANSITIONS, LoopConfig
 from driftloom.functions.signals import is_drift_trigger
+from driftloom.operators.greedy import cycle_admission
 
 CFG = LoopConfig()
 
@@ -90,6 +91,39 @@ def stuck_executions(summaries: DataFrame) -> DataFrame:
     return summaries.filter("archived_us IS NULL")
 
 
+def loop_audit(requests: DataFrame, log: DataFrame, key: str = "cluster_id") -> DataFrame:
+    """What became of every start request and every execution in the transition log.
+
+    requests: request_id (the execution's id), key, ts_us, completed_us; log: execution_id, seq,
+    ts_us, from_state, to_state. One row per execution_id with the admission decision, the number
+    of moves and of illegal ones, the last state, and a finding. Ids of null match nothing.
+    """
+    started = cycle_admission(requests, key).select(
+        F.col("request_id").alias("execution_id"), "admitted", "reason"
+    )
+    legal = transition_table(log.sparkSession).withColumn("_legal", F.lit(True))
+    moves = (
+        log.join(F.broadcast(legal), ["from_state", "to_state"], "left")
+        .groupBy("execution_id")
+        .agg(
+            F.count(F.lit(1)).alias("moves"),
+            F.count_if(F.col("_legal").isNull()).alias("illegal_moves"),
+            F.max_by("to_state", F.struct("ts_us", "seq")).alias("current_state"),
+        )
+    )
+    ran = F.col("moves").isNotNull()
+    finding = (
+        F.when(F.col("admitted").isNull(), "unrequested")
+        .when(~F.col("admitted") & ran, "ran though refused")
+        .when(~F.col("admitted"), "refused")
+        .when(~ran, "never started")
+        .when(F.col("illegal_moves") > 0, "illegal moves")
+        .when(F.col("current_state") != "IDLE", "open")
+        .otherwise("ok")
+    )
+    return started.join(moves, "execution_id", "full").withColumn("finding", finding)
+
+
 def canary_anomalies(pairs: DataFrame, cfg: LoopConfig = CFG) -> DataFrame:
     gap = F.col("canary_score") - F.col("production_score")
     return pairs.withColumn("roll_back", gap > cfg.canary_sigma)

@@ -23,6 +23,50 @@ def histogram(obs: DataFrame, metric: str, value: str, labels: list[str] = []) -
     return cumulative_histogram(obs, value, HISTOGRAM_BOUNDS[metric], labels)
 
 
+def metrics_rollup(obs: DataFrame) -> DataFrame:
+    """(metric, kind, label, le, value, observations) of every observed metric and label.
+
+    obs: metric, kind (counter, gauge or histogram), label, value, ts, seq. A counter is the sum of
+    its values, a gauge the latest one. A histogram has a row for each bound of its metric and one
+    without (le null), whose value counts the observations up to it. Rows without a value count
+    for nothing; other kinds are left out.
+    """
+    keys = ["metric", "kind", "label"]
+    seen = obs.filter("value IS NOT NULL")
+    plain = seen.filter("kind IN ('counter', 'gauge')").groupBy(*keys).agg(
+        F.sum("value").alias("_sum"),
+        F.max_by("value", F.struct("ts", "seq")).alias("_latest"),
+        F.count(F.lit(1)).alias("observations"),
+    ).select(
+        *keys,
+        F.lit(None).cast("double").alias("le"),
+        F.when(F.col("kind") == "counter", F.col("_sum")).otherwise(F.col("_latest")).alias("value"),
+        "observations",
+    )
+    bounds = F.array().cast("array<double>")
+    for metric, limits in HISTOGRAM_BOUNDS.items():
+        own = F.array(*[F.lit(float(b)) for b in limits])
+        bounds = F.when(F.col("metric") == metric, own).otherwise(bounds)
+    slot = F.size(F.filter(bounds, lambda b: b < F.col("value")))
+    slots = seen.filter("kind = 'histogram'").groupBy(*keys, slot.alias("_slot")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    held = slots.groupBy(*keys).agg(  # at most one entry for each bound and one beyond
+        F.collect_list(F.struct("_slot", "_n")).alias("_held"), F.sum("_n").alias("observations")
+    )
+    bars = held.select(
+        *keys, "observations", "_held",
+        F.posexplode(F.concat(bounds, F.array(F.lit(None).cast("double")))).alias("_at", "le"),
+    )
+    upto = F.aggregate(
+        "_held",
+        F.lit(0).cast("long"),
+        lambda total, x: total + F.when(x["_slot"] <= F.col("_at"), x["_n"]).otherwise(F.lit(0)),
+    )
+    bars = bars.select(*keys, "le", upto.cast("double").alias("value"), "observations")
+    return plain.unionByName(bars)
+
+
 def capture_p99(obs: DataFrame, latency_ns: str, labels: list[str] = []) -> DataFrame:
     return bucket_quantile(obs, latency_ns, CAPTURE_LATENCY_NS, 0.99, labels)
 
