@@ -8,11 +8,10 @@ result is a regular expression without unions, such as `body ( nav ( ul ( li # )
 Inference is spread: a task folds its own pages into one wrapper per host, then the wrappers of a
 host, one per task, are aligned with each other. A host of any size sends one row per task.
 
-The wrapper gives the region that holds the article: the innermost block element with most of the
-variable text that lies outside menus, headers, footers, sidebars, notices, adverts, forms and
-comments. Text slots in it whose text is the same on all pages (three distinct ones at least) are
-part of the template and go. A page without that region keeps all of its own text outside the
-parts named above.
+The wrapper gives the region that holds the article: the innermost block element with all of the
+text that is not template and lies outside menus, headers, footers, sidebars, notices, adverts,
+forms and comments. Text slots whose text is the same on all pages (three distinct ones at least)
+are part of the template and go, and so do lists of links outside the region. Nothing else goes.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one space in page order. Inline tags add nothing, line breaks and block tags a space. Null and
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import os
 import re
 from collections import Counter
 
@@ -47,7 +47,8 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold article text.
 OUTSIDE = frozenset("nav footer aside form button head title menu dialog object canvas audio video".split())
-#: Words of class, id and role that mark such parts (fixed values).
+#: Words of class, id and role that mark such parts (fixed values). A compound such as
+#: `cookie-notice` marks one if all of its words do; `has-sidebar` does not.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
     "complementary consent contentinfo cookie cookies disqus footer form hidden login menu modal nav "
@@ -62,6 +63,9 @@ CLOSES = {
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true""", re.I)
 _NAME = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[a-z0-9_-]+")
+#: Elements that hold one text and are no region.
+_TEXT = re.compile(r"(p|li|td|h\d|pre|blockquote|dd|dt)\b")
 
 
 class Block:
@@ -72,18 +76,29 @@ class Block:
     def __init__(self, path: tuple[str, ...], text: str, linked: int, outside: bool):
         self.path, self.text, self.linked, self.outside = path, text, linked, outside
 
+    @property
+    def size(self) -> int:
+        """Characters of text, none if half of them are in links."""
+        return max(0, len(self.text) - 2 * self.linked)
+
+
+def _marked(token: str) -> bool:
+    """Whether a whole token of class, id or role marks a part that is no article."""
+    names = _NAME.findall(token) if _TOKEN.fullmatch(token) else []
+    return bool(names) and MARKS.issuperset(names)
+
 
 def _label(name: str, attributes: str) -> tuple[str, bool]:
     """Name of an element with its class, and whether its attributes say that it is no article."""
     if not attributes or attributes.isspace():
         return name, False
-    marks, classes = set(), []
+    bad, classes = False, []
     for key, value in _ATTR.findall(attributes):
         value = value.strip("\"'").lower()
-        marks.update(_NAME.findall(value))
+        bad = bad or any(map(_marked, value.split()))
         if key.lower() == "class":
             classes = sorted(re.sub(r"\d+", "0", c) for c in value.split())[:2]
-    bad = not MARKS.isdisjoint(marks) and name not in ("body", "html", "main", "article")
+    bad = bad and name not in ("body", "html", "main", "article")
     return ".".join([name, *classes]), bad or bool(_HIDDEN.search(attributes))
 
 
@@ -310,10 +325,8 @@ class Folded:
         stream, blocks = parse(page)
         mass: Counter = Counter()
         for b in blocks:
-            if not b.outside:
-                size = max(0, len(b.text) - 2 * b.linked)
-                for depth in range(len(b.path) + 1):
-                    mass["/".join(b.path[:depth])] += size
+            if not b.outside and b.size:
+                mass[" ".join(b.path)] += b.size
         return cls(page_wrapper(stream, blocks), 1, mass, 1)
 
     def merge(self, other: Folded) -> None:
@@ -323,10 +336,13 @@ class Folded:
         self.distinct = max(self.distinct, other.distinct) + (0 if same else 1)
         self.pages += other.pages
         self.mass.update(other.mass)
-        # paths of odd pages do not pile up: those with hardly any text go
-        if len(self.mass) > 4096:
-            least = sum(self.mass.values()) / 1e6
-            self.mass = Counter({k: v for k, v in self.mass.items() if v > least})
+        # paths of odd pages do not pile up: the deepest ones count for their parents
+        while len(self.mass) > 4096:
+            deepest = max(k.count(" ") for k in self.mass)
+            less: Counter = Counter()
+            for k, v in self.mass.items():
+                less[k.rpartition(" ")[0] if k.count(" ") == deepest else k] += v
+            self.mass = less
 
     def to_row(self) -> dict:
         return {"wrapper": json.dumps(self.wrapper), "pages": self.pages, "mass": json.dumps(self.mass), "distinct": self.distinct}
@@ -337,14 +353,13 @@ class Folded:
 
     def rule(self) -> dict:
         """Region of the article and the template texts inside it."""
-        whole = self.mass.get("", 0)
-        region = ""
-        for path, size in self.mass.items():
-            deeper = path.count("/") + bool(path) > region.count("/") + bool(region)
-            if path and size >= 0.6 * whole and deeper and not re.match(r"(p|li|td|h\d|pre|blockquote|dd|dt)\b", path.rsplit("/", 1)[-1]):
-                region = path
         fixed = sorted(_fixed_texts(self.wrapper)) if self.distinct >= 3 else []
-        return {"region": region, "fixed": fixed}
+        constant = _constant_paths(self.wrapper) if fixed else set()
+        paths = [k.split() for k, size in self.mass.items() if size and k not in constant]
+        region = os.path.commonprefix(paths)
+        while region and _TEXT.match(region[-1]):
+            region = region[:-1]
+        return {"region": " ".join(region), "fixed": fixed}
 
 
 def _fixed_texts(items: list) -> set[str]:
@@ -359,15 +374,38 @@ def _fixed_texts(items: list) -> set[str]:
     return out
 
 
+def _constant_paths(items: list) -> set[str]:
+    """Paths all of whose slots have a text that every page has."""
+    slots: dict[str, bool] = {}
+    stack: list[str] = []
+
+    def walk(items: list, always: bool) -> None:
+        for item in items:
+            if isinstance(item, list):
+                if item[0] == "#":
+                    path = " ".join(stack)
+                    slots[path] = slots.get(path, True) and always and item[1] is not None
+                else:
+                    walk(item[1], always and item[0] == "+")
+            elif not item.startswith("/"):
+                stack.append(item)
+            elif item[1:] in stack:
+                while stack.pop() != item[1:]:
+                    pass
+
+    walk(items, True)
+    return {path for path, constant in slots.items() if constant}
+
+
 def main_text(page: str | None, rule: dict | None) -> str:
     """Text blocks of the article of one page, joined by one space."""
     blocks = [b for b in parse(page)[1] if not b.outside]
-    if rule and rule["region"]:
-        region = tuple(rule["region"].split("/"))
+    if rule:
+        region = tuple(rule["region"].split())
         inside = [b for b in blocks if b.path[: len(region)] == region]
         fixed = set(rule["fixed"])
-        varied = [b for b in inside if b.text[:200] not in fixed]
-        blocks = varied or inside or blocks
+        own = [b for b in blocks if (b.size or b.path[: len(region)] == region) and b.text[:200] not in fixed]
+        blocks = own or inside or blocks
     return " ".join(b.text for b in blocks)
 
 

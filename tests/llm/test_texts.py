@@ -171,6 +171,34 @@ def test_wrapper_is_union_free():
     assert main_text("<p>x</p>", folded.rule()) == "x"
 
 
+def _extracted(pages):
+    """Texts of pages of one host."""
+    folded = Folded.of(pages[0])
+    for p in pages[1:]:
+        folded.merge(Folded.of(p))
+    rule = folded.rule()
+    return [main_text(p, rule) for p in pages]
+
+
+def _prose(seed, n=60):
+    return " ".join("v%d" % x for x in np.random.default_rng(seed).integers(0, 10**6, n))
+
+
+def test_extraction_keeps_headline_and_intro():
+    page = (
+        "<body><div class='w-1/2 tagline'>All the news</div><article><h1>{}</h1><div class='intro'><p>{}</p></div><div class='body'><p>{}</p><p>{}</p></div>"
+        "</article><div class='more'><p><a href='/'>Other {}</a></p></div></body>"
+    )
+    parts = [(_prose(k, 5), _prose(k + 100, 20), _prose(k + 200, 90), _prose(k + 300, 90)) for k in range(6)]
+    assert _extracted([page.format(*p, k) for k, p in enumerate(parts)]) == [" ".join(p) for p in parts]
+
+
+def test_marks_are_whole_tokens():
+    page = "<body><div class='content has-sidebar'><p>{0}</p></div><div class='sidebar'>s {0}</div><div class='cookie-notice'>c {0}</div></body>"
+    texts = [_prose(k) for k in range(4)]
+    assert _extracted([page.format(t) for t in texts]) == texts
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "<p>x &amp; y</p>\r\n\r\nWARC/1.1\r\n"), (2, None, None), (None, "http://b/", "é" * 3), (1, "http://a/", "<p>x &amp; y</p>\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit("clash"))
