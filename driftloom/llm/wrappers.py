@@ -12,6 +12,7 @@ The wrapper gives the region that holds the article: the innermost block element
 text that is not template and lies outside menus, headers, footers, sidebars, notices, adverts,
 forms and comments. Text slots whose text is the same on all pages (three distinct ones at least)
 are part of the template and go, and so do lists of links outside the region. Nothing else goes.
+Texts are compared whole, by digest, and a page's texts with those at the same place of the wrapper.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
 by one space in page order. Inline tags add nothing, line breaks and block tags a space. Null and
@@ -21,7 +22,9 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import itertools
 import json
 import os
 import re
@@ -81,6 +84,13 @@ class Block:
         """Characters of text, none if half of them are in links."""
         return max(0, len(self.text) - 2 * self.linked)
 
+    @property
+    def token(self) -> str:
+        """The text if it is short, else its digest, which is longer than a short text."""
+        if len(self.text) <= 64:
+            return self.text
+        return "\0" + hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=32).hexdigest()
+
 
 def _marked(token: str) -> bool:
     """Whether a whole token of class, id or role marks a part that is no article."""
@@ -183,8 +193,9 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
     return stream, blocks
 
 
-# A wrapper is a list of items: a tag (str); a slot ["#", text or None]; a repeated group
-# ["+", items]; an optional group ["?", items].
+# A wrapper is a list of items: a tag (str); a slot ["#", token of the text or None]; a repeated
+# group ["+", items]; an optional group ["?", items]. In a page's own items a slot may also hold the
+# numbers of its blocks, as a list.
 
 
 def key(item) -> str:
@@ -248,6 +259,8 @@ def _same(a, b):
     if isinstance(a, str):
         return a
     if a[0] == "#":
+        if isinstance(a[1], list):
+            return ["#", a[1] + b[1]]
         return ["#", a[1] if a[1] == b[1] else None]
     return [a[0], [_same(x, y) for x, y in zip(a[1], b[1])]]
 
@@ -259,20 +272,9 @@ def _bare(item):
 
 def align(a: list, b: list) -> list:
     """The smallest common wrapper found by longest common subsequence."""
-    ka, kb = [key(x) for x in a], [key(x) for x in b]
-    if ka == kb:
+    if [key(x) for x in a] == [key(x) for x in b]:
         return [_same(x, y) for x, y in zip(a, b)]
-    # optional groups of either side may match the other's content
-    a = [y for x in a for y in (_opened(x, kb))]
-    b = [y for x in b for y in (_opened(x, [key(z) for z in a]))]
-    ka, kb = [key(x) for x in a], [key(x) for x in b]
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
     out: list = []
-    i = j = 0
     only_a: list = []
     only_b: list = []
 
@@ -283,19 +285,58 @@ def align(a: list, b: list) -> list:
                 out.append(plain)
                 extra.clear()
 
+    for x, y in _matched(a, b):
+        if x is not None and y is not None:
+            close()
+            out.append(_same(x, y))
+        elif x is not None:
+            only_a.append(x)
+        else:
+            only_b.append(y)
+    close()
+    return _absorb(out)
+
+
+def _matched(a: list, b: list):
+    """Items of both sides in order: (item, item) that agree, (item, None) and (None, item) that do not."""
+    ka, kb = [key(x) for x in a], [key(x) for x in b]
+    if ka == kb:
+        yield from zip(a, b)
+        return
+    # optional groups of either side may match the other's content
+    a = [y for x in a for y in (_opened(x, kb))]
+    b = [y for x in b for y in (_opened(x, [key(z) for z in a]))]
+    ka, kb = [key(x) for x in a], [key(x) for x in b]
+    n, m = len(a), len(b)
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
     while i < n or j < m:
         if i < n and j < m and ka[i] == kb[j]:
-            close()
-            out.append(_same(a[i], b[j]))
+            yield a[i], b[j]
             i, j = i + 1, j + 1
         elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            only_a.append(a[i])
+            yield a[i], None
             i += 1
         else:
-            only_b.append(b[j])
+            yield None, b[j]
             j += 1
-    close()
-    return _absorb(out)
+
+
+def places(page: list, wrapper: list) -> dict[int, str]:
+    """Token that the wrapper has at the place of a page's block, by the block's number."""
+    out: dict[int, str] = {}
+    for x, y in _matched(page, wrapper):
+        if not isinstance(x, list) or not isinstance(y, list) or y[0] == "?":
+            continue
+        if x[0] == "#":
+            if y[1] is not None:
+                out.update(dict.fromkeys(x[1], y[1]))
+        else:
+            out.update(places(x[1], y[1]))
+    return out
 
 
 def _opened(item, other: list[str]) -> list:
@@ -311,7 +352,13 @@ def _opened(item, other: list[str]) -> list:
 
 def page_wrapper(stream: list[str], blocks: list[Block]) -> list:
     texts = iter(blocks)
-    return repeats([["#", next(texts).text[:200]] if s == "#" else s for s in stream])
+    return repeats([["#", next(texts).token] if s == "#" else s for s in stream])
+
+
+def page_places(stream: list[str]) -> list:
+    """Like `page_wrapper`, with the numbers of the blocks in the slots."""
+    numbers = itertools.count()
+    return repeats([["#", [next(numbers)]] if s == "#" else s for s in stream])
 
 
 class Folded:
@@ -359,7 +406,7 @@ class Folded:
         region = os.path.commonprefix(paths)
         while region and _TEXT.match(region[-1]):
             region = region[:-1]
-        return {"region": " ".join(region), "fixed": fixed}
+        return {"region": " ".join(region), "fixed": fixed, "wrapper": self.wrapper if fixed else []}
 
 
 def _fixed_texts(items: list) -> set[str]:
@@ -399,12 +446,16 @@ def _constant_paths(items: list) -> set[str]:
 
 def main_text(page: str | None, rule: dict | None) -> str:
     """Text blocks of the article of one page, joined by one space."""
-    blocks = [b for b in parse(page)[1] if not b.outside]
+    stream, found = parse(page)
+    blocks = [b for b in found if not b.outside]
     if rule:
         region = tuple(rule["region"].split())
         inside = [b for b in blocks if b.path[: len(region)] == region]
         fixed = set(rule["fixed"])
-        own = [b for b in blocks if (b.size or b.path[: len(region)] == region) and b.text[:200] not in fixed]
+        # only a page that holds such a text has to be aligned
+        known = places(page_places(stream), rule["wrapper"]) if any(b.token in fixed for b in blocks) else {}
+        gone = {id(found[i]) for i, token in known.items() if found[i].token == token}
+        own = [b for b in blocks if (b.size or b.path[: len(region)] == region) and id(b) not in gone]
         blocks = own or inside or blocks
     return " ".join(b.text for b in blocks)
 

@@ -193,6 +193,15 @@ def test_extraction_keeps_headline_and_intro():
     assert _extracted([page.format(*p, k) for k, p in enumerate(parts)]) == [" ".join(p) for p in parts]
 
 
+def test_template_texts_are_whole_and_in_place():
+    same = "Standard opening " * 20
+    page = "<body><div class='top'><p>All the news</p></div><article><h1>{}</h1><div class='lead'><p>{}</p></div><p>{}</p></article></body>"
+    parts = [(_prose(k, 5), same + _prose(k + 100), _prose(k + 200, 90)) for k in range(6)]
+    assert _extracted([page.format(*p) for p in parts]) == [" ".join(p) for p in parts]
+    parts[4] = (_prose(4, 5), "All the news", _prose(204, 90))  # the template's text, elsewhere
+    assert _extracted([page.format(*p) for p in parts]) == [" ".join(p) for p in parts]
+
+
 def test_marks_are_whole_tokens():
     page = "<body><div class='content has-sidebar'><p>{0}</p></div><div class='sidebar'>s {0}</div><div class='cookie-notice'>c {0}</div></body>"
     texts = [_prose(k) for k in range(4)]
