@@ -10,8 +10,11 @@ host, one per task, are aligned with each other. A host of any size sends one ro
 
 The wrapper gives the region that holds the article: the innermost block element with all of the
 text that is not template and lies outside menus, headers, footers, sidebars, notices, adverts,
-forms and comments. Text slots whose text is the same on all pages (three distinct ones at least)
-are part of the template and go, and so do lists of links outside the region. Nothing else goes.
+forms and comments. Text slots whose text is the same on all pages are part of the template and go,
+and so do lists of links outside the region. Nothing else goes. A host has a template if three of its
+pages differ from each other in most of their text; copies and revisions of a page do not count. That
+is seen on a sample that does not depend on order: pages with the smallest digests, and those with the
+smallest hashes in their longest text.
 Texts are compared whole, by digest, and a page's texts with those at the same place of the wrapper.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined
@@ -28,8 +31,10 @@ import itertools
 import json
 import os
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -361,11 +366,36 @@ def page_places(stream: list[str]) -> list:
     return repeats([["#", [next(numbers)]] if s == "#" else s for s in stream])
 
 
+#: Pages in each half of a host's sample, and hashes of each of them (fixed values).
+SAMPLE, HASHES = 8, 32
+
+
+def _hashes(text: str) -> list[int]:
+    """The smallest hashes of the runs of three words."""
+    words = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()], np.uint64)
+    n = max(1, len(words) - 2)
+    runs = words[:n].copy()
+    for k in (1, 2):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) ^ (runs >> np.uint64(29))
+        runs += words[k : k + n] if len(words) >= 3 else words[k : k + 1].sum()
+    runs = (runs ^ (runs >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(runs >> np.uint64(32))[:HASHES].tolist()
+
+
+def _differ(a: list[int], b: list[int]) -> bool:
+    """Whether two pages differ in most of their text: at most a third of the runs of both is shared."""
+    both = sorted({*a, *b})[:HASHES]
+    return 3 * len({*a} & {*b} & {*both}) <= len(both)
+
+
 class Folded:
-    """Wrapper of some pages of a host, with what its regions and texts hold."""
+    """Wrapper of some pages of a host, with what its regions and texts hold.
+
+    `sample` has two halves, each with the page [digest, hashes] of a key for the smallest keys.
+    """
 
-    def __init__(self, wrapper: list, pages: int, mass: Counter, distinct: int):
-        self.wrapper, self.pages, self.mass, self.distinct = wrapper, pages, mass, distinct
+    def __init__(self, wrapper: list, pages: int, mass: Counter, sample: list[dict[str, list]]):
+        self.wrapper, self.pages, self.mass, self.sample = wrapper, pages, mass, sample
 
     @classmethod
     def of(cls, page: str | None) -> Folded:
@@ -374,13 +404,23 @@ class Folded:
         for b in blocks:
             if not b.outside and b.size:
                 mass[" ".join(b.path)] += b.size
-        return cls(page_wrapper(stream, blocks), 1, mass, 1)
+        texts = [b.text for b in blocks if not b.outside and b.size]
+        sample: list[dict[str, list]] = [{}, {}]
+        if texts:
+            whole = "\n".join(texts)
+            name = hashlib.blake2b(whole.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+            held = [name, _hashes(whole)]
+            sample = [{name: held}, {f"{_hashes(max(texts, key=len))[0]:08x}": held}]
+        return cls(page_wrapper(stream, blocks), 1, mass, sample)
 
     def merge(self, other: Folded) -> None:
-        same = json.dumps(self.wrapper) == json.dumps(other.wrapper)
-        if not same:
+        if self.wrapper != other.wrapper:
             self.wrapper = align(self.wrapper, other.wrapper)
-        self.distinct = max(self.distinct, other.distinct) + (0 if same else 1)
+        for own, more in zip(self.sample, other.sample):
+            for k, page in more.items():
+                own[k] = min(own.get(k, page), page)
+            for k in sorted(own)[SAMPLE:]:
+                del own[k]
         self.pages += other.pages
         self.mass.update(other.mass)
         # paths of odd pages do not pile up: the deepest ones count for their parents
@@ -392,15 +432,21 @@ class Folded:
             self.mass = less
 
     def to_row(self) -> dict:
-        return {"wrapper": json.dumps(self.wrapper), "pages": self.pages, "mass": json.dumps(self.mass), "distinct": self.distinct}
+        return {"wrapper": json.dumps(self.wrapper), "pages": self.pages, "mass": json.dumps(self.mass), "sample": json.dumps(self.sample)}
 
     @classmethod
-    def from_row(cls, wrapper: str, pages: int, mass: str, distinct: int) -> Folded:
-        return cls(json.loads(wrapper), pages, Counter(json.loads(mass)), distinct)
+    def from_row(cls, wrapper: str, pages: int, mass: str, sample: str) -> Folded:
+        return cls(json.loads(wrapper), pages, Counter(json.loads(mass)), json.loads(sample))
+
+    def varied(self) -> bool:
+        """Whether three pages differ from each other in most of their text."""
+        pages = [p[1] for _, p in sorted({p[0]: p for half in self.sample for p in half.values()}.items())]
+        near = [[j for j in range(i + 1, len(pages)) if _differ(pages[i], pages[j])] for i in range(len(pages))]
+        return any(not set(near[i]).isdisjoint(near[j]) for i in range(len(pages)) for j in near[i])
 
     def rule(self) -> dict:
         """Region of the article and the template texts inside it."""
-        fixed = sorted(_fixed_texts(self.wrapper)) if self.distinct >= 3 else []
+        fixed = sorted(_fixed_texts(self.wrapper)) if self.varied() else []
         constant = _constant_paths(self.wrapper) if fixed else set()
         paths = [k.split() for k, size in self.mass.items() if size and k not in constant]
         region = os.path.commonprefix(paths)
@@ -466,11 +512,11 @@ def host_of(url) -> F.Column:
     return host
 
 
-_ROW = "host string, wrapper string, pages long, mass string, distinct long"
+_ROW = "host string, wrapper string, pages long, mass string, sample string"
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, pages, mass, distinct) of pages (host, html)."""
+    """(host, wrapper, pages, mass, sample) of pages (host, html)."""
 
     def fold(batches):
         held: dict[str, Folded] = {}
@@ -485,13 +531,13 @@ def infer(pages: DataFrame) -> DataFrame:
         rows = [{"host": h, **f.to_row()} for h, f in held.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[k] for r in rows], t) for k, t in (
-                ("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("mass", pa.string()), ("distinct", pa.int64()))],
-            names=["host", "wrapper", "pages", "mass", "distinct"],
+                ("host", pa.string()), ("wrapper", pa.string()), ("pages", pa.int64()), ("mass", pa.string()), ("sample", pa.string()))],
+            names=["host", "wrapper", "pages", "mass", "sample"],
         )
 
     def join(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["pages", "wrapper"], ascending=[False, True])
-        parts = [Folded.from_row(*r) for r in rows[["wrapper", "pages", "mass", "distinct"]].itertuples(index=False)]
+        parts = [Folded.from_row(*r) for r in rows[["wrapper", "pages", "mass", "sample"]].itertuples(index=False)]
         for p in parts[1:]:
             parts[0].merge(p)
         return pd.DataFrame([{"host": key[0], **parts[0].to_row()}])
@@ -510,7 +556,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = 1 << 26) -> DataFrame:
 
     def ruled(batches):
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("host", "wrapper", "pages", "mass", "distinct")]
+            cols = [b.column(k).to_pylist() for k in ("host", "wrapper", "pages", "mass", "sample")]
             rules = [json.dumps(Folded.from_row(*r[1:]).rule()) for r in zip(*cols)]
             yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(rules, pa.string())], names=["host", "rule"])
 

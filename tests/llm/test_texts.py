@@ -202,6 +202,23 @@ def test_template_texts_are_whole_and_in_place():
     assert _extracted([page.format(*p) for p in parts]) == [" ".join(p) for p in parts]
 
 
+def test_revisions_of_a_page_are_no_template():
+    page = "<body><article><h1>{}</h1><h2>Part one</h2><p>{}</p><h2>Part two</h2><div><p>{}</p></div></article></body>"
+    base = _prose(1, 90).split()
+
+    def revision(k):
+        return "A headline", " ".join([*base[:k], "edited", *base[k + 1 :]]), _prose(2, 30)
+
+    def whole(p):
+        return f"{p[0]} Part one {p[1]} Part two {p[2]}"
+
+    a, b, c = (revision(k) for k in (10, 30, 50))
+    for order in ((a, b, a), (a, a, b), (b, a, a), (a, b, c), (c, a, b, a, c)):
+        assert _extracted([page.format(*p) for p in order]) == [whole(p) for p in order]
+    rows = [("A headline", _prose(k, 60), _prose(k + 50, 30)) for k in (11, 12, 13)]
+    assert _extracted([page.format(*p) for p in rows]) == [f"{p[1]} {p[2]}" for p in rows]
+
+
 def test_marks_are_whole_tokens():
     page = "<body><div class='content has-sidebar'><p>{0}</p></div><div class='sidebar'>s {0}</div><div class='cookie-notice'>c {0}</div></body>"
     texts = [_prose(k) for k in range(4)]
