@@ -7,7 +7,9 @@ refer to it: a `metadata` record with the source's headers and digests as fields
 records follow from it, so reruns agree. `write` stores records as files of the text source whose
 line end is the record separator: Spark's writer does the work, each record is one line.
 
-Everything is column expressions. A record is (warc_type, record_id, refers_to, target_uri, date,
+Everything is column expressions but the character references of plain text, which are decoded row
+by row. One without its semicolon stays as it is, as in the registered SQL. A record is (warc_type,
+record_id, refers_to, target_uri, date,
 content_type, payload_digest, block_digest, content_length, headers, block).
 
 Null urls give no target line; null or empty pages give empty payloads with records all the same;
@@ -16,13 +18,20 @@ repeated rows give equal records; a null id is written as `null`. Extra columns
 
 from __future__ import annotations
 
+import html
+import re
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 END = "\r\n"
 VERSION = "WARC/1.1"
-#: Named references decoded in plain text (fixed values); decimal ones follow from their number.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);")
+#: Comments, scripts and styles, to the end of the page if they have no end (fixed value).
+UNSEEN = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))|<(script|style)\b[^>]*>.*?(?:</\1\b[^>]*>|\z)"
 
 
 def identifier(*parts: Column) -> Column:
@@ -38,15 +47,23 @@ def sha256(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    """Decimal, hexadecimal and named references decoded once; a no-break space made so is a space."""
+    return text.map(lambda t: _REFERENCE.sub(_character, t) if t and "&" in t else t)
+
+
+def _character(m: re.Match) -> str:
+    char = html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0])
+    return " " if char == "\xa0" else char
+
+
 def plain_text(page: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags go, references are decoded."""
-    text = F.regexp_replace(page, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
+    text = F.regexp_replace(page, UNSEEN, " ")
     text = F.regexp_replace(text, r"(?i)</?(a|b|i|em|strong|span|u|small|sub|sup|code)(\s[^>]*)?>", "")
     text = F.regexp_replace(text, r"<[^>]*>", " ")
-    for name, char in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"[ \t\r\n\f\x0B]+", " "))
+    return F.trim(F.regexp_replace(_decoded(text), r"[ \t\r\n\f\x0B]+", " "))
 
 
 def _line(name: str, value: Column) -> Column:

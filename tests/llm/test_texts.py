@@ -242,3 +242,17 @@ def test_warc_round_trip(spark, tmp_path):
     want = source.select(names).unionAll(made.select(names)).collect()
     assert sorted(map(str, back.select(names).collect())) == sorted(map(str, want))
     assert back.where("block_digest != concat('sha256:', sha2(block, 256))").isEmpty()
+
+
+def test_warc_plain_text(spark):
+    want = {
+        "<p>it&#8217;s a&#x2014;b&mdash;caf&eacute;&hellip;</p>": "it’s a—b—café…",
+        "&amp;lt; &amp;#38; &lt;b&gt; &#38;amp; &nosuch; &; &#; R&D &NotEqualTilde;": "&lt; &#38; <b> &amp; &nosuch; &; &#; R&D ≂̸",
+        "x&nbsp;&#160;&#xA0;y &amp 1 &notit; &#150; &#0;": "x y &amp 1 &notit; – \ufffd",
+        "a<script>if (a < b) { c('</p>') }": "a",
+        "a <STYLE type='x'>p{}</style >b<!-- <script> -->c<script>'<!--'</script>d<!-->e<!-- open <p>f</p>": "a b c d e",
+        "no reference": "no reference",
+    }
+    rows = spark.createDataFrame([(p,) for p in [*want, None]], "page string").repartition(3)
+    got = {r[0]: r[1] for r in rows.select("page", warc.plain_text(F.col("page"))).collect()}
+    assert got == {**want, None: None}
