@@ -3,19 +3,21 @@
 * Examples: at most `examples` labelled rows, those whose ids have the smallest hashes; of rows
   that share their smallest 5-gram hash (copies and most near copies) one stays, so that no group
   of copies fills the sample. This bound is a parameter; everything below covers all documents.
-* Terms: the `terms` words of the examples whose presence goes with the label most (chi-square of
-  at least `least_chi`). TF-IDF vectors live on them: (1 + ln tf) * ln((1 + N) / (1 + df)), length
-  one, with df and N counted over all documents.
-* Index: for each term its postings in order of example, cut into ranges of `block` examples, with
-  the largest weight per term and range. A document adds up these largest weights, visits ranges in
-  descending order of that bound, and stops when the bound is below its k-th best cosine. What is
-  skipped cannot be among the k nearest.
+* Terms: all words of the examples. TF-IDF vectors live on them: (1 + ln tf) * ln((1 + N) / (1 + df))
+  times the word's weight, length one, with df and N counted over all documents. A word's weight is
+  the square of the correlation of its presence with the label (chi-square after Yates, by examples),
+  plus what chance gives on the average, 1 / examples. It is never 0 and does not grow with the input.
+* Index: for each term its postings in order of example, shorter examples first, cut into ranges of
+  `block` examples, with the largest weight per term and range. A document adds up the postings of
+  its rarer terms; the k-th best sum is a floor. Examples whose sum, with the largest weights of the
+  other terms in their range, stays below it cannot be among the k nearest; the others are computed
+  in full.
 * Score: votes of the k nearest with weight 1 / (1 - cosine + 0.05), the base rate as one distant
   voter; then a monotone calibration fitted on the examples themselves, each scored without itself.
 * Evidence: the ids of the nearest examples that carry the predicted label, nearest first.
 
-Sizes: the index has at most `examples * terms` postings and is checked before it is broadcast.
-Documents without any term, null and empty texts among them, get the calibrated share of examples
+Sizes: examples are taken in order of hash as long as their postings fit `index_bytes`; the index is
+checked before it is broadcast. Documents without any term, null and empty texts among them, get the calibrated share of examples
 without any term. Without labelled rows every score is 0. Repeated rows score alike; labels given
 twice count as toxic if one says so; null labels and ids are left out. Extra columns are ignored.
 """
@@ -43,63 +45,122 @@ WORD = re.compile(r"\w+")
 @dataclass(frozen=True)
 class ToxicityConfig:
     examples: int = 16384
-    terms: int = 1024
-    least_chi: float = 30.0
-    least_docs: int = 4
+    #: No longer limits anything: all words of the examples count.
+    least_chi: float = 0.0
     neighbours: int = 15
     block: int = 256
     index_bytes: int = 1 << 28
 
 
+#: Most bytes of the index for a posting: by term and by example 8 each, 12 for a range of its own.
+POSTING_BYTES = 28
+#: Least examples of a calibration step (fixed value).
+GROUP = 5
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _slices(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the slices [first, last), one after the other, and the slice of each."""
+    sizes = last - first
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(own)) + (first - np.cumsum(sizes) + sizes)[own], own
+
+
+class Cut:
+    """Number of postings before a cell (term and range), by the cell's number."""
+
+    def __init__(self, cells: np.ndarray, starts: np.ndarray):
+        self.cells, self.starts = cells, starts
+
+    def __getitem__(self, cell: int) -> int:
+        return int(self.starts[np.searchsorted(self.cells, cell)])
+
+
 class Index:
     """Postings by term, cut into ranges of examples, with each range's largest weight."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, terms: int, block: int):
-        # examples with the same heaviest term stand together: ranges get tighter bounds
-        lead = [int(t[np.argmax(w)]) if len(t) else terms for t, w in vectors]
-        order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], int(names[i]))), np.int64)
-        self.labels, self.names, self.block = labels[order], names[order], block
-        self.ranges = -(-len(vectors) // block)
-        term = np.concatenate([vectors[i][0] for i in order] or [np.empty(0, np.int64)]).astype(np.int64)
-        self.weight = np.concatenate([vectors[i][1] for i in order] or [np.empty(0)])
-        self.example = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order]).astype(np.int32)
-        sort = np.argsort(term, kind="stable")
-        term, self.weight, self.example = term[sort], self.weight[sort], self.example[sort]
-        cell = term * self.ranges + self.example // block
-        self.cut = np.searchsorted(cell, np.arange(terms * self.ranges + 1))
-        self.most = np.zeros((terms, self.ranges))
-        np.maximum.at(self.most.reshape(-1), cell, self.weight)
+    def __init__(self, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, labels: np.ndarray, names: np.ndarray, terms: int, block: int):
+        # short examples have large weights: among their like, ranges get tighter bounds
+        order = np.lexsort((names, sizes))
+        ends = np.cumsum(sizes)
+        at = _slices((ends - sizes)[order], ends[order])[0]
+        self.labels, self.names, self.block, self.terms = labels[order], names[order], block, terms
+        self.terms_of, self.weights_of = term[at].astype(np.int32), weight[at].astype(np.float32)
+        self.ends_of = np.concatenate([[0], np.cumsum(sizes[order])])
+        self._invert()
+
+    def _invert(self) -> None:
+        """Postings by term, made again where the index arrives: only those by example are sent."""
+        self.ranges = max(1, -(-len(self.names) // self.block))
+        own = np.repeat(np.arange(len(self.names)), np.diff(self.ends_of))
+        sort = np.argsort(self.terms_of, kind="stable")
+        self.weight, self.example = self.weights_of[sort], own[sort].astype(np.int32)
+        cell = self.terms_of[sort].astype(np.int64) * self.ranges + self.example // self.block
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        cells = cell[starts]
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0, np.float32)
+        self.range_of = (cells % self.ranges).astype(np.int32)
+        self.first_cell = np.searchsorted(cells, np.arange(self.terms + 1) * self.ranges).astype(np.int32)
+        self.starts = np.append(starts, len(cell)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: getattr(self, k) for k in ("labels", "names", "block", "terms", "terms_of", "weights_of", "ends_of")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._invert()
+
+    @property
+    def cut(self) -> Cut:
+        held = np.repeat(np.arange(len(self.first_cell) - 1), np.diff(self.first_cell))
+        return Cut(held * self.ranges + self.range_of, self.starts)
 
     @property
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.weight, self.example, self.cut, self.most, self.labels, self.names))
+        return sum(x.nbytes for x in vars(self).values() if isinstance(x, np.ndarray))
+
+    def _sums(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Sum over these terms for every example, added in order of term."""
+        at, own = _slices(self.starts[self.first_cell[terms]], self.starts[self.first_cell[terms + 1]])
+        return np.bincount(self.example[at], weights[own] * self.weight[at], len(self.names))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
         """The k largest positive cosines as (cosine, example); ties go to the smaller number."""
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        bounds = bound.tolist()
-        for r in np.argsort(-bound, kind="stable").tolist():
-            if bounds[r] <= 0 or (len(best) == k and bounds[r] < -best[-1][0] * (1 - 1e-12)):
+        sizes = self.starts[self.first_cell[terms + 1]] - self.starts[self.first_cell[terms]]
+        order = np.argsort(sizes / weights, kind="stable")
+        total = np.cumsum(sizes[order])
+        found = None
+        for share in (8, 2):
+            n = int(np.searchsorted(total, total[-1] / share)) + 1
+            if total[-1] < 4 * len(self.names) or n >= len(order):
+                break
+            some, rest = np.sort(order[:n]), order[n:]
+            sums = self._sums(terms[some], weights[some])
+            if skip is not None:
+                sums[skip] = 0
+            low = np.partition(sums, -k)[-k] if len(sums) > k else 0.0
+            at, own = _slices(self.first_cell[terms[rest]], self.first_cell[terms[rest] + 1])
+            more = np.bincount(self.range_of[at], weights[rest][own] * self.most[at], self.ranges)
+            able = np.flatnonzero(sums + np.repeat(more, self.block)[: len(sums)] >= low - 1e-9) if low > 0 else None
+            if able is not None and (self.ends_of[able + 1] - self.ends_of[able]).sum() <= total[-1] / 2:
+                query = np.zeros(len(self.first_cell) - 1)
+                query[terms] = weights
+                at, own = _slices(self.ends_of[able], self.ends_of[able + 1])
+                found = np.bincount(own, query[self.terms_of[at]] * self.weights_of[at], len(able))
                 break
-            first = r * self.block
-            acc = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                a, b = self.cut[t * self.ranges + r], self.cut[t * self.ranges + r + 1]
-                if b > a:
-                    acc[self.example[a:b] - first] += w * self.weight[a:b]
-            if skip is not None and first <= skip < first + self.block:
-                acc[skip - first] = 0
-            low = -best[-1][0] if len(best) == k else 0.0
-            hit = np.flatnonzero(acc >= low) if low > 0 else np.flatnonzero(acc)
-            if len(hit) > k:
-                hit = hit[np.argsort(-acc[hit], kind="stable")[:k]]
-            best = sorted(best + [(-float(acc[h]), first + int(h)) for h in hit])[:k]
-        return [(-c, e) for c, e in best]
+        if found is None:
+            able, found = np.arange(len(self.names)), self._sums(terms, weights)
+        if skip is not None:
+            found[able == skip] = 0
+        if len(found) > k:
+            near = np.flatnonzero(found >= max(np.partition(found, -k)[-k], 1e-300))
+        else:
+            near = np.flatnonzero(found > 0)
+        near = near[np.lexsort((able[near], -found[near]))[:k]]
+        return [(float(found[i]), int(able[i])) for i in near]
 
 
 class Model:
@@ -122,20 +183,25 @@ class Model:
         return toxic / total
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray, empty: np.ndarray) -> None:
-        """Monotone steps from votes to shares of toxic examples, joined by lines."""
+        """Monotone steps from votes to shares of toxic examples, joined by lines.
+
+        Steps begin as groups of `GROUP` votes whatever the sample's size, so a small sample or a rare
+        label reaches high shares as well.
+        """
         if empty.any():
             self.without = (labels[empty].sum() + self.base) / (empty.sum() + 1)
         votes, labels = votes[~empty], labels[~empty]
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # weight, toxic, sum of votes
-        for part in np.array_split(order, max(1, min(64, len(order) // 20))):
+        for part in np.array_split(order, max(1, len(order) // GROUP)):
             if not len(part):
                 continue
             pools.append([float(len(part)), float(labels[part].sum()), float(votes[part].sum())])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
                 w, t, v = pools.pop()
                 pools[-1] = [pools[-1][0] + w, pools[-1][1] + t, pools[-1][2] + v]
-        self.steps = [(v / w, (t + self.base) / (w + 1)) for w, t, v in pools]
+        shares = np.maximum.accumulate([(t + self.base) / (w + 1) for w, t, _ in pools]) if pools else []
+        self.steps = [(v / w, float(share)) for (w, _, v), share in zip(pools, shares)]
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         terms, weights = self.vector(text)
@@ -174,19 +240,28 @@ def _sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, cfg: ToxicityC
                 int(signed(g[:1])[0]) if len(g) else 0
                 for _, _, data, at in slices(text) for g in gram_sets(data, at, 5)
             ]
+            held = [len(set(words(t))) for t in text.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("h"), b.column("toxic"), text.cast(pa.string()), pa.array(low, pa.int64())],
-                names=["doc_id", "h", "toxic", "text", "low"],
+                [b.column("doc_id"), b.column("h"), b.column("toxic"), text.cast(pa.string()), pa.array(low, pa.int64()), pa.array(held, pa.int64())],
+                names=["doc_id", "h", "toxic", "text", "low", "held"],
             )
 
-    rows = scratch.write(rows.mapInArrow(lows, "doc_id long, h long, toxic int, text string, low long"), "labelled")
+    rows = rows.mapInArrow(lows, "doc_id long, h long, toxic int, text string, low long, held long")
+    rows = scratch.write(rows.withColumn("row", F.monotonically_increasing_id()), "labelled")
     ones = rows.groupBy("low").agg(F.min("h").alias("h"))
-    rows = rows.join(ones, ["low", "h"], "left_semi").dropDuplicates(["doc_id"])
+    kept = rows.select("doc_id", "row", "h", "low", "held").join(ones, ["low", "h"], "left_semi")
+    kept = scratch.write(kept.groupBy("doc_id").agg(F.min(F.struct("row", "h", "held")).alias("x")).select("x.*"), "kept")
+    # at most `examples` rows of two numbers
+    sizes = kept.select("h", "held").toArrow().sort_by("h")
+    room = np.searchsorted(np.cumsum(sizes.column("held").to_numpy()), cfg.index_bytes // POSTING_BYTES, "right")
+    if room < len(sizes):
+        kept = kept.where(F.col("h") < sizes.column("h")[int(room)].as_py())
+    rows = rows.join(F.broadcast(kept.select("row")), "row", "left_semi")  # bounded
     return scratch.write(rows.select("doc_id", "text", "toxic"), "examples")
 
 
-def _terms(examples: DataFrame, cfg: ToxicityConfig, clean: int, toxic: int) -> list[str]:
-    """Words whose presence goes with the label, strongest first; at most `terms`."""
+def _terms(examples: DataFrame, clean: int, toxic: int) -> tuple[list[str], np.ndarray]:
+    """All words of the examples, and their weights by label."""
 
     def count(batches):
         seen: Counter = Counter()
@@ -203,16 +278,24 @@ def _terms(examples: DataFrame, cfg: ToxicityConfig, clean: int, toxic: int) ->
     counts = examples.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(
         F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c")
     )
-    n, have = float(clean + toxic), F.col("t") + F.col("c")
-    cross = F.col("t") * (clean - F.col("c")) - F.col("c") * (toxic - F.col("t"))
-    chi = n * cross * cross / (have * (n - have) * float(clean) * float(toxic))
-    strong = counts.where(have >= cfg.least_docs).where(have < n).withColumn("chi", chi).where(F.col("chi") >= cfg.least_chi)
-    return [r["word"] for r in strong.orderBy(F.desc("chi"), "word").limit(cfg.terms).select("word").collect()]
+    rows = counts.orderBy("word").toArrow()  # as many rows as the examples have words
+    weights = label_weights(rows.column("t").to_numpy(), rows.column("c").to_numpy(), clean, toxic)
+    return rows.column("word").to_pylist(), weights
+
+
+def label_weights(t: np.ndarray, c: np.ndarray, clean: int, toxic: int) -> np.ndarray:
+    """Weights of words that t toxic and c clean examples hold."""
+    n, have = float(clean + toxic), t + c
+    spread = have * (n - have) * clean * toxic
+    cross = np.maximum(np.abs(t * (clean - c) - c * (toxic - t)) - n / 2, 0)  # as in Yates' test
+    return np.divide(cross * cross, spread, out=np.zeros(len(t)), where=spread > 0) + 1 / n
 
 
 def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, int]:
     """Number of documents with each term, and of all documents."""
     length = len(terms) + 1
+    if length > sketch.CHUNK:  # whole chunks
+        length += -length % sketch.CHUNK
 
     def count(batches):
         seen = np.zeros(length, np.int64)
@@ -229,7 +312,7 @@ def _frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, in
         )
 
     whole = sketch.merged(docs.select("text").mapInArrow(count, sketch.PART), length, np.int64)
-    return whole[:-1], int(whole[-1])
+    return whole[: len(terms)], int(whole[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> Model | None:
@@ -241,26 +324,28 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     clean, toxic = got.get(False, 0), got.get(True, 0)
     if not clean + toxic:
         return None
-    found = _terms(examples, cfg, clean, toxic) if clean and toxic else []
+    found, by_label = _terms(examples, clean, toxic)
     terms = {w: i for i, w in enumerate(found)}
+    del found
     seen, total = _frequencies(docs, terms)
-    idf = np.log((1.0 + total) / (1.0 + seen))
+    idf = np.log((1.0 + total) / (1.0 + seen)) * by_label
 
     def vectors(batches):
         for b in batches:
             rows = [vector(t, terms, idf) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), b.column("toxic"),
-                pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())),
-                pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())),
+                pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
+                pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32())),
             ], names=["doc_id", "toxic", "terms", "weights"])
 
-    # at most `examples` rows of at most `terms` numbers
-    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<double>").orderBy("doc_id").collect()
-    vecs = [(np.array(r["terms"], np.int64), np.array(r["weights"], float)) for r in rows]
-    labels_ = np.array([int(r["toxic"] > 0) for r in rows], np.int64)
-    names = np.array([r["doc_id"] for r in rows], np.int64)
-    index = Index(vecs, labels_, names, max(1, len(terms)), cfg.block)
+    # at most `examples` rows with postings of `index_bytes` altogether
+    rows = examples.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, weights array<float>").orderBy("doc_id").toArrow()
+    held = [rows.column(k).combine_chunks() for k in ("terms", "weights")]
+    sizes = np.asarray(held[0].value_lengths(), np.int64)
+    labels_ = (rows.column("toxic").to_numpy() > 0).astype(np.int64)
+    index = Index(*(x.flatten().to_numpy() for x in held), sizes, labels_, rows.column("doc_id").to_numpy(), max(1, len(terms)), cfg.block)
+    del rows, held
     model = Model(terms, idf, index, toxic / (clean + toxic), cfg.neighbours)
 
     shared = checked_broadcast(docs.sparkSession, model, index.nbytes, cfg.index_bytes)
@@ -282,7 +367,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
 
     votes = examples.mapInArrow(own, "vote double, label long, empty boolean").toArrow()
     model.calibrate(*(votes.column(k).to_numpy() for k in range(3)))
-    shared.unpersist()
+    shared.destroy()
     return model
 
 

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from driftloom.llm import warc
 from driftloom.llm.mixing import emitted, mixed
 from driftloom.llm.packing import GeneticConfig, pack
-from driftloom.llm.toxicity import ToxicityConfig, fit, scored
+from driftloom.llm.toxicity import Index, ToxicityConfig, fit, scored
 from driftloom.llm.wrappers import Folded, align, extract, key, main_text, page_wrapper, parse
 from test_pairs import words
 
@@ -124,6 +124,48 @@ def test_toxicity_nearest_is_exact(spark, none):
     assert fit(none, known.limit(0)) is None and scored(docs, None).where("score != 0").isEmpty()
 
 
+def test_toxicity_small_input_and_all_words(spark):
+    rng = np.random.default_rng(4)
+    bad = ["scum", "moron", "trash", "loser"]
+    rows = []
+    for i in range(90):
+        own = ["c%d" % x for x in rng.integers(0, 60, 15)] + ["only%d" % i]
+        rows.append((i, " ".join(own + ([bad[i // 6 % 4], bad[(i // 6 + 1) % 4]] if i % 6 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(66)], "doc_id long, toxic int")
+    model = fit(docs, known)
+    assert {w for _, t in rows[:66] for w in t.split()} == set(model.terms)
+    out = {r["doc_id"]: r["predicted"] for r in scored(docs, model).collect()}
+    assert [out[i] for i in range(66, 90)] == [int(i % 6 == 0) for i in range(66, 90)]
+
+
+def test_toxicity_pruning_is_exact():
+    rng = np.random.default_rng(6)
+    vectors = []
+    for n in rng.integers(0, 90, 3000):
+        t = np.unique(np.minimum(rng.zipf(1.3, n), 800) - 1)
+        w = rng.random(len(t)) * np.log(2 + t) + 1e-3
+        vectors.append((t, w / max(1e-9, np.sqrt((w * w).sum()))))
+    vectors[20:40] = [vectors[50]] * 20  # ties
+    sizes = np.array([len(t) for t, _ in vectors])
+    index = Index(np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), sizes, rng.integers(0, 2, 3000), np.arange(3000), 800, 64)
+    dense = np.zeros((3000, 800))
+    for e in range(3000):
+        own = slice(index.ends_of[e], index.ends_of[e + 1])
+        dense[e, index.terms_of[own]] = index.weights_of[own]
+    for q in [*range(0, 3000, 60), 50]:
+        if not len(vectors[q][0]):
+            continue
+        for skip in (None, q):
+            cos = dense[:, vectors[q][0]] @ vectors[q][1]
+            if skip is not None:
+                cos[skip] = 0
+            got = index.nearest(*vectors[q], 15, skip)
+            want = np.sort(cos)[::-1][:15]
+            assert np.allclose([c for c, _ in got], want[want > 0], atol=1e-9) and len({e for _, e in got}) == len(got)
+            assert all(abs(cos[e] - c) < 1e-9 for c, e in got)
+
+
 def test_toxicity_held_out_accuracy(spark):
     from driftloom.llm.queries import op5
 
