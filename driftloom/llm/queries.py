@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from driftloom.llm import dialogue_sql
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -237,3 +239,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = dedup_lines(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op13_spelling_variants", dialogue_sql.SPELLING)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from driftloom.llm.spelling import counted, letter_runs, variants
+
+    runs = letter_runs(table(spark, sf_dir, "documents")).where(F.length("word") >= 5)
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "word")
+    cut = F.expr("concat(left(word, int(h % length(word))), substring(word, int(h % length(word)) + 2))")
+    damaged = runs.withColumn("h", F.crc32(name.cast("binary"))).select(
+        F.when(F.col("h") % 97 == 0, cut).otherwise(F.col("word")).alias("word")
+    )
+    return variants(counted(damaged))
