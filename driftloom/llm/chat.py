@@ -15,7 +15,7 @@ string can occur there, and taking one away gives the text back. In roles backsl
 are written as \\\\ and \\n before that. The mask lists where the texts of the trained roles stand.
 
 Turns of a path are brought together by a sort and stream through a task in batches; transcripts of
-more than PART_CHARS code points go out in parts that end between turns, so memory holds one part.
+more than `part_chars` code points go out in parts that end between turns, so memory holds one part.
 
 Defined cases: null role, text and score count as empty, empty and 0 (as do NaN and infinite
 scores); a null tree is a tree of its own; messages without id are left out; of messages with the
@@ -135,7 +135,9 @@ class ReplyTrees:
             listed = listed.unionAll(self.scratch.write(more, "paths"))
         return listed
 
-    def formatted(self, best: int | None = None, trained: tuple[str, ...] = TRAINED) -> DataFrame:
+    def formatted(
+        self, best: int | None = None, trained: tuple[str, ...] = TRAINED, part_chars: int = PART_CHARS
+    ) -> DataFrame:
         """(tree, leaf, rank, path_score, part, formatted, mask): one transcript for each chosen path."""
         kinds = {c: self.messages.schema[c].dataType for c in ("tree", "id")}
         a, b = self.paths(best).alias("a"), self.messages.alias("b")
@@ -146,13 +148,13 @@ class ReplyTrees:
             F.col("b.role").isin(*trained).alias("trained"),
         )
         dealt = turns.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "place")
-        out = dealt.mapInPandas(_join_turns, PART)
+        out = dealt.mapInPandas(lambda frames: _join_turns(frames, part_chars), PART)
         return self.scratch.write(
             out.withColumns({"tree": F.col("tree").cast(kinds["tree"]), "leaf": F.col("leaf").cast(kinds["id"])}), "transcripts"
         )
 
 
-def _join_turns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _join_turns(frames: Iterator[pd.DataFrame], part_chars: int) -> Iterator[pd.DataFrame]:
     now, part, held, mask, size = None, 0, [], [], 0
     done, done_size = [], 0
 
@@ -178,9 +180,9 @@ def _join_turns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mask.append({"start": size + len(head), "length": len(body)})
             held += [head, body, STOP + "\n"]
             size += len(head) + len(body) + len(STOP) + 1
-            if size >= PART_CHARS:
+            if size >= part_chars:
                 flush()
-            if done_size >= PART_CHARS or len(done) >= 1000:
+            if done_size >= part_chars or len(done) >= 1000:
                 yield out()
     if held:
         flush()

@@ -80,15 +80,15 @@ def step(cost: tuple, initial: str, fault: int) -> tuple[tuple, int]:
 class Backlog:
     """Rows of one conversation with their edit bytes, last turn first; read back first turn first."""
 
-    def __init__(self):
+    def __init__(self, spill_bytes: int):
         self.rows, self.edits, self.held, self.spilled = [], bytearray(), 0, []
-        self.file = None
+        self.file, self.spill_bytes = None, spill_bytes
 
     def push(self, row: tuple, edits: int) -> None:
         self.rows.append(row)
         self.edits.append(edits)
         self.held += 200 + len(row[2])
-        if self.held >= SPILL_BYTES:
+        if self.held >= self.spill_bytes:
             if self.file is None:
                 self.file = tempfile.TemporaryFile()
             self.spilled.append(self.file.tell())
@@ -127,7 +127,7 @@ def _edited(key: str, log: Backlog) -> Iterator[tuple]:
         yield inserted()
 
 
-def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _repair(frames: Iterator[pd.DataFrame], spill_bytes: int) -> Iterator[pd.DataFrame]:
     key, log, cost = None, None, END_COST
     out, size = [], 0
     columns = [c.split()[0] for c in ROW.split(", ")]
@@ -151,7 +151,7 @@ def _repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if log is None or conv != key:
                 if log is not None:
                     yield from finished()
-                key, log, cost = conv, Backlog(), END_COST
+                key, log, cost = conv, Backlog(spill_bytes), END_COST
             low = min(cost)
             initial = role[:1] if role[:1] in INITIALS else ""
             cost, edits = step(tuple(v - low for v in cost), initial, fault)
@@ -176,18 +176,19 @@ def with_faults(turns: DataFrame) -> DataFrame:
     return plain.withColumn("seen", seen).withColumn("fault", fault)
 
 
-def repair(turns: DataFrame) -> DataFrame:
+def repair(turns: DataFrame, spill_bytes: int = SPILL_BYTES) -> DataFrame:
     """(conv_id, place, edit, role, text, turn, old_role, fault): every row and every inserted one.
 
     `place` counts the edits of a conversation from 0; rows with edit D are not part of the repaired
-    conversation, `role` is the repaired role. Input: conv_id, turn, role, text.
+    conversation, `role` is the repaired role. Input: conv_id, turn, role, text. A task holds about
+    `spill_bytes` of a conversation in memory.
     """
     order = [F.col("turn").desc_nulls_last(), F.desc("role"), F.desc("text"), F.desc("seen")]
     rows = with_faults(turns).sortWithinPartitions("conv_id", *order).select(
         "conv_id", F.col("turn").cast("string").alias("turn_text"), "role", "text", "fault"
     )
     kind = turns.schema["conv_id"].dataType
-    return rows.mapInPandas(_repair, ROW).withColumn("conv_id", F.col("conv_id").cast(kind))
+    return rows.mapInPandas(lambda frames: _repair(frames, spill_bytes), ROW).withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
