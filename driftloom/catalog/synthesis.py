@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from driftloom.catalog.density_sql import CLUSTERS, LABELS, TREE
 from driftloom.catalog.fixtures import table
 from driftloom.catalog.registry import query
 from driftloom.catalog.sources import TURNS_SQL, turns
@@ -132,13 +133,13 @@ def clu1(spark, sf):
 # --- Clusters ------------------------------------------------------------------------------
 
 
-@query("clu2_density_labels")
+@query("clu2_density_labels", LABELS)
 def clu2(spark, sf):
     labels, _ = density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return labels
 
 
-@query("clu3_persistence")
+@query("clu3_persistence", CLUSTERS)
 def clu3(spark, sf):
     _, clusters = density_clusters(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return clusters.withColumn("persistence_score", F.round("persistence_score", 6))
@@ -520,7 +521,13 @@ def udf3(spark, sf):
     )
 
 
-@query("synthesize_job")
+@query(
+    "synthesize_job",
+    f"WITH {FAILURES_SQL}, {TREE.replace('FROM embeddings', 'FROM failures')} SELECT n AS clusters_processed, "
+    "n * 20 AS pairs_synthesized, n * 10 AS pairs_passing, round(n * 0.2e0, 6) AS cost_usd, failures_input, "
+    "round(n * 10 / CAST(failures_input AS DOUBLE), 6) AS overall_factor "
+    "FROM (SELECT count(*) AS n FROM picked), (SELECT count(*) AS failures_input FROM failures)",
+)
 def synthesize_job(spark, sf):
     """Whole job on given vectors: density clusters, pairs, totals."""
     f = failures(spark, sf).drop("cluster_id", "vec_id")

@@ -1,15 +1,24 @@
 """Hierarchical density clustering with excess-of-mass selection.
 
-1. Core distances come from exact block-wise neighbours.
-2. Points are hashed into blocks; for every pair of blocks one task computes the minimum
-   spanning tree of their mutual reachability graph. The union of these small trees holds the
-   spanning tree of all points (an edge dropped in a pair closes a cycle there).
-3. The edges are merged in weight order, a bounded batch per task. Each component carries what
-   the batches after it need: its size and the running sums of its open cluster. Lambda is
-   1 / distance. Stability of a cluster is the sum of the lambdas at which its points leave or
-   its children split off, minus its birth lambda times its size.
-4. A cluster is chosen when it is at least as stable as the best choice below it and no
-   ancestor is chosen. The root is never chosen.
+1. Equal vectors are one point with copies; core distances and near lists come from cells with
+   bounds (`cells.py`).
+2. The spanning tree of mutual reachability grows in Boruvka rounds. Near lists and the edges to
+   the pivots give every component an upper bound for its lightest edge to another one; points ask
+   only the cells that can beat it. The lightest edges found join components until one is left.
+   Copies hang on their point at its core distance.
+3. What counts is which components exist at each weight, and that does not depend on which of
+   several equal edges the tree holds. All edges of one weight are contracted at once, so neither
+   the numbering of the ids nor the layout changes a label.
+4. The condensed tree is built bottom up in parallel. A weight is chosen below which no component
+   of the tree has more edges than a task may get; these components are condensed at the same time,
+   each with all its edges, and the heavier edges form a smaller tree over what is left. A
+   component carries its size and the running sums of its open cluster. Lambda is 1 / distance.
+   Stability of a cluster is the sum of the lambdas at which its points leave or its children split
+   off, minus its birth lambda times its size.
+5. A cluster is chosen when it is at least as stable as the best choice below it (up to rounding)
+   and no ancestor is chosen. The root is never chosen.
+
+Points without a vector are noise.
 """
 
 from __future__ import annotations
@@ -21,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.config import ClusterConfig
-from driftloom.operators.neighbors import block_count, core_distances, in_blocks, matrix
+from driftloom.operators.cells import Cells, distances, distinct_points, near_lists, unit, with_cores
+from driftloom.operators.components import component_labels
 from driftloom.operators.timeline import ranked
 from driftloom.session import cut
 
 CFG = ClusterConfig()
 MIN_DISTANCE = 1e-12
+#: Stabilities that differ by less are equal; sums of floats depend on their order.
+TOLERANCE = 1e-9
 
 EDGE = T.StructType(
     [
@@ -51,12 +63,9 @@ REPORT = T.StructType(
 )
 
 
-def spanning_tree(vec: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimum spanning tree (from, to, weight) of unit vectors under mutual reachability."""
-    n = len(core)
-    dist = np.clip(1.0 - vec @ vec.T, 0.0, 2.0)
-    np.maximum(dist, core[None, :], out=dist)
-    np.maximum(dist, core[:, None], out=dist)
+def dense_tree(dist: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning tree (from, to, weight) of a full distance matrix."""
+    n = len(dist)
     best = dist[0].copy()
     source = np.zeros(n, dtype=np.int64)
     outside = np.ones(n, dtype=bool)
@@ -74,37 +83,109 @@ def spanning_tree(vec: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.nda
     return frm, to, w
 
 
-def candidate_edges(points: DataFrame, block_points: int) -> DataFrame:
-    """Edges (u < v, w) that contain the spanning tree; `points` has id, vec, core."""
-    n = block_count(points, block_points)
-    placed = in_blocks(points, "id", n)
-    if n == 1:
-        paired = placed.select("id", "vec", "core", F.lit(0).alias("_i"), F.lit(0).alias("_j"))
-    else:
-        other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        paired = (
-            placed.withColumn("_o", other)
-            .filter(F.col("_o") != F.col("_b"))
-            .select("id", "vec", "core", F.least("_b", "_o").alias("_i"),
-                    F.greatest("_b", "_o").alias("_j"))
-        )
+def reachability(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(np.maximum(d, a[:, None]), b[None, :])
+
+
+def _tree_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Spanning tree of all points of the only block."""
+    pdf = pdf.sort_values("id")
+    ids, core, m = pdf["id"].to_numpy(), pdf["core"].to_numpy(), unit(pdf["vec"])
+    a, b, w = dense_tree(reachability(distances(m, m), core, core))
+    return pd.DataFrame({"u": ids[a], "v": ids[b], "w": w})
+
+
+def _known_edges(cells: Cells, points: DataFrame, near: DataFrame) -> DataFrame:
+    """(u, v, w): a connected graph of true edges, from near lists, to the own pivot, among pivots."""
+    core = points.select(F.col("id").alias("v"), F.col("core").alias("_core"))
+    close = near.select(F.col("id").alias("u"), "core", F.explode("near").alias("n")).select(
+        "u", "core", F.col("n.id").alias("v"), F.col("n.d").alias("d")
+    ).filter("u <> v").join(core, "v")
+    close = close.select("u", "v", F.greatest("core", "_core", "d").alias("w"))
+
+    ids = [int(x) for x in cells.pivot_ids]
+    found = {r["id"]: r["core"] for r in points.filter(F.col("id").isin(ids)).select("id", "core").collect()}
+    own, pivots = np.array([found[i] for i in ids]), cells.pivots
+
+    def spokes(frames):
+        for pdf in frames:
+            at = np.minimum(pdf["cell"].to_numpy(), len(ids) - 1)
+            d = np.round(np.clip(1.0 - np.einsum("ij,ij->i", unit(pdf["vec"]), pivots[at]), 0, 2), 9)
+            w = np.maximum(np.maximum(d, pdf["core"].to_numpy()), own[at])
+            yield pd.DataFrame({"u": pdf["id"], "v": np.array(ids)[at], "w": w})
+
+    wheel = points.mapInPandas(spokes, EDGE).filter("u <> v")
+    a, b, w = dense_tree(reachability(distances(pivots, pivots), own, own))
+    hub = pd.DataFrame({"u": np.array(ids)[a], "v": np.array(ids)[b], "w": w})
+    hub = cells.spark.createDataFrame(hub, EDGE)
+    return cut(close.unionAll(wheel).unionAll(hub))
+
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < 2:
-            return pd.DataFrame({"u": [], "v": [], "w": []})
-        ids = pdf["id"].to_numpy()
-        a, b, w = spanning_tree(matrix(pdf["vec"], True), pdf["core"].to_numpy())
-        a, b = ids[a], ids[b]
-        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "w": w})
-
-    edges = paired.groupBy("_i", "_j").applyInPandas(tree, EDGE)
-    return edges.groupBy("u", "v").agg(
-        F.greatest(F.min("w"), F.lit(MIN_DISTANCE)).alias("w")
+def _lightest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """For each component asked for, its lightest edge to another component among the points held."""
+    if asked.empty or held.empty:
+        return pd.DataFrame({"comp": [], "to_comp": [], "w": [], "u": [], "v": []})
+    d = reachability(
+        distances(unit(asked["vec"]), unit(held["vec"])), asked["core"].to_numpy(), held["core"].to_numpy()
     )
+    comp, other = asked["comp"].to_numpy(), held["comp"].to_numpy()
+    d[comp[:, None] == other[None, :]] = np.inf
+    at = d.argmin(axis=1)
+    rows = pd.DataFrame({
+        "comp": comp, "to_comp": other[at], "w": d[np.arange(len(d)), at], "u": asked["id"].to_numpy(),
+        "v": held["id"].to_numpy()[at],
+    })
+    rows = rows[rows["w"] < asked["bound"].to_numpy()]
+    return rows.sort_values(["w", "u", "v"]).drop_duplicates("comp")
 
 
-def merge_batch(edges: pd.DataFrame, m: int) -> pd.DataFrame:
-    """Merges components along sorted edges; see the module text for what is reported.
+def spanning_edges(cells: Cells, near: DataFrame, limit: int) -> DataFrame:
+    """Edges (u, v, w) that connect all points and have, at every weight, the components of all pairs.
+
+    `near` has id, core and near lists of the points of the cells.
+    """
+    points = cut(cells.points.join(near.select("id", "core"), "id"))
+    if cells.one_block:
+        return points.groupBy().applyInPandas(_tree_of_block, EDGE)
+    known = _known_edges(cells, points, near)
+    comps = points.select("id", F.col("id").alias("comp"))
+    chosen = None
+    while True:
+        for side in ("u", "v"):
+            to = comps.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp"))
+            known = known.drop(f"{side}_comp").join(to, side)
+        known = cut(known.select("u", "v", "w", "u_comp", "v_comp").filter("u_comp <> v_comp"))
+        if known.isEmpty():
+            return chosen if chosen is not None else cells.spark.createDataFrame([], EDGE)
+        sides = known.select(F.col("u_comp").alias("comp"), F.col("v_comp").alias("to_comp"), "w", "u", "v").unionAll(
+            known.select(F.col("v_comp").alias("comp"), F.col("u_comp").alias("to_comp"), "w", F.col("v").alias("u"), F.col("u").alias("v"))
+        )
+        edge = F.struct("w", "u", "v", "to_comp")
+        bounds = sides.groupBy("comp").agg(F.min(edge).alias("e"))
+        now = cut(points.join(comps, "id"))
+        floors, owners = np.full(len(cells.radius), np.inf), np.full(len(cells.radius), -1, np.int64)
+        for r in now.groupBy("cell").agg(F.min("core").alias("f"), F.min("comp").alias("a"), F.max("comp").alias("b")).collect():
+            floors[r["cell"]] = r["f"]
+            if r["a"] == r["b"]:
+                owners[r["cell"]] = r["a"]
+        asking = now.join(bounds.select("comp", F.col("e.w").alias("bound")), "comp").filter("core < bound")
+        found = cells.search(
+            cells.routed(asking.select("id", "vec", "cell", "block", "core", "comp", "bound"), floors, owners),
+            now.select("id", "vec", "core", "comp", "cell", "block"), _lightest,
+            "comp long, to_comp long, w double, u long, v long",
+        )
+        best = cut(
+            bounds.unionAll(found.select("comp", edge.alias("e"))).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*")
+        )
+        joins = best.select("u", "v", "w")
+        chosen = joins if chosen is None else cut(chosen.unionAll(joins))
+        labels = component_labels(best.select(F.col("comp").alias("u"), F.col("to_comp").alias("v")), limit)
+        labels = labels.select(F.col("id").alias("comp"), "root")
+        comps = cut(comps.join(labels, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+
+
+def merge_edges(edges: pd.DataFrame, m: int) -> pd.DataFrame:
+    """Merges components along edges, all of one weight at once; see the module text.
 
     Edges carry the state of both end components (`u_`/`v_` + size, cluster, acc, below).
     """
@@ -121,6 +202,7 @@ def merge_batch(edges: pd.DataFrame, m: int) -> pd.DataFrame:
                 state[c] = [int(size), int(cluster) if grown else None, acc, below,
                             None if grown else [c]]
     out: list[tuple] = []
+    peak = 0.0
 
     def root(c: int) -> int:
         while parent[c] != c:
@@ -131,41 +213,50 @@ def merge_batch(edges: pd.DataFrame, m: int) -> pd.DataFrame:
     def fall(members: list[int], cluster: int):
         out.extend(("fell", c, cluster, None, None, None, None, None) for c in members)
 
-    peak = 0.0
-    for u, v, w in zip(edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist()):
-        a, b = root(u), root(v)
-        if a == b:
-            continue
-        if state[a][0] < state[b][0]:
-            a, b = b, a
-        big, small = state[a], state.pop(b)
-        parent[b] = a
-        lam = 1.0 / w
-        total = big[0] + small[0]
+    def join(old: list[int], into: int, lam: float):
+        """One component of several, at one lambda."""
+        nonlocal peak
+        parts = [state.pop(r) for r in old]
+        large = [p for p in parts if p[0] >= m]
+        small = [c for p in parts if p[0] < m for c in p[4]]
+        total = sum(p[0] for p in parts)
         if total < m:
-            big[4].extend(small[4])
-        elif big[0] < m:
-            # Two groups below the minimum size form a new cluster; it is named by its root.
-            fall(big[4] + small[4], a)
-            big[1:] = [a, lam * total, 0.0, None]
-            peak = max(peak, lam)
-        elif small[0] < m:
-            fall(small[4], big[1])
-            big[2] += lam * small[0]
-            peak = max(peak, lam)
+            state[into] = [total, None, 0.0, 0.0, small]
+            return
+        peak = max(peak, lam)
+        if len(large) == 1:
+            cluster, acc, below = large[0][1:4]
+            acc += lam * (total - large[0][0])
+        elif not large:
+            cluster, acc, below = into, lam * total, 0.0
         else:
-            # Two clusters meet: both end here, their parent begins. A cluster id is used once
-            # per root, so the parent takes the id of the pair's second root, made negative.
-            fresh = -b - 1
-            below = 0.0
-            for size, cluster, acc, under, _ in (big, small):
-                own = acc - lam * size
-                chosen = own >= under
+            # Clusters meet: all end here, their parent begins. A component that ends is never a
+            # root again, so its number, made negative, names the parent.
+            cluster, acc, below = -max(r for r in old if r != into) - 1, lam * total, 0.0
+            for size, own_cluster, own_acc, under, _ in large:
+                own = own_acc - lam * size
+                chosen = own >= under - TOLERANCE * abs(under)
                 below += own if chosen else under
-                out.append(("closed", cluster, fresh, size, None, None, own, chosen))
-            big[1:] = [fresh, lam * total, below, None]
-            peak = max(peak, lam)
-        big[0] = total
+                out.append(("closed", own_cluster, cluster, size, None, None, own, chosen))
+        fall(small, cluster)
+        state[into] = [total, cluster, acc, below, None]
+
+    us, vs, ws = edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist()
+    i = 0
+    while i < len(ws):
+        w, joined = ws[i], {}
+        while i < len(ws) and ws[i] == w:
+            a, b = root(us[i]), root(vs[i])
+            i += 1
+            if a == b:
+                continue
+            x, y = joined.pop(a, [a]), joined.pop(b, [b])
+            if len(x) < len(y):
+                a, b, x, y = b, a, y, x
+            parent[b] = a
+            joined[a] = x + y
+        for into, old in joined.items():
+            join(old, into, 1.0 / w)
     out.extend(("moved", c, root(c), None, None, None, None, None) for c in parent)
     out.extend(
         ("open", r, s[1] or 0, s[0], s[2], s[3], None, None) for r, s in state.items()
@@ -179,20 +270,78 @@ def merge_batch(edges: pd.DataFrame, m: int) -> pd.DataFrame:
     return frame
 
 
-def _batch_filter(edges: DataFrame, limit: int):
-    """Condition for the lightest edges, at most about `limit` of them, or None for all."""
+def merge_level(edges: DataFrame, comps: DataFrame, w: float, m: int, limit: int) -> DataFrame:
+    """What `merge_edges` reports, for edges of one weight of any number, by grouping alone."""
+    lam = 1.0 / w
+    labels = component_labels(edges, limit)
+    parts = cut(labels.join(comps, "id"))
+    large = F.col("size") >= m
+    joined = parts.groupBy("root").agg(
+        F.sum("size").alias("total"), F.count_if(large).alias("n_large"), F.max("id").alias("last"),
+        F.max(F.when(large, F.struct("size", "cluster", "acc", "below"))).alias("one"),
+        F.sum(F.when(large, F.greatest(F.col("acc") - lam * F.col("size"), F.col("below")))).alias("best"),
+    )
+    cluster = (
+        F.when(F.col("total") < m, F.lit(0)).when(F.col("n_large") == 0, F.col("root"))
+        .when(F.col("n_large") == 1, F.col("one.cluster")).otherwise(-F.col("last") - 1)
+    )
+    one = F.col("n_large") == 1
+    acc = F.when(F.col("total") < m, 0.0).when(
+        one, F.col("one.acc") + lam * (F.col("total") - F.col("one.size"))
+    ).otherwise(lam * F.col("total"))
+    below = F.when(one, F.col("one.below")).when(F.col("n_large") > 1, F.col("best")).otherwise(0.0)
+    joined = cut(joined.select(
+        "root", "total", "n_large", cluster.cast("long").alias("to_cluster"), acc.alias("to_acc"), below.alias("to_below")
+    ))
+    both = parts.join(joined, "root")
+    none = {"target": "long", "size": "long", "acc": "double", "below": "double", "stability": "double", "chosen": "boolean"}
+
+    def report(df: DataFrame, kind: str, id_col: str | None, **cols) -> DataFrame:
+        cells = [F.lit(kind).alias("kind"), (F.col(id_col) if id_col else F.lit(None).cast("long")).alias("id")]
+        return df.select(*cells, *[(cols.get(c) if c in cols else F.lit(None)).cast(t).alias(c) for c, t in none.items()])
+
+    own = F.col("acc") - lam * F.col("size")
+    ended = both.filter(large & (F.col("n_large") > 1))
+    peak = joined.agg(F.max(F.when(F.col("total") >= m, lam)).alias("p"))
+    return cut(
+        report(both, "moved", "id", target=F.col("root"))
+        .unionByName(report(both.filter(~large & (F.col("total") >= m)), "fell", "id", target=F.col("to_cluster")))
+        .unionByName(report(ended, "closed", "cluster", target=F.col("to_cluster"), size=F.col("size"), stability=own,
+                            chosen=own >= F.col("below") - TOLERANCE * F.abs("below")))
+        .unionByName(report(joined, "open", "root", target=F.col("to_cluster"), size=F.col("total"),
+                            acc=F.col("to_acc"), below=F.col("to_below")))
+        .unionByName(report(peak, "peak", None, acc=F.coalesce("p", F.lit(0.0))))
+    )
+
+
+def _round(edges: DataFrame, comps: DataFrame, m: int, limit: int) -> tuple[DataFrame, object]:
+    """(report, condition of the edges that were merged, or None for all) of one round."""
+
+    def merged(batch: DataFrame, key: str) -> DataFrame:
+        return cut(_with_sides(batch, comps).groupBy(key).applyInPandas(lambda pdf: merge_edges(pdf, m), REPORT))
+
     n = edges.count()
     if n <= limit:
-        return None
-    accuracy = max(10_000, 10 * n // limit)
-    cutoff = edges.agg(F.percentile_approx("w", F.lit(limit / n), F.lit(accuracy))).first()[0]
-    lighter = edges.filter(F.col("w") < cutoff).count()
-    if 0 < lighter <= 2 * limit:
-        return F.col("w") < cutoff
-    equal = F.col("w") == F.lit(edges.agg(F.min("w")).first()[0])
-    parts = -(-edges.filter(equal).count() // limit)
-    # Edges of equal weight may be merged in any order.
-    return equal & (F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == 0)
+        return merged(edges.withColumn("_bucket", F.lit(0)), "_bucket"), None
+    lowest = edges.agg(F.min("w")).first()[0]
+    ties = F.col("w") == F.lit(lowest)
+    if edges.filter(ties).count() > limit // 2:
+        return merge_level(edges.filter(ties), comps, lowest, m, limit), ties
+    share = 0.5
+    while True:
+        t = edges.agg(F.percentile_approx("w", F.lit(share), F.lit(10_000))).first()[0]
+        light = F.col("w") < F.lit(t) if t > lowest else ties
+        labels = component_labels(edges.filter(light), limit)
+        rooted = cut(edges.filter(light).join(labels.withColumnRenamed("id", "u"), "u"))
+        if light is not ties and rooted.groupBy("root").count().agg(F.max("count")).first()[0] > limit // 2:
+            share /= 4
+            continue
+        parts = 1 + 2 * rooted.count() // limit
+        while True:
+            bucket = rooted.withColumn("_bucket", F.pmod(F.xxhash64("root"), F.lit(parts)))
+            if bucket.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= limit:
+                return merged(bucket.drop("root"), "_bucket"), light
+            parts *= 2
 
 
 def _with_sides(edges: DataFrame, comps: DataFrame) -> DataFrame:
@@ -205,6 +354,22 @@ def _with_sides(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return out
 
 
+def tree_edges(points: DataFrame, cfg: ClusterConfig = CFG) -> DataFrame:
+    """Spanning edges (u, v, w) of all points (id, vec), copies included."""
+    cells = Cells(distinct_points(points), cfg.block_points)
+    near = cut(with_cores(near_lists(cells, cfg.min_samples), cfg.min_samples))
+    tree = spanning_edges(cells, near, cfg.edges_per_task)
+    named = cells.points.filter("n > 1").select("vec", F.col("id").alias("u"))
+    copies = points.join(named, "vec").filter("id <> u").join(near.select(F.col("id").alias("u"), "core"), "u")
+    copies = copies.select("u", F.col("id").alias("v"), F.col("core").alias("w"))
+    edges = tree.unionAll(copies)
+    return cut(
+        edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(
+            F.greatest(F.min("w"), F.lit(MIN_DISTANCE)).alias("w")
+        )
+    )
+
+
 def density_clusters(
     vectors: DataFrame, id_col: str = "id", vec_col: str = "vec", cfg: ClusterConfig = CFG
 ) -> tuple[DataFrame, DataFrame]:
@@ -214,10 +379,9 @@ def density_clusters(
     persistence_score). `id` must be a non-negative long. Cluster ids count from 0 by smallest
     member.
     """
-    points = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    points = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     m = cfg.min_cluster_size
-    core = core_distances(points, cfg.min_samples, block_rows=cfg.block_points)
-    edges = cut(candidate_edges(points.join(core, "id"), cfg.block_points))
+    edges = tree_edges(points.filter("vec IS NOT NULL"), cfg)
 
     members = points.select("id", F.col("id").alias("comp"), F.lit(None).cast("long").alias("leaf"))
     comps = points.select(
@@ -227,14 +391,8 @@ def density_clusters(
     closed = None
     peaks = []
     while not edges.isEmpty():
-        light = _batch_filter(edges, cfg.edges_per_task)
-        batch = edges if light is None else edges.filter(light)
-        report = cut(
-            _with_sides(batch, comps)
-            .groupBy(F.lit(0).alias("_batch"))
-            .applyInPandas(lambda pdf: merge_batch(pdf, m), REPORT)
-        )
-        peaks.append(report.filter("kind = 'peak'").first()["acc"])
+        report, light = _round(edges, comps, m, cfg.edges_per_task)
+        peaks.append(report.filter("kind = 'peak'").agg(F.max("acc")).first()[0])
         moved = report.filter("kind = 'moved'").select("id", F.col("target").alias("to"))
         fell = report.filter("kind = 'fell'").select(
             F.col("id").alias("comp"), F.col("target").alias("_leaf")

@@ -7,7 +7,7 @@ def density(vec, m, k):
     """Top-down density clustering: labels (up to numbering) and persistence per label."""
     n = len(vec)
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
-    d = np.clip(1 - unit @ unit.T, 0, 2)
+    d = np.round(np.clip(1 - unit @ unit.T, 0, 2), 9)
     np.fill_diagonal(d, 0)
     core = np.sort(d, axis=1)[:, min(k, n - 1)]
     mr = np.maximum(d, np.maximum(core[:, None], core[None, :]))
@@ -30,24 +30,27 @@ def density(vec, m, k):
     clusters = []  # [birth, stability, children, points]
     lams = []
 
+    def parts(i):
+        """Components that exist just below the weight of a node: equal weights split at once."""
+        found = []
+        for j in node[i][:2]:
+            found += parts(j) if node[j][0] is not None and node[j][2] == node[i][2] else [j]
+        return found
+
     def walk(i, birth):
         c = {"birth": birth, "rows": 0.0, "kids": [], "pts": node[i][3]}
         clusters.append(c)
         while True:
-            a, b, w, pts = node[i]
-            lam = 1 / w
-            sa, sb = len(node[a][3]), len(node[b][3])
+            lam = 1 / node[i][2]
             lams.append(lam)
-            if sa >= m and sb >= m:
-                c["rows"] += (sa + sb) * (lam - birth)
-                c["kids"] = [walk(a, lam), walk(b, lam)]
-                break
-            if sa < m and sb < m:
-                c["rows"] += (sa + sb) * (lam - birth)
-                break
-            small, i = (sa, b) if sa < m else (sb, a)
-            c["rows"] += small * (lam - birth)
-        return c
+            below = parts(i)
+            large = [j for j in below if len(node[j][3]) >= m]
+            c["rows"] += (lam - birth) * (len(node[i][3]) - (len(node[large[0]][3]) if len(large) == 1 else 0))
+            if len(large) == 1:
+                i = large[0]
+                continue
+            c["kids"] = [walk(j, lam) for j in large]
+            return c
 
     labels = np.full(n, -1)
     if n < m:
@@ -59,7 +62,7 @@ def density(vec, m, k):
 
     def best(c):
         below = sum(best(k) for k in c["kids"])
-        c["chosen"] = c["rows"] >= below
+        c["chosen"] = c["rows"] >= below * (1 - 1e-9)
         return max(c["rows"], below)
 
     for k in top["kids"]:

@@ -24,7 +24,7 @@ def test_names_agree():
 
 #: Checked against plain counterparts in test_density.py, test_operators.py and test_drift.py.
 WITHOUT_SQL = {
-    "clu2_density_labels", "clu3_persistence", "synthesize_job", "agg16_length_ks_p_value", "agg21_gate_decisions",
+    "agg16_length_ks_p_value", "agg21_gate_decisions",
 }
 
 

@@ -1,10 +1,13 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from brute import density
 from driftloom.config import ClusterConfig
-from driftloom.operators.density import density_clusters
+from driftloom.operators.cells import Cells, distinct_points, near_lists, with_cores
+from driftloom.operators.components import component_labels
+from driftloom.operators.density import density_clusters, tree_edges
 
 
 def blobs(seed, n, dim=8, centers=4, noise=0.15):
@@ -14,33 +17,100 @@ def blobs(seed, n, dim=8, centers=4, noise=0.15):
     return np.vstack([v, rng.normal(size=(n // 6, dim))])
 
 
-def frame(spark, v):
+def frame(spark, v, ids=None):
     return spark.createDataFrame(
-        pd.DataFrame({"id": np.arange(len(v)), "vec": [x.tolist() for x in v]}),
+        pd.DataFrame({"id": np.arange(len(v)) if ids is None else ids, "vec": [x.tolist() for x in v]}),
         "id long, vec array<double>",
     )
 
 
+def labels_of(df, cfg):
+    labels, clusters = density_clusters(df, cfg=cfg)
+    return dict(map(tuple, labels.collect())), {r.cluster_id: r for r in clusters.collect()}
+
+
 @pytest.mark.parametrize(
-    "seed,block,batch", [(1, 2048, 1_000_000), (2, 40, 1_000_000), (3, 64, 60)]
+    "seed,block,batch", [(1, 2048, 1_000_000), (2, 40, 1_000_000), (3, 64, 80)]
 )
 def test_matches_top_down_reference(spark, seed, block, batch):
     v = blobs(seed, 150)
     cfg = ClusterConfig(block_points=block, edges_per_task=batch)
-    labels, clusters = density_clusters(frame(spark, v), cfg=cfg)
-    got = labels.toPandas().sort_values("id")["cluster_id"].to_numpy()
+    labels, clusters = labels_of(frame(spark, v), cfg)
+    got = np.array([labels[i] for i in range(len(v))])
     want, persistence = density(v, 5, 3)
     pairs = set(zip(got.tolist(), want.tolist()))
     assert len(pairs) == len(set(got)) == len(set(want))
     assert (-1, -1) in pairs or -1 not in set(want)
     match = dict(pairs)
-    rows = clusters.collect()
-    assert sum(r.member_count for r in rows) + int((got == -1).sum()) == len(v)
-    for r in rows:
+    assert sum(r.member_count for r in clusters.values()) + int((got == -1).sum()) == len(v)
+    for r in clusters.values():
         assert r.persistence_score == pytest.approx(persistence[match[r.cluster_id]], rel=1e-6)
 
 
+def test_copies_and_numbering(spark):
+    """Groups of copies, ties and near points: the same clusters for every numbering and layout."""
+    rng = np.random.default_rng(7)
+    base = blobs(5, 60)
+    grid = np.eye(8)[rng.integers(0, 8, 30)]  # many equal distances
+    v = np.vstack([base, np.repeat(base[:3], [9, 2, 14], axis=0), grid, np.zeros((2, 8))])
+    want = None
+    for seed, block, batch in [(0, 2048, 1_000_000), (1, 30, 1_000_000), (2, 2048, 40)]:
+        ids = np.random.default_rng(seed).permutation(1000)[: len(v)]
+        labels, clusters = labels_of(frame(spark, v, ids), ClusterConfig(block_points=block, edges_per_task=batch))
+        groups = {}
+        for at, i in enumerate(ids.tolist()):
+            groups.setdefault(labels[i], set()).add(at)
+        found = {
+            (frozenset(m), round(clusters[c].persistence_score, 6)) for c, m in groups.items() if c >= 0
+        }
+        assert want is None or found == want, (seed, block, batch)
+        want = found
+    assert len(want) > 2
+
+
+def test_tree_has_the_weights_of_the_full_one(spark):
+    v = blobs(9, 200, centers=6, noise=0.05)
+    v = np.vstack([v, v[:10]])
+    full = [r.w for r in tree_edges(frame(spark, v), ClusterConfig()).collect()]
+    cells = [r.w for r in tree_edges(frame(spark, v), ClusterConfig(block_points=20)).collect()]
+    assert sorted(full) == sorted(cells)
+
+
+def test_near_points_are_found_without_all_pairs(spark):
+    """Bounds keep points away from cells that hold nothing close; copies are sent once."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(16, 12))
+    v = np.repeat(centers, 40, axis=0) + rng.normal(scale=0.01, size=(640, 12))
+    v = np.vstack([v, np.repeat(v[:1], 300, axis=0)])
+    cells = Cells(distinct_points(frame(spark, v)), 40)
+    assert cells.points.count() == 640
+    near = with_cores(near_lists(cells, 3), 3)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    d = np.round(np.clip(1 - u @ u.T, 0, 2), 9)
+    want = np.sort(d, axis=1)[:, 3]
+    for r in near.select("id", "core").collect():
+        assert r.core == pytest.approx(want[r.id], abs=2e-9)
+    asking = cells.points.join(near.select("id", F.col("core").alias("bound")), "id").select("id", "vec", "bound")
+    sent = cells.routed(asking).count()
+    assert sent < 640 * len(cells.radius) / 3
+
+
 def test_too_few_points_are_noise(spark):
-    labels, clusters = density_clusters(frame(spark, blobs(4, 3)[:3]))
-    assert {r.cluster_id for r in labels.collect()} == {-1}
-    assert clusters.count() == 0
+    labels, clusters = labels_of(frame(spark, blobs(4, 3)[:3]), ClusterConfig())
+    assert set(labels.values()) == {-1} and not clusters
+    labels, clusters = labels_of(frame(spark, blobs(4, 3)[:1]), ClusterConfig())
+    assert labels == {0: -1}
+    empty, none = density_clusters(frame(spark, blobs(4, 3)).filter("id < 0"))
+    assert empty.count() == none.count() == 0
+
+
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_components(spark, limit):
+    rng = np.random.default_rng(limit)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(100 + i, 101 + i) for i in range(30)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = component_labels(spark.createDataFrame(edges, "u long, v long"), limit)
+    assert dict(map(tuple, got.collect())) == label
