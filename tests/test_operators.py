@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftloom.config import AlertBudgetConfig, LoopConfig
 from driftloom.functions import text as X
 from driftloom.operators import greedy
+from driftloom.operators.lifting import reached
 from driftloom.operators.distributions import (
     bucket_quantile,
     cumulative_histogram,
@@ -103,6 +104,58 @@ def test_cycle_admission(spark, fold_rows):
     assert [r.reason for r in got.orderBy("request_id").collect()] == want
 
 
+@pytest.mark.parametrize("fold_rows", [500_000, 30])
+def test_schedule_on_large_keys(spark, fold_rows):
+    rnd = random.Random(11)
+    rows, want = [], []
+    for key in ("a", None):
+        t, last = 0, None
+        for i in range(400):
+            t += rnd.randint(0, 30) * HOUR
+            recorded = rnd.random() < 0.03
+            fires = not recorded and last is not None and t >= last + 168 * HOUR
+            if recorded or fires:
+                last = t
+            rows.append((len(rows), key, t, recorded))
+            want.append(fires)
+    df = spark.createDataFrame(rows, "tick_id long, schedule string, ts_us long, recorded boolean")
+    out = greedy.schedule_fires(df, "schedule", LoopConfig(fold_rows=fold_rows))
+    assert out.columns == [*df.columns, "fired"]
+    assert [r.fired for r in out.orderBy("tick_id").collect()] == want
+    assert sum(want) > 20
+
+
+@pytest.mark.parametrize("fold_rows", [500_000, 30])
+def test_admission_with_odd_completions(spark, fold_rows):
+    """Never completed, completed before the start, at equal times, null key."""
+    rnd = random.Random(12)
+    rows, want = [], []
+    for key in ("a", None, "b"):
+        t, busy, started = 0, None, False
+        for i in range(120):
+            t += rnd.choice([0, 0, 1, 5]) * HOUR
+            done = None if key == "b" and i == 60 else t + rnd.randint(-20, 9) * HOUR
+            rows.append((len(rows), key, t, done))
+            if started and (busy is None or t < busy):
+                want.append("running")
+            elif started and t < busy + 12 * HOUR:
+                want.append("rate_limited")
+            else:
+                want.append("ok")
+                started, busy = True, done
+    df = spark.createDataFrame(rows, "request_id long, cluster_id string, ts_us long, completed_us long")
+    got = greedy.cycle_admission(df, "cluster_id", LoopConfig(fold_rows=fold_rows)).orderBy("request_id").collect()
+    assert [r.reason for r in got] == want
+    assert [r.admitted for r in got] == [w == "ok" for w in want]
+
+
+def test_rounds_grow_with_the_log_of_the_path(spark):
+    """One key whose path has a thousand rows, as 50 chunks of 20."""
+    steps = spark.range(1000).selectExpr("struct('k' as k) as _key", "id as _rn", "nullif(id + 1, 1000) as _next")
+    seen, rounds = reached(steps, steps.filter("_rn = 0"))
+    assert (seen.count(), rounds) == (1000, 11)
+
+
 def test_cycle_that_never_ends_blocks_all(spark):
     rows = [(0, "c", 0, None), (1, "c", 100 * HOUR, None)]
     df = spark.createDataFrame(
