@@ -13,7 +13,7 @@ from driftloom.catalog.evaluation import SUMS_SQL, sums
 from driftloom.catalog.fixtures import CFG, micros, signals, table
 from driftloom.catalog.registry import query
 from driftloom.catalog.sources import (
-    EVIDENCE_SQL, TURNS_SQL, event_messages, turns,
+    EVIDENCE_SQL, TURNS_SQL, event_messages, messages, turns,
 )
 from driftloom.plans import accounting as A
 from driftloom.plans.alerts import dispatch_alerts
@@ -24,7 +24,9 @@ from driftloom.session import run_folder
 from driftloom.sources import signals as M
 from driftloom.streaming.alerting import alert_stream
 from driftloom.streaming.dispatch import budget_stream, counter_stream, handoff_to_synthesis
-from driftloom.streaming.run import drain, table_stream
+from driftloom.streaming.ingest import committed, ingest
+from driftloom.streaming.ordered import ordered_scores, rocksdb_state, stored_baselines
+from driftloom.streaming.run import dealt_stream, drain, table_stream
 from driftloom.streaming.scoring import once, score_stream
 
 
@@ -56,6 +58,89 @@ def str3_streamed(spark, sf):
     return _event_columns(rows.select(*drift_event_columns(CFG), "request_id"))
 
 
+HOUR_US = 3_600_000_000
+END = "end of the feed"
+
+
+def out_of_order(rows, parts, jitter_us, delay_us):
+    """Rows dealt to micro-batches by time plus up to `jitter_us`; a last batch of one marker row
+    moves the watermark past all of them."""
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    width = (high + jitter_us - low) // parts + 1
+    at = F.col("ts_us") + F.xxhash64("request_id") % (jitter_us // 2) + jitter_us // 2
+    part = F.least(F.floor((at - low) / width), F.lit(parts - 1))
+    marker = rows.limit(1).withColumns(
+        {"request_id": F.lit(END), "model_version": F.lit(END), "ts_us": F.lit(high + delay_us + HOUR_US)}
+    )
+    both = rows.withColumn("_at", part.cast("int")).unionByName(marker.withColumn("_at", F.lit(parts)))
+    return dealt_stream(both, F.col("_at"), parts + 1).drop("_at")
+
+
+def key_order(rows):
+    feed = out_of_order(rows.select(*NARROW), 5, 6 * HOUR_US, 12 * HOUR_US)
+    with rocksdb_state(rows.sparkSession):
+        return drain(ordered_scores(feed, CFG, "12 hours")).filter(F.col("model_version") != END)
+
+
+@query(
+    "str8_key_order",
+    f"{ADAPTIVE_SQL} SELECT o.request_id, row_number() OVER (PARTITION BY o.model_version, o.tenant_id ORDER BY "
+    f"o.ts_us, o.request_id) - 1 AS position, {r6_sql('composite', *Z)} FROM ordered o LEFT JOIN scored USING (request_id)",
+)
+def str8(spark, sf):
+    return key_order(signals(spark, sf)).select("request_id", "position", *r6("composite", *Z))
+
+
+@query(
+    "str1_restarted_scores",
+    f"{ADAPTIVE_SQL} SELECT request_id, {r6_sql('composite', *Z)} FROM scored",
+)
+def str1_restarted(spark, sf):
+    """A stream over half of the time, its state as a snapshot, and a new stream from there."""
+    rows = signals(spark, sf).select(*NARROW)
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    early = F.col("ts_us") <= (low + high) // 2
+    out, snapshot = None, None
+    for half in (rows.filter(early), rows.filter(~early)):
+        folder = run_folder(spark, "restarted")
+        feed = out_of_order(half, 3, 6 * HOUR_US, 12 * HOUR_US)
+        with rocksdb_state(spark):
+            done = drain(ordered_scores(feed, CFG, "12 hours", snapshot), folder=folder)
+        snapshot = stored_baselines(spark, f"{folder}/progress")
+        out = done if out is None else out.unionAll(done)
+    scored = out.filter(F.col("composite").isNotNull() & (F.col("model_version") != END))
+    return scored.select("request_id", *r6("composite", *Z))
+
+
+@query(
+    "src1_stream_tables",
+    "WITH m AS (SELECT event_id, epoch_us(ts) AS t, epoch_us(ts) + CASE WHEN event_id % 10 = 0 THEN 259200000000 ELSE 0 END "
+    "AS sent FROM events WHERE event_id % 50 <> 7), p AS (SELECT *, event_id % 50 IN (8, 9) AS bad, (sent - (SELECT min(t) FROM m)) "
+    "// ((SELECT max(sent) FROM m) // 5 - (SELECT min(t) FROM m) // 5 + 1) AS batch FROM m), n AS (SELECT batch, max(max(t) FILTER "
+    "(NOT bad)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM p GROUP BY batch) "
+    "SELECT CASE WHEN bad THEN 'rejects' WHEN t < newest - 86400000000 THEN 'late' ELSE 'signals' END AS table_name, batch, "
+    "count(*) AS n, CAST(sum(event_id) FILTER (NOT bad) AS BIGINT) AS ids FROM p JOIN n USING (batch) GROUP BY 1, 2",
+)
+def src1_tables(spark, sf):
+    """Messages in five micro-batches, one in ten three days behind, as signals, rejects and late rows."""
+    held = F.when(F.col("_id") % 10 == 0, 72 * HOUR_US).otherwise(0)
+    at = signals(spark, sf).select(F.col("event_id").alias("_id"), "ts_us").withColumn("at", F.col("ts_us") + held)
+    sent = messages(spark, sf).join(at, "_id").filter("_id % 50 <> 7")
+    low, high = sent.agg(F.min("ts_us"), F.max("at")).first()
+    part = F.floor((F.col("at") - low) / (high // 5 - low // 5 + 1))
+    folder = run_folder(spark, "ingested")
+    feed = dealt_stream(sent.select("key", "value", part.alias("_at")), F.col("_at"), 5).drop("_at")
+    ingest(feed, folder, f"{folder}/progress", 24 * HOUR_US).trigger(availableNow=True).start().awaitTermination()
+    out = None
+    for name in ("signals", "rejects", "late"):
+        rows = committed(spark, folder, name)
+        ids = F.sum(F.col("request_id").cast("long")) if name != "rejects" else F.lit(None).cast("long")
+        rows = rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+        rows = rows.select(F.lit(name).alias("table_name"), "batch", "n", "ids")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 @query(
     "str6_streamed_alert_budget",
     f"WITH RECURSIVE {ALERTS_SQL}, {BUDGET_SQL} SELECT alert_id, level, dispatched FROM budget",
@@ -67,13 +152,17 @@ def str6_streamed(spark, sf):
 
 @query(
     "str7_streamed_counters",
-    "SELECT epoch_us(b) AS bucket_us, event_type, count(*) AS total FROM (SELECT *, "
-    "time_bucket(INTERVAL '1 hour', ts) AS b FROM events) WHERE b + INTERVAL '1 hour' <= "
-    "(SELECT max(ts) FROM events) - INTERVAL '10 minutes' GROUP BY 1, 2",
+    "SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) AS bucket_us, event_type, count(*) AS total FROM events GROUP BY 1, 2",
 )
 def str7_streamed(spark, sf):
+    """All buckets of five micro-batches; a marker after the last one closes the open buckets."""
     e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows = drain(counter_stream(table_stream(e), "ts", ["event_type"], "1 hour"))
+    low, high = e.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - low) / ((high - low) // 5 + 1))
+    marker = spark.range(1).select(F.timestamp_micros(F.lit(high + 2 * HOUR_US)).alias("ts"), F.lit(END).alias("event_type"))
+    both = e.withColumn("_at", part).unionByName(marker.withColumn("_at", F.lit(5).cast("long")))
+    feed = dealt_stream(both, F.col("_at"), 6).drop("_at")
+    rows = drain(counter_stream(feed, "ts", ["event_type"], "1 hour")).filter(F.col("event_type") != END)
     return rows.select(micros("bucket_start").alias("bucket_us"), "event_type", "total")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from driftloom.session import run_folder
@@ -16,10 +17,22 @@ def table_stream(df: DataFrame, name: str = "feed") -> DataFrame:
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def drain(stream: DataFrame, name: str = "drained") -> DataFrame:
-    """Processes all available input and returns what was appended."""
-    spark = stream.sparkSession
+def dealt_stream(df: DataFrame, part: Column, parts: int, name: str = "feed") -> DataFrame:
+    """Stream over the rows of a batch table, one micro-batch for each value of `part` from 0."""
+    spark = df.sparkSession
     path = run_folder(spark, name)
+    numbered = df.withColumn("_part", part.cast("int"))
+    for i in range(parts):
+        numbered.filter(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false")
+    return source.parquet(path)
+
+
+def drain(stream: DataFrame, name: str = "drained", folder: str | None = None) -> DataFrame:
+    """Processes all available input and returns what was appended. Rows and progress are kept in
+    `folder`, a new one if it is not given."""
+    spark = stream.sparkSession
+    path = folder or run_folder(spark, name)
     writer: DataStreamWriter = stream.writeStream.format("parquet").outputMode("append")
     query = (
         writer.option("path", f"{path}/rows")
