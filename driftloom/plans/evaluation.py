@@ -165,6 +165,7 @@ def evaluate_adapters(
     improvement: DataFrame,
     safety: DataFrame | None = None,
     cfg: GateConfig = CFG,
+    verdict: Column | None = None,
 ) -> DataFrame:
     """Gate decision per adapter and failure cluster; without safety responses tier 4 passes.
 
@@ -180,7 +181,7 @@ def evaluate_adapters(
         diversity_check(behaviour, cfg).withColumn("_o", F.lit("1"))
     )
     two = _tier(checks, "check_name")
-    three = improvement_results(improvement, cfg)
+    three = improvement_results(improvement, cfg, verdict)
     out = (
         one.select("adapter_id", F.col("passed").alias("tier1_passed"), F.col("detail").alias("_d1"))
         .join(two.select("adapter_id", F.col("passed").alias("tier2_passed"),

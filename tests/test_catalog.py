@@ -22,14 +22,8 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-#: Checked against plain counterparts in test_density.py, test_operators.py and test_drift.py.
-WITHOUT_SQL = {
-    "agg16_length_ks_p_value", "agg21_gate_decisions",
-}
-
-
 def test_sql_is_there():
-    assert set(all_queries()) - set(all_sql()) <= WITHOUT_SQL
+    assert set(all_queries()) == set(all_sql())
 
 
 @pytest.mark.parametrize("name", sorted(all_queries()))
