@@ -43,18 +43,25 @@ def str1_streamed(spark, sf):
     return streamed_scores(spark, sf).filter("not late").select("request_id", *r6("composite", *Z))
 
 
+def scored_feed(spark, sf):
+    """Scored rows as a stream of five micro-batches in the order of time."""
+    rows = streamed_scores(spark, sf)
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    return dealt_stream(rows, F.floor((F.col("ts_us") - low) / ((high - low) // 5 + 1)), 5)
+
+
 @query(
     "str2_streamed_levels",
     f"{ADAPTIVE_SQL}, {_leveled('scored')} SELECT request_id, alert_level FROM leveled",
 )
 def str2_streamed(spark, sf):
-    rows = drain(alert_stream(table_stream(streamed_scores(spark, sf)), CFG))
+    rows = drain(alert_stream(scored_feed(spark, sf), CFG))
     return rows.select("request_id", "alert_level")
 
 
 @query("str3_streamed_events", EVENTS_SQL + EVENT_SQL)
 def str3_streamed(spark, sf):
-    rows = drain(alert_stream(table_stream(streamed_scores(spark, sf)), CFG)).filter("qualified")
+    rows = drain(alert_stream(scored_feed(spark, sf), CFG)).filter("qualified")
     return _event_columns(rows.select(*drift_event_columns(CFG), "request_id"))
 
 

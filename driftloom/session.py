@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "driftloom", master: str | None = None, **conf) -> SparkSession:
@@ -40,7 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative plans restart from here, also after executor loss."""
+    """Cuts a plan reliably: loops go on from here, also after executor loss.
+
+    A written table, as `stage` makes, knows its real size. A checkpoint keeps the estimate of the
+    plan it came from, and estimates of joins are products, so over the rounds of a loop they grow to
+    numbers of millions of digits. Checkpoints are left for what a table cannot hold.
+    """
+    if all(f.dataType != T.NullType() for f in df.schema) and len(set(map(str.lower, df.columns))) == len(df.columns):
+        return stage(df, "cut")
     spark = df.sparkSession
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -15,7 +15,10 @@ from driftloom.plans.drift import drift_event_columns
 
 CFG = DriftConfig()
 
-# Evidence tail (last 499 rows), window tail of every tenant, and rows seen so far.
+TICK_US = 1_000_000
+
+# Evidence tail (last 499 rows), rows seen so far, and for every tenant the sums and counts of the
+# ticks that the longest window still reaches: the state does not grow with the rate of a model.
 STORED = T.StructType(
     [
         T.StructField("seen", T.LongType()),
@@ -23,8 +26,9 @@ STORED = T.StructType(
         T.StructField("e_score", T.ArrayType(T.DoubleType())),
         T.StructField("e_id", T.ArrayType(T.StringType())),
         T.StructField("w_tenant", T.ArrayType(T.StringType())),
-        T.StructField("w_ts", T.ArrayType(T.LongType())),
-        T.StructField("w_score", T.ArrayType(T.DoubleType())),
+        T.StructField("w_tick", T.ArrayType(T.LongType())),
+        T.StructField("w_sum", T.ArrayType(T.DoubleType())),
+        T.StructField("w_n", T.ArrayType(T.LongType())),
     ]
 )
 LEVELED = T.StructType(
@@ -45,18 +49,19 @@ LEVELED = T.StructType(
 )
 
 
-def window_means(ts: np.ndarray, score: np.ndarray, new: int, seconds: float) -> np.ndarray:
-    """Mean over the last `seconds` for the last `new` rows of one sorted series."""
-    total = np.concatenate([[0.0], np.cumsum(score)])
+def window_means(ts: np.ndarray, total: np.ndarray, n: np.ndarray, new: int, seconds: float) -> np.ndarray:
+    """Mean over the last `seconds` for the last `new` entries of one sorted series of sums and counts."""
+    total = np.concatenate([[0.0], np.cumsum(total)])
+    count = np.concatenate([[0], np.cumsum(n)])
     at = np.arange(len(ts) - new, len(ts))
     lo = np.searchsorted(ts, ts[at] - int(seconds * 1_000_000), "left")
-    return (total[at + 1] - total[lo]) / (at + 1 - lo)
+    return (total[at + 1] - total[lo]) / (count[at + 1] - count[lo])
 
 
-def levels_of(ts: np.ndarray, score: np.ndarray, new: int, cfg: DriftConfig) -> np.ndarray:
+def levels_of(ts: np.ndarray, total: np.ndarray, n: np.ndarray, new: int, cfg: DriftConfig) -> np.ndarray:
     out = np.full(new, None, dtype=object)
     for name in reversed(ALERT_LEVELS):
-        hit = window_means(ts, score, new, cfg.windows_s[name]) >= cfg.thresholds[name]
+        hit = window_means(ts, total, n, new, cfg.windows_s[name]) >= cfg.thresholds[name]
         out[hit] = name
     return out
 
@@ -76,39 +81,45 @@ def judge_buffer(ts: np.ndarray, score: np.ndarray, cfg: DriftConfig) -> bool:
     return True
 
 
-def alert_stream(scored: DataFrame, cfg: DriftConfig = CFG) -> DataFrame:
+def alert_stream(scored: DataFrame, cfg: DriftConfig = CFG, delay: str = "10 minutes") -> DataFrame:
     """Every scored row with its level; CRITICAL and EMERGENCY rows are also judged.
 
     The scored table is read as a stream of its own, keyed by model, so both stages keep their
-    own partitioning.
+    own partitioning. Window means come from sums by tick (one second): what earlier batches left
+    counts at the start of its tick, so on finer times a window may reach up to a tick less far
+    back. Rows that come later than `delay` are left out. A model that stays silent for longer than
+    its longest window gives back the room of its windows; its evidence is kept.
     """
     zs = ["z_" + d for d in DIMENSIONS]
     tail = cfg.buffer_rows - 1
-    longest = max(cfg.windows_s.values()) * 1_000_000
+    longest = int(max(cfg.windows_s.values()) * 1_000_000)
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stored = state.get if state.exists else (0, [], [], [], [], [], [])
-        seen, e_ts, e_score, e_id, w_tenant, w_ts, w_score = stored
+        stored = state.get if state.exists else (0, [], [], [], [], [], [], [])
+        seen, e_ts, e_score, e_id, w_tenant, w_tick, w_sum, w_n = stored
+        if state.hasTimedOut:
+            state.update((seen, list(e_ts), list(e_score), list(e_id), [], [], [], []))
+            return
         pdf = pd.concat(list(parts)).sort_values(["ts_us", "request_id"], kind="stable")
         pdf = pdf.reset_index(drop=True)
 
-        history = pd.DataFrame({"tenant_id": list(w_tenant), "ts_us": list(w_ts),
-                                "composite": list(w_score)})
+        old: dict[str, list] = {}
+        for tenant, *entry in zip(w_tenant, w_tick, w_sum, w_n):
+            old.setdefault(tenant, []).append(entry)
         level = np.full(len(pdf), None, dtype=object)
-        kept = []
-        old = dict(tuple(history.groupby("tenant_id"))) if len(history) else {}
         now = int(pdf["ts_us"].iloc[-1])
+        oldest = (now - longest) // TICK_US * TICK_US
         for tenant, rows in pdf.groupby("tenant_id"):
-            before = old.pop(tenant, None)
-            cols = ["tenant_id", "ts_us", "composite"]
-            both = rows[cols] if before is None else pd.concat([before[cols], rows[cols]])
-            ts = both["ts_us"].to_numpy(dtype="int64")
-            level[rows.index.to_numpy()] = levels_of(
-                ts, both["composite"].to_numpy(dtype="float64"), len(rows), cfg
-            )
-            kept.append(both[ts >= now - longest])
-        kept += [h[h["ts_us"] >= now - longest] for h in old.values()]
-        window = pd.concat(kept)
+            before = old.get(tenant, [])
+            ts = np.array([e[0] for e in before] + rows["ts_us"].tolist(), dtype="int64")
+            total = np.array([e[1] for e in before] + rows["composite"].tolist(), dtype="float64")
+            n = np.array([e[2] for e in before] + [1] * len(rows), dtype="int64")
+            order = np.argsort(ts[:len(before)], kind="stable")
+            ts[:len(before)], total[:len(before)], n[:len(before)] = ts[order], total[order], n[order]
+            level[rows.index.to_numpy()] = levels_of(ts, total, n, len(rows), cfg)
+            ticks, at = np.unique(ts // TICK_US * TICK_US, return_inverse=True)
+            old[tenant] = list(zip(ticks.tolist(), np.bincount(at, total).tolist(), np.bincount(at, n).astype(int).tolist()))
+        kept = [(t, *e) for t, entries in old.items() for e in entries if e[0] >= oldest]
 
         ts = np.concatenate([np.array(e_ts, dtype="int64"), pdf["ts_us"].to_numpy("int64")])
         score = np.concatenate([np.array(e_score, dtype="float64"),
@@ -127,9 +138,9 @@ def alert_stream(scored: DataFrame, cfg: DriftConfig = CFG) -> DataFrame:
         size = np.minimum(seen + np.arange(1, len(pdf) + 1), cfg.buffer_rows)
         state.update((
             int(seen + len(pdf)), ts[-tail:].tolist(), score[-tail:].tolist(), ids[-tail:],
-            window["tenant_id"].tolist(), [int(x) for x in window["ts_us"]],
-            [float(x) for x in window["composite"]],
+            *([e[i] for e in kept] for i in range(4)),
         ))
+        state.setTimeoutTimestamp(max((now + longest) // 1000, state.getCurrentWatermarkMs()) + 1)
         out = pdf[["request_id", "ts_us", "model_version", "tenant_id", *zs, "composite"]]
         yield out.assign(
             alert_level=level, qualified=ok, buffer_len=size,
@@ -137,10 +148,11 @@ def alert_stream(scored: DataFrame, cfg: DriftConfig = CFG) -> DataFrame:
         )
 
     rows = scored.filter(~F.coalesce(F.col("late"), F.lit(False))).select(
-        "request_id", "ts_us", "model_version", "tenant_id", *zs, "composite"
-    )
+        "request_id", "ts_us", "model_version", "tenant_id", *zs, "composite",
+        F.timestamp_micros("ts_us").alias("event_time"),
+    ).withWatermark("event_time", delay)
     return rows.groupBy("model_version").applyInPandasWithState(
-        run, LEVELED, STORED, "append", "NoTimeout"
+        run, LEVELED, STORED, "append", "EventTimeTimeout"
     )
 
 

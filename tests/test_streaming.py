@@ -154,3 +154,39 @@ def test_events_are_released_in_order(spark, tmp_path):
     for r in sorted(rows, key=lambda r: (r.ts_us, r.request_id)):
         by_key.setdefault((r.model_version, r.tenant_id), []).append(r.position)
     assert all(p == list(range(len(p))) for p in by_key.values())
+
+
+def test_alert_state_does_not_grow_with_the_rate(spark, tmp_path):
+    """20 000 rows in 20 seconds leave 21 ticks and 499 rows of evidence; silence frees the windows."""
+    from driftloom.config import DIMENSIONS
+    from driftloom.streaming.run import dealt_stream
+
+    rows = spark.range(20_000).selectExpr(
+        "cast(id as string) as request_id", "1700000000000000 + id * 1000 as ts_us", "'m' as model_version",
+        "'t' as tenant_id", *[f"0.0D as z_{d}" for d in DIMENSIONS], "3.0D + (id % 3) / 10.0D as composite", "false as late",
+    )
+    later = rows.limit(1).withColumns(
+        {"request_id": F.lit("x"), "model_version": F.lit("other"), "ts_us": F.col("ts_us") + 9_000_000_000}
+    )
+    both = rows.withColumn("_at", F.floor(F.col("request_id").cast("long") / 4000)).unionByName(later.withColumn("_at", F.lit(5)))
+    feed = dealt_stream(both, F.col("_at"), 6).drop("_at")
+
+    def held(path):
+        state = spark.read.format("statestore").load(path).filter("key.model_version = 'm'")
+        value = "value.groupState." if "groupState" in state.schema["value"].dataType.fieldNames() else "value."
+        return state.select(*[F.size(value + c) for c in ("w_tick", "e_id")], value + "seen").first()
+
+    q = (
+        alert_stream(feed, SMALL).writeStream.format("parquet").outputMode("append").option("path", f"{tmp_path}/o")
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/o")
+    assert out.count() == 20_001
+    first = spark.read.format("statestore").option("batchId", 4).load(f"{tmp_path}/cp").filter("key.model_version = 'm'")
+    name = "value.groupState." if "groupState" in first.schema["value"].dataType.fieldNames() else "value."
+    assert tuple(first.select(*[F.size(name + c) for c in ("w_tick", "e_id")], name + "seen").first()) == (20, 499, 20_000)
+    assert tuple(held(f"{tmp_path}/cp")) == (0, 499, 20_000)
+    want = drift.with_alert_level(rows.drop("late"), SMALL).select("request_id", "alert_level")
+    got = out.filter("model_version = 'm'").select("request_id", "alert_level")
+    assert want.exceptAll(got).count() == 0
