@@ -44,7 +44,7 @@ from driftloom.llm.scratch import Scratch, checked_broadcast
 
 _QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math)\b{_QUOTED}>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|textarea|select)\b{_QUOTED}>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)([a-z][^\s/>]*)({_QUOTED})>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -68,8 +68,8 @@ CLOSES = {
     "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}),
     "option": frozenset({"option"}),
 }
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true""", re.I)
+#: One attribute: its name and, if it has one, its value with the quotes.
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[a-z]+")
 _TOKEN = re.compile(r"[a-z0-9_-]+")
 #: Elements that hold one text and are no region.
@@ -103,25 +103,35 @@ def _marked(token: str) -> bool:
     return bool(names) and MARKS.issuperset(names)
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool]:
-    """Name of an element with its class, and whether its attributes say that it is no article."""
+def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
+    """Name of an element with its class; whether class, id or role mark it as no article; whether it
+    is hidden."""
     if not attributes or attributes.isspace():
-        return name, False
-    bad, classes = False, []
+        return name, False, False
+    bad, hidden, classes = False, False, []
     for key, value in _ATTR.findall(attributes):
-        value = value.strip("\"'").lower()
-        bad = bad or any(map(_marked, value.split()))
-        if key.lower() == "class":
-            classes = sorted(re.sub(r"\d+", "0", c) for c in value.split())[:2]
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id", "role"):
+            bad = bad or any(map(_marked, value.split()))
+            if key == "class":
+                classes = sorted(re.sub(r"\d+", "0", c) for c in value.split())[:2]
+        elif key == "hidden":
+            hidden = hidden or value != "false"
+        elif key == "aria-hidden":
+            hidden = hidden or value == "true"
     bad = bad and name not in ("body", "html", "main", "article")
-    return ".".join([name, *classes]), bad or bool(_HIDDEN.search(attributes))
+    return ".".join([name, *classes]), bad, hidden
 
 
 def parse(page: str | None) -> tuple[list[str], list[Block]]:
     """Stream of block tags (`name`, `/name`) and `#`, and the text blocks behind each `#`."""
     stream: list[str] = []
     blocks: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # name, label, outside
+    # name, label, outside for good, numbers of the marked elements around
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    around: list[tuple[int, ...]] = []  # the same numbers for each block
+    titled: set[int] = set()  # marked elements that hold a main heading
+    marks = 0
     words: list[str] = []
     links = linked = 0
 
@@ -132,6 +142,7 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
         if text:
             stream.append("#")
             blocks.append(Block(tuple(s[1] for s in stack), text, linked, bool(stack) and stack[-1][2]))
+            around.append(stack[-1][3] if stack else ())
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -185,16 +196,30 @@ def parse(page: str | None) -> tuple[list[str], list[Block]]:
                     break
         elif stack and stack[-1][0] == "p":
             pop_to(len(stack) - 1)
-        label, bad = _label(name, m.group(4) or m.group(7) or "")
+        label, marked, hidden = _label(name, m.group(4) or m.group(7) or "")
         inner = any(s[0] in ("article", "main") for s in stack)
-        bad = bad or name in OUTSIDE or (name == "header" and not inner)
-        bad = bad or bool(stack and stack[-1][2])
+        bad = hidden or name in OUTSIDE or (name == "header" and not inner) or bool(stack and stack[-1][2])
+        within = stack[-1][3] if stack else ()
+        if marked:
+            within = (*within, marks)
+            marks += 1
+        if name in ("h1", "main"):
+            titled.update(within)
         if name != "html":
-            stack.append((name, label, bad))
+            stack.append((name, label, bad, within))
             stream.append(label)
     if at < len(page):
         words.append(page[at:])
     pop_to(0)
+    # A mark does not count on an element that holds a main heading and most of a page's text.
+    held: Counter = Counter()
+    for block, within in zip(blocks, around, strict=True):
+        if not block.outside:
+            held.update(dict.fromkeys(within, block.size))
+    most = sum(b.size for b in blocks if not b.outside) / 2
+    real = {k for k in range(marks) if k not in titled or held[k] <= most}
+    for block, within in zip(blocks, around, strict=True):
+        block.outside = block.outside or not real.isdisjoint(within)
     return stream, blocks
 
 

@@ -298,3 +298,21 @@ def test_warc_plain_text(spark):
     rows = spark.createDataFrame([(p,) for p in [*want, None]], "page string").repartition(3)
     got = {r[0]: r[1] for r in rows.select("page", warc.plain_text(F.col("page"))).collect()}
     assert got == {**want, None: None}
+
+
+def test_marks_and_hidden_elements_do_not_swallow_articles(spark):
+    from driftloom.llm.wrappers import extract
+
+    text = "A first sentence of the article stands here. " * 4
+    pages = [
+        ("a", f"<article class='overflow-hidden'><p>{text}</p></article>", text),
+        ("b", f"<div title='a hidden gem' data-state='hidden-on-scroll'><p>{text}</p></div>", text),
+        ("c", f"<div class='post share'><h1>Head</h1><p>{text}</p><div class='sidebar'>Side</div></div>", "Head " + text),
+        ("d", f"<div><p>{text}</p><p>Let <math><mi>x</mi></math> be.</p><noscript>Plain.</noscript></div>", text + " Let x be. Plain."),
+        ("e", f"<p>{text}</p><div hidden><p>{text} no</p></div><div aria-hidden='true'>no</div><div hidden='hidden'>no</div>", text),
+        ("f", f"<h1>Head</h1><p>{text}</p><div class='comments'><p>{text * 5} no</p></div>", "Head " + text),
+    ]
+    rows = [(i, f"http://{h}.example/{i}", html) for i, (h, html, _) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got == {i: " ".join(want.split()) for i, (*_, want) in enumerate(pages)}
