@@ -186,7 +186,8 @@ WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS html,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) AS head,
-    sha256('response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), 'null') || chr(10) || coalesce(url, '')) AS d
+    sha256('response' || chr(10) || coalesce(CAST(page_id AS VARCHAR), 'null') || chr(10) || coalesce(url, '')
+      || chr(10) || 'sha256:' || sha256(coalesce(html, ''))) AS d
   FROM pages
 ), r AS (
   SELECT *, '<urn:uuid:' || substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-8'

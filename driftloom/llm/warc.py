@@ -105,7 +105,9 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
     )
     return _record(rows.select(
         "page_id", F.lit("response").alias("warc_type"),
-        identifier(F.lit("response"), F.col("name"), F.coalesce("target_uri", F.lit(""))).alias("record_id"),
+        identifier(
+            F.lit("response"), F.col("name"), F.coalesce("target_uri", F.lit("")), sha256(F.col("payload"))
+        ).alias("record_id"),
         F.lit(None).cast("string").alias("refers_to"), "target_uri", F.lit(date).alias("date"),
         F.lit("application/http; msgtype=response").alias("content_type"),
         sha256(F.col("payload")).alias("payload_digest"),

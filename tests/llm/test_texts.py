@@ -316,3 +316,13 @@ def test_marks_and_hidden_elements_do_not_swallow_articles(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in extract(df).collect()}
     assert got == {i: " ".join(want.split()) for i, (*_, want) in enumerate(pages)}
+
+
+def test_warc_ids_tell_payloads_apart(spark):
+    rows = [(None, None, "<p>a"), (None, None, "<p>b"), (1, "u", "<p>a"), (1, "u", "<p>b")]
+    source = warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    made = warc.derive(source)
+    assert source.select("record_id").distinct().count() == 4
+    assert made.select("record_id").distinct().count() == made.count() == 8
+    assert made.join(source.select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("d")), "refers_to").where(
+        "d = payload_digest").count() == 8
