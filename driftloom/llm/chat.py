@@ -89,30 +89,34 @@ class ReplyTrees:
     def __init__(self, messages: DataFrame):
         self.scratch = Scratch(messages.sparkSession, "chat")
         self.messages = self.scratch.write(_messages(messages), "messages")
-        self.jumps = self._doubled()
+        self.jumps, self.done = self._doubled()
 
-    def _doubled(self) -> list[DataFrame]:
-        """Tables (tree, id, above, total, steps); the last one reaches from every message to its root."""
+    def _doubled(self) -> tuple[list[DataFrame], DataFrame]:
+        """Tables (tree, id, above, total, steps): for each round the messages that have one 2^k
+        replies above, and all messages whose root is reached, with their whole path's total."""
         own, up = self.messages.select("tree", "id", "parent", "score").alias("a"), self.messages.select("tree", "id").alias("b")
         first = own.join(up, _same("a", "b", "parent", "id"), "left").select(
             "a.tree", "a.id", F.col("b.id").alias("above"), F.col("a.score").alias("total"), F.lit(1).cast("long").alias("steps")
         )
-        levels, left = [self.scratch.write(first, "jumps")], self.messages.count()
-        while left > 1 and not levels[-1].where("above is not null").isEmpty():
-            a, b = levels[-1].alias("a"), levels[-1].alias("b")
-            levels.append(self.scratch.write(
-                a.join(b, _same("a", "b", "above", "id"), "left").select(
+        now, left = self.scratch.write(first, "jumps"), self.messages.count()
+        levels, done = [now.where("above is not null")], now.where("above is null")
+        while left > 1 and not levels[-1].isEmpty():
+            # only messages that have not reached their root take part in the next round
+            a, b = levels[-1].alias("a"), levels[-1].unionAll(done).alias("b")
+            now = self.scratch.write(
+                a.join(b, _same("a", "b", "above", "id")).select(
                     "a.tree", "a.id", F.col("b.above").alias("above"),
-                    (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-                    (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"),
+                    (F.col("a.total") + F.col("b.total")).alias("total"), (F.col("a.steps") + F.col("b.steps")).alias("steps"),
                 ), "jumps",
-            ))
+            )
+            levels.append(now.where("above is not null"))
+            done = done.unionAll(now.where("above is null"))
             left //= 2  # no path is longer than the number of messages: what is still open is a circle
-        return levels
+        return levels, done
 
     def leaves(self, best: int | None = None) -> DataFrame:
         """(tree, leaf, rank, path_score, n_turns) of every path, or of the `best` ones of each tree."""
-        last, up = self.jumps[-1].where("above is null").alias("a"), self.jumps[0].alias("b")
+        last, up = self.done.alias("a"), self.jumps[0].alias("b")
         ends = last.join(up, _same("a", "b", "id", "above"), "left_anti").select(
             "tree", F.col("id").alias("leaf"), (F.col("total") / F.col("steps")).alias("path_score"),
             F.col("steps").alias("n_turns"),
@@ -128,7 +132,7 @@ class ReplyTrees:
         )
         listed = self.scratch.write(chosen, "paths")
         for k, jumps in enumerate(self.jumps[:-1]):
-            a, b = listed.alias("a"), jumps.where("above is not null").alias("b")
+            a, b = listed.alias("a"), jumps.alias("b")
             more = a.join(b, _same("a", "b", "id", "id")).select(
                 "a.tree", "a.leaf", "a.rank", "a.path_score", (F.col("a.place") - (1 << k)).alias("place"), F.col("b.above").alias("id")
             )
