@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 from driftloom.catalog.fixtures import SIGNALS_SQL, micros, signals, table
 from driftloom.catalog.registry import query
 from driftloom.functions.signals import keep_sample
-from driftloom.schemas import DPO_ROW, LINEAGE_NODE, SFT_ROW
+from driftloom.schemas import LINEAGE_NODE
+from driftloom.session import run_folder
 from driftloom.sources import datasets as D
 from driftloom.sources import signals as M
 from driftloom.sources import tables as K
@@ -458,10 +459,8 @@ def judged_turns(spark, sf):
     f"WITH {TURNS_SQL} SELECT prompt, response FROM turns WHERE conv_id % 3 <> 0",
 )
 def snk2(spark, sf):
-    lines = D.sft_output(judged_turns(spark, sf)).select(
-        F.to_json(F.struct("prompt", "response")).alias("value")
-    )
-    return D.parse_lines(lines, SFT_ROW)[0]
+    path, _ = D.write_training_sets(judged_turns(spark, sf), run_folder(spark, "sets"), "job-1")
+    return D.load_sft(spark, path).select("prompt", "response")
 
 
 @query(
@@ -470,10 +469,8 @@ def snk2(spark, sf):
     "FROM turns WHERE conv_id % 3 <> 0",
 )
 def snk3(spark, sf):
-    lines = D.dpo_output(judged_turns(spark, sf)).select(
-        F.to_json(F.struct("prompt", "chosen", "rejected")).alias("value")
-    )
-    return D.parse_lines(lines, DPO_ROW)[0]
+    _, path = D.write_training_sets(judged_turns(spark, sf), run_folder(spark, "sets"), "job-1")
+    return D.load_dpo(spark, path)
 
 
 @query(

@@ -13,15 +13,16 @@ from driftloom.catalog.evaluation import SUMS_SQL, sums
 from driftloom.catalog.fixtures import CFG, micros, signals, table
 from driftloom.catalog.registry import query
 from driftloom.catalog.sources import (
-    EVIDENCE_SQL, TURNS_SQL, event_messages, messages, turns,
+    EVIDENCE_SQL, TURNS_SQL, event_messages, judged_turns, messages, turns,
 )
 from driftloom.plans import accounting as A
 from driftloom.plans.alerts import dispatch_alerts
-from driftloom.plans.datasets import prepare_training_set
+from driftloom.plans.datasets import prepare_preference_set, prepare_training_set
 from driftloom.plans.drift import NARROW, drift_event_columns
 from driftloom.plans.evaluation import improvement_results
 from driftloom.session import run_folder
 from driftloom.sources import signals as M
+from driftloom.sources.datasets import write_training_sets
 from driftloom.streaming.alerting import alert_stream
 from driftloom.streaming.dispatch import budget_stream, counter_stream, handoff_to_synthesis
 from driftloom.streaming.ingest import committed, ingest
@@ -248,6 +249,23 @@ def prepare(spark, sf):
     )
 
 
+@query(
+    "prepare_preference_set",
+    f"WITH {TURNS_SQL}, t AS (SELECT prompt, response AS chosen, 'no: ' || prompt AS rejected FROM turns WHERE conv_id % 3 <> 0), "
+    "c AS (SELECT unnest(['prompt', 'chosen', 'rejected']) AS name, unnest([prompt, chosen, rejected]) AS text FROM t) "
+    "SELECT name, count(*) AS total_records, (SELECT count(*) FROM t) AS split_records, max(length(text)) AS max_text_length, "
+    "round(avg(length(text)), 6) AS avg_text_length FROM c GROUP BY 1",
+)
+def prepare_preferences(spark, sf):
+    """Preference pairs written by the sink, loaded back, split and validated."""
+    _, path = write_training_sets(judged_turns(spark, sf), run_folder(spark, "dpo"), "job-1")
+    train, held, stats = prepare_preference_set(spark, path)
+    split = train.unionByName(held).count()
+    rows = [(k, v["total_records"], v["max_text_length"], v["avg_text_length"]) for k, v in stats.items()]
+    found = spark.createDataFrame(rows, "name string, total_records long, max_text_length long, avg_text_length double")
+    return found.withColumns({"split_records": F.lit(split).cast("long"), "avg_text_length": F.round("avg_text_length", 6)})
+
+
 @query(
     "jon11_price_catalogue",
     "WITH prices(instance_type, usd) AS (VALUES ('A100-80GB', 4.10e0), ('A100-40GB', 3.06e0), "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.config import TrainingConfig
 from driftloom.operators.timeline import ranked
-from driftloom.sources.datasets import load_sft
+from driftloom.sources.datasets import load_dpo, load_sft
 
 CFG = TrainingConfig()
 SLOTS = 1_000_000
@@ -62,3 +62,23 @@ def prepare_training_set(
     rows = load_sft(spark, path)
     train, held = split_by_hash(rows, ["prompt", "response"], eval_fraction)
     return train, held, validate_dataset(rows)
+
+
+def prepare_preference_set(
+    spark: SparkSession, path: str, eval_fraction: float = CFG.eval_fraction
+) -> tuple[DataFrame, DataFrame, dict]:
+    """(train, eval, statistics by column) of a JSON-lines set of preference pairs.
+
+    Incomplete records, an empty set and empty prompts or answers raise, as for supervised sets.
+    """
+    rows = load_dpo(spark, path)
+    columns = ["prompt", "chosen", "rejected"]
+    train, held = split_by_hash(rows, columns, eval_fraction)
+    texts = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("text")) for c in columns])))
+    stats = {r["name"]: {k: v for k, v in r.asDict().items() if k != "name"} for r in dataset_stats(texts, group=["name"]).collect()}
+    if not stats:
+        raise ValueError("dataset is empty")
+    for name, found in stats.items():
+        if found["empty_records"]:
+            raise ValueError(f"dataset has {found['empty_records']} empty values of {name}")
+    return train, held, stats

@@ -477,3 +477,24 @@ def test_broken_channel_stops_no_other(spark):
         alert_rows(spark, [("CRITICAL", i) for i in range(7)]),
         [broken, lambda df: seen.append(df.count())])
     assert seen == [5] and out.count() == 5
+
+
+def test_preference_sets_are_validated(spark, tmp_path):
+    from driftloom.plans.datasets import prepare_preference_set
+
+    def written(name, rows):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame([(r,) for r in rows], "value string").write.text(path)
+        return path
+
+    good = ['{"prompt": "p%d", "chosen": "cc", "rejected": "r"}' % i for i in range(50)]
+    train, held, stats = prepare_preference_set(spark, written("good", [*good, "", "  "]), 0.3)
+    assert train.count() + held.count() == 50 and held.count() > 3
+    assert train.join(held, ["prompt"]).count() == 0
+    assert stats["chosen"]["total_records"] == 50 and stats["chosen"]["avg_text_length"] == 2.0
+    for name, rows in {
+        "empty": ["", ""], "blank": [*good, '{"prompt": "p", "chosen": "", "rejected": "r"}'],
+        "lacking": [*good, '{"prompt": "p", "chosen": "c"}'],
+    }.items():
+        with pytest.raises(ValueError):
+            prepare_preference_set(spark, written(name, rows))
