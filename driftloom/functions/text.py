@@ -43,6 +43,7 @@ CHAT_USER = "<|im_start|>user\n"
 CHAT_ASSISTANT = "<|im_end|>\n<|im_start|>assistant\n"
 CHAT_END = "<|im_end|>"
 
+# Fixed value: what the judge is asked.
 JUDGE_PROMPT = """You are evaluating a preference pair for LLM fine-tuning.
 
 PROMPT: %s
@@ -57,6 +58,7 @@ Score each dimension 0.0-1.0:
 
 Respond with JSON only: {"preference_clarity": float, "prompt_validity": float, "response_quality": float, "amplification_fidelity": float}"""
 
+# Fixed value: what the oracle is asked.
 VARIANT_PROMPT = (
     "Generate %d diverse prompts that test the same capability as: %s\n\n"
     "Each prompt should be a realistic user question that would expose the "
@@ -64,6 +66,7 @@ VARIANT_PROMPT = (
     "explanation."
 )
 
+# The four scores of a judge.
 JUDGE_DIMENSIONS = (
     "preference_clarity",
     "prompt_validity",

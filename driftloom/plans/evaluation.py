@@ -218,7 +218,7 @@ def evaluate_adapters(
 
 
 def failure_reason(cfg: GateConfig = CFG) -> Column:
-    """Text of the first failing tier, null when all pass."""
+    """Text of the first failing tier, null when all pass. The texts are fixed values."""
     return (
         F.when(~F.col("tier1_passed"), F.concat(F.lit("Tier 1 regression: "), F.col("_d1")))
         .when(~F.col("tier2_passed"), F.concat(F.lit("Tier 2 behavioral drift: "), F.col("_d2")))
