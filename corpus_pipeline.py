@@ -32,14 +32,15 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id.
 
-    Documents without words are in no group and stay.
+    Documents without words are in no group and stay; columns of the caller may have any names.
     """
     rows = jaccard_groups(docs).where("component is not null").select("doc_id", "row", "component")
     rows = Scratch(spark, "near-copies").write(rows, "rows")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     best = rows.groupBy("component").agg(F.min(order).alias("best"))
-    gone = rows.join(best, "component").where("row != best.row").select(F.col("row").alias("gone"))
-    return docs.join(gone, row_key() == F.col("gone"), "left_anti").select(docs.columns)
+    name = "gone" + "_" * max(len(c) for c in docs.columns)  # longer than any column of the caller
+    gone = rows.join(best, "component").where("row != best.row").select(F.col("row").alias(name))
+    return docs.join(gone, row_key() == F.col(name), "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
