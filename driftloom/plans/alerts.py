@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from driftloom.config import AlertBudgetConfig
 from driftloom.operators.greedy import alert_budget
+from driftloom.session import stage
 
 LOG = logging.getLogger(__name__)
 
@@ -23,6 +24,8 @@ def dispatch_alerts(
     Budget slots are taken before any channel runs, and a failing channel stops no other.
     """
     sent = alert_budget(alerts, cfg).filter("dispatched")
+    if channels:
+        sent = stage(sent, "sent")  # one fold, however many channels read it
     for channel in channels:
         try:
             channel(sent)

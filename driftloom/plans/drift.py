@@ -128,4 +128,5 @@ def detect_drift(
         scored = stage(adaptive_scores(narrow, KEYS, cfg), "scored")
     else:
         scored = score_frozen(narrow, None, cfg)
-    return drift_events(with_alert_level(scored, cfg), cfg)
+    # Evidence ranks the rows, which reads them twice.
+    return drift_events(stage(with_alert_level(scored, cfg), "leveled"), cfg)
