@@ -48,6 +48,25 @@ def test_mixing(docs, corpus, none):
     assert emitted(none).count() == 0
 
 
+def test_mixing_meets_small_sources(spark):
+    from driftloom.llm.queries import op2
+
+    rows = op2(spark, "/root/testdata/sf0.01").withColumn("rows", F.lit(1))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source")
+    by = rows.join(docs, "doc_id").groupBy("source").agg(
+        F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum("rows").alias("rows")
+    ).collect()
+    assert len(by) > 10 and all(abs(r["taken"] - r["target"]) <= 0.15 * r["target"] for r in by)
+    assert rows.where("taken > 3 * size").isEmpty()
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", "x", 9, 7)], "doc_id long, text string, source string, of_source string, draw int, size int")
+    out = mixed(docs).first()
+    assert out["size"] == 3 and out["copies"] == 1
+    assert emitted(docs).collect() == docs.collect()
+
+
 def _least_bins(lengths, size):
     """Lower bound that also counts pieces too long to share a bin with others of at least k."""
     best = 0
