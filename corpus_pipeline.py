@@ -21,7 +21,9 @@ from driftloom.llm.toxicity import fit, scored
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half."""
     model = fit(docs, training_labels(spark, sf_dir))
-    return scored(docs, model).where("predicted = 0").select(docs.columns)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")  # columns of any names
+    kept = scored(docs.select("text", rest), model).where("predicted = 0")
+    return kept.select([F.col("text") if c == "text" else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
