@@ -23,6 +23,8 @@ Points without a vector are noise.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -187,21 +189,27 @@ def spanning_edges(cells: Cells, near: DataFrame, limit: int) -> DataFrame:
 def merge_edges(edges: pd.DataFrame, m: int) -> pd.DataFrame:
     """Merges components along edges, all of one weight at once; see the module text.
 
-    Edges carry the state of both end components (`u_`/`v_` + size, cluster, acc, below).
+    Edges carry the state of both end components (`u_`/`v_` + size, cluster, acc, below). Components
+    are numbered and their state is kept in flat arrays: a batch takes some hundred bytes an edge.
     """
-    edges = edges.sort_values(["w", "u", "v"])
-    parent: dict[int, int] = {}
-    state: dict[int, list] = {}  # root -> [size, cluster, acc, below, small members]
-    for side in ("u", "v"):
-        cols = [edges[c] for c in (side, side + "_size", side + "_cluster", side + "_acc",
-                                   side + "_below")]
-        for c, size, cluster, acc, below in zip(*[x.tolist() for x in cols]):
-            if c not in parent:
-                parent[c] = c
-                grown = size >= m
-                state[c] = [int(size), int(cluster) if grown else None, acc, below,
-                            None if grown else [c]]
-    out: list[tuple] = []
+    order = np.lexsort([edges[c].to_numpy() for c in ("v", "u", "w")])
+    us, vs, ws = (edges[c].to_numpy()[order] for c in ("u", "v", "w"))
+    ids, first = np.unique(np.concatenate([us, vs]), return_index=True)
+    n = len(ids)
+
+    def given(name: str, kind: str) -> array:
+        both = np.concatenate([edges[f"{side}_{name}"].to_numpy()[order] for side in ("u", "v")])
+        return array(kind, both[first].astype("int64" if kind == "q" else "float64").tobytes())
+
+    size, cluster, acc, below = given("size", "q"), given("cluster", "q"), given("acc", "d"), given("below", "d")
+    us, vs = (array("q", np.searchsorted(ids, x).astype("int64").tobytes()) for x in (us, vs))
+    ws = array("d", ws.astype("float64").tobytes())
+    names = array("q", ids.astype("int64").tobytes())
+    parent = array("q", range(n))
+    # Members of components below `m`, as chains that are joined end to end.
+    last, after = array("q", range(n)), array("q", [-1]) * n
+    fell, fell_to = array("q"), array("q")
+    closed: list[tuple] = []
     peak = 0.0
 
     def root(c: int) -> int:
@@ -210,38 +218,44 @@ def merge_edges(edges: pd.DataFrame, m: int) -> pd.DataFrame:
             c = parent[c]
         return c
 
-    def fall(members: list[int], cluster: int):
-        out.extend(("fell", c, cluster, None, None, None, None, None) for c in members)
+    def fall(r: int, to: int):
+        while r >= 0:
+            fell.append(names[r])
+            fell_to.append(to)
+            r = after[r]
 
     def join(old: list[int], into: int, lam: float):
         """One component of several, at one lambda."""
         nonlocal peak
-        parts = [state.pop(r) for r in old]
-        large = [p for p in parts if p[0] >= m]
-        small = [c for p in parts if p[0] < m for c in p[4]]
-        total = sum(p[0] for p in parts)
+        total = sum(size[r] for r in old)
         if total < m:
-            state[into] = [total, None, 0.0, 0.0, small]
+            for r in old:
+                if r != into:
+                    after[last[into]] = r
+                    last[into] = last[r]
+            size[into], cluster[into], acc[into], below[into] = total, 0, 0.0, 0.0
             return
+        large = [r for r in old if size[r] >= m]
+        small = [r for r in old if size[r] < m]
         peak = max(peak, lam)
         if len(large) == 1:
-            cluster, acc, below = large[0][1:4]
-            acc += lam * (total - large[0][0])
+            one = large[0]
+            to, sums, under = cluster[one], acc[one] + lam * (total - size[one]), below[one]
         elif not large:
-            cluster, acc, below = into, lam * total, 0.0
+            to, sums, under = names[into], lam * total, 0.0
         else:
             # Clusters meet: all end here, their parent begins. A component that ends is never a
             # root again, so its number, made negative, names the parent.
-            cluster, acc, below = -max(r for r in old if r != into) - 1, lam * total, 0.0
-            for size, own_cluster, own_acc, under, _ in large:
-                own = own_acc - lam * size
-                chosen = own >= under - TOLERANCE * abs(under)
-                below += own if chosen else under
-                out.append(("closed", own_cluster, cluster, size, None, None, own, chosen))
-        fall(small, cluster)
-        state[into] = [total, cluster, acc, below, None]
-
-    us, vs, ws = edges["u"].tolist(), edges["v"].tolist(), edges["w"].tolist()
+            to, sums, under = -max(names[r] for r in old if r != into) - 1, lam * total, 0.0
+            for r in large:
+                own = acc[r] - lam * size[r]
+                chosen = own >= below[r] - TOLERANCE * abs(below[r])
+                under += own if chosen else below[r]
+                closed.append((cluster[r], to, size[r], own, chosen))
+        for r in small:
+            fall(r, to)
+        size[into], cluster[into], acc[into], below[into] = total, to, sums, under
+
     i = 0
     while i < len(ws):
         w, joined = ws[i], {}
@@ -257,17 +271,33 @@ def merge_edges(edges: pd.DataFrame, m: int) -> pd.DataFrame:
             joined[a] = x + y
         for into, old in joined.items():
             join(old, into, 1.0 / w)
-    out.extend(("moved", c, root(c), None, None, None, None, None) for c in parent)
-    out.extend(
-        ("open", r, s[1] or 0, s[0], s[2], s[3], None, None) for r, s in state.items()
-    )
-    out.append(("peak", None, None, None, peak, None, None, None))
-    frame = pd.DataFrame(out, columns=REPORT.fieldNames())
-    for c in ("id", "target", "size"):
-        frame[c] = frame[c].astype("Int64")
-    for c in ("acc", "below", "stability"):
-        frame[c] = frame[c].astype("float64")
-    return frame
+
+    roots = np.array([root(c) for c in range(n)], dtype=np.int64)
+    alive = np.flatnonzero(roots == np.arange(n))
+    sizes, clusters, accs, belows = (np.array(x) for x in (size, cluster, acc, below))
+    grown = sizes[alive] >= m
+    c_id, c_to, c_size, c_own, c_chosen = zip(*closed) if closed else ((),) * 5
+    return pd.concat([
+        _report("moved", id=ids, target=ids[roots]),
+        _report("fell", id=np.array(fell, np.int64), target=np.array(fell_to, np.int64)),
+        _report("closed", id=c_id, target=c_to, size=c_size, stability=c_own, chosen=c_chosen),
+        _report(
+            "open", id=ids[alive], target=np.where(grown, clusters[alive], 0), size=sizes[alive],
+            acc=np.where(grown, accs[alive], 0.0), below=np.where(grown, belows[alive], 0.0),
+        ),
+        _report("peak", acc=[peak]),
+    ], ignore_index=True)
+
+
+def _report(kind: str, **cols) -> pd.DataFrame:
+    """Rows of one kind with the columns of `REPORT`; what is not given is null."""
+    n = len(next(iter(cols.values())))
+    types = {"long": "Int64", "bigint": "Int64", "double": "float64", "boolean": "boolean"}
+    out = {"kind": pd.Categorical.from_codes(np.zeros(n, np.int8), [kind]).astype(object)}
+    for f in REPORT.fields[1:]:
+        t = types[f.dataType.simpleString()]
+        out[f.name] = pd.Series(np.asarray(cols[f.name]), dtype=t) if f.name in cols else pd.Series([None] * n, dtype=t)
+    return pd.DataFrame(out)
 
 
 def merge_level(edges: DataFrame, comps: DataFrame, w: float, m: int, limit: int) -> DataFrame:

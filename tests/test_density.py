@@ -132,3 +132,14 @@ def test_components(spark, limit):
             label[a] = label[b] = min(label[a], label[b])
     got = component_labels(spark.createDataFrame(edges, "u long, v long"), limit)
     assert dict(map(tuple, got.collect())) == label
+
+
+def test_near_lists_do_not_grow_with_the_cells(spark):
+    """Vectors without structure look at every block and keep what the k nearest need."""
+    v = np.random.default_rng(11).normal(size=(200, 24))
+    cells = Cells(distinct_points(frame(spark, v)), 10)
+    near = with_cores(near_lists(cells, 3), 3).collect()
+    assert len(near) == 200 and max(len(r.near) for r in near) == 4
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = np.sort(np.round(np.clip(1 - u @ u.T, 0, 2), 9), axis=1)[:, 3]
+    assert [r.core for r in sorted(near)] == pytest.approx(want.tolist(), abs=2e-9)
