@@ -190,3 +190,22 @@ def test_alert_state_does_not_grow_with_the_rate(spark, tmp_path):
     want = drift.with_alert_level(rows.drop("late"), SMALL).select("request_id", "alert_level")
     got = out.filter("model_version = 'm'").select("request_id", "alert_level")
     assert want.exceptAll(got).count() == 0
+
+
+def test_feeds_bring_bounded_batches(spark):
+    """A part is one micro-batch of any number of files, and a key's batch does not grow with the table."""
+    from driftloom.streaming.run import dealt_stream, timed_stream
+
+    rows = spark.range(1000).withColumn("ts", F.col("id") * F.col("id"))
+
+    def batches(feed):
+        seen = []
+        each = feed.writeStream.foreachBatch(lambda b, _: seen.append(sorted(r["id"] for r in b.collect())))
+        each.trigger(availableNow=True).start().awaitTermination()
+        return [b for b in seen if b]
+
+    part = F.when(F.col("id") < 900, 0).otherwise(2)
+    feed = dealt_stream(rows, part, 3, file_rows=300)
+    assert batches(feed) == [list(range(900)), list(range(900, 1000))]
+    timed = batches(timed_stream(rows, "ts", batch_rows=100))
+    assert sum(timed, []) == list(range(1000)) and max(map(len, timed)) <= 110
