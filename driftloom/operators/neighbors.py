@@ -1,8 +1,10 @@
 """Exact nearest neighbours by cosine similarity, in blocks.
 
-Vectors and queries are hashed into blocks of bounded size. Each block pair is one matrix
-product in one task, which keeps only the k best per query; the best of all blocks follow from
-a ranked merge. No pair of rows is ever a row of its own beyond those k per block.
+Vectors and queries are hashed into blocks of bounded size. Each block pair is worked out in one task,
+by matrix products of small tiles, which keeps only the k best per query; the best of all blocks follow
+from a ranked merge. No pair of rows is ever a row of its own beyond those k per block. Blocks get
+larger with the table, up to `BLOCK_BYTES`: till then what is sent grows as the table does. The
+products themselves are quadratic, as for any exact method without bounds.
 """
 
 from __future__ import annotations
@@ -14,6 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+#: Blocks of a side while they are small enough, largest block as a matrix, rows of a tile.
+FEW_BLOCKS = 16
+BLOCK_BYTES = 32 << 20
+TILE = 1024
+
 
 def matrix(column: pd.Series, normalise: bool) -> np.ndarray:
     m = np.stack(column.to_list()).astype(np.float64)
@@ -23,8 +30,40 @@ def matrix(column: pd.Series, normalise: bool) -> np.ndarray:
     return m
 
 
-def block_count(df: DataFrame, rows: int) -> int:
-    return max(1, -(-df.count() // rows))
+def block_count(df: DataFrame, vec_col: str, rows: int) -> int:
+    """Blocks of `rows` rows, but no more than `FEW_BLOCKS` while a block stays below `BLOCK_BYTES`:
+    every row is sent once for each block of the other side."""
+    n, dim = df.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
+    least = -(-n * max(dim or 1, 1) * 8 // BLOCK_BYTES)
+    return max(1, min(-(-n // rows), max(FEW_BLOCKS, least)))
+
+
+def best_of(a: np.ndarray, b: np.ndarray, k: int, skip: np.ndarray | None = None):
+    """(row, column, score) of the k largest products of every row of `a` with rows of `b`, ties to the
+    smaller column. `skip` has the ids of both sides; pairs of equal ids do not count.
+
+    After the first tile only what beats the k-th best so far is looked at.
+    """
+    row, col, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(a), -np.inf)
+    for j in range(0, len(b), TILE):
+        s = a @ b[j:j + TILE].T
+        if np.isnan(s.sum()):
+            s[np.isnan(s)] = -np.inf
+        if skip is not None:
+            s[skip[0][:, None] == skip[1][None, j:j + TILE]] = -np.inf
+        if not j and s.shape[1] > k:
+            best = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            r, c = np.nonzero((s >= best[:, None]) & (s > -np.inf))
+        else:
+            r, c = np.nonzero(s > floor[:, None])
+        row, col, score = np.concatenate([row, r]), np.concatenate([col, c + j]), np.concatenate([score, s[r, c]])
+        order = np.lexsort((col, -score, row))
+        row, col, score = row[order], col[order], score[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(a)))[row]
+        row, col, score, place = (x[place < k] for x in (row, col, score, place))
+        floor[row[place == k - 1]] = score[place == k - 1]
+    return row, col, score
 
 
 def in_blocks(df: DataFrame, id_col: str, n: int) -> DataFrame:
@@ -50,7 +89,7 @@ def nearest(
     """
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("query_vec"))
-    nv, nq = block_count(v, block_rows), block_count(q, block_rows)
+    nv, nq = block_count(v, "vec", block_rows), block_count(q, "query_vec", block_rows)
     left = in_blocks(q, "query_id", nq).withColumnRenamed("_b", "_qb").withColumn(
         "_vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))
     )
@@ -70,18 +109,13 @@ def nearest(
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
         vs = vs.sort_values("id", kind="stable")
         ids, asked = vs["id"].to_numpy(), qs["query_id"].to_numpy()
-        s = matrix(qs["query_vec"], True) @ matrix(vs["vec"], normalise_vectors).T
-        if skip_same_id:
-            s[asked[:, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame(
-            {
-                "query_id": np.repeat(asked, top.shape[1]),
-                "id": ids[top].ravel(),
-                "score": np.take_along_axis(s, top, axis=1).ravel(),
-            }
-        )
-        return out[out["score"] > -np.inf]
+        a, b = matrix(qs["query_vec"], True), matrix(vs["vec"], normalise_vectors)
+        parts = []
+        for i in range(0, len(a), TILE):
+            own = asked[i:i + TILE]
+            row, col, score = best_of(a[i:i + TILE], b, k, (own, ids) if skip_same_id else None)
+            parts.append(pd.DataFrame({"query_id": own[row], "id": ids[col], "score": score}))
+        return pd.concat(parts, ignore_index=True)
 
     partial = (
         left.groupBy("_qb", "_vb")

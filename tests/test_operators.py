@@ -498,3 +498,20 @@ def test_preference_sets_are_validated(spark, tmp_path):
     }.items():
         with pytest.raises(ValueError):
             prepare_preference_set(spark, written(name, rows))
+
+
+def test_nearest_sends_no_more_often_for_more_rows(spark, monkeypatch):
+    """Blocks grow with the table, tiles do not; copies beyond a tile keep the smaller ids."""
+    from driftloom.operators import neighbors
+
+    assert neighbors.block_count(spark.range(1000).selectExpr("array(id, 1) as vec"), "vec", 10) == neighbors.FEW_BLOCKS
+    monkeypatch.setattr(neighbors, "TILE", 16)
+    rng = np.random.default_rng(4)
+    b = np.round(rng.normal(size=(100, 3)))
+    b = np.vstack([b, b[:50], [[np.nan] * 3]])
+    row, col, score = neighbors.best_of(b[:40], b, 5, (np.arange(40), np.arange(len(b)) // 2))
+    for i in range(40):
+        s = np.nan_to_num(b @ b[i], nan=-np.inf)
+        s[2 * i:2 * i + 2] = -np.inf
+        want = np.argsort(-s, kind="stable")[:5]
+        assert col[row == i].tolist() == want.tolist() and np.allclose(score[row == i], s[want])
