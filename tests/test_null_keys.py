@@ -40,3 +40,26 @@ def test_last_update_wins(spark):
     updates = spark.createDataFrame([("a", 2, "P"), ("a", 1, "Q"), ("z", 1, "P")], "adapter_id string, seq int, status string")
     got = sorted(tuple(r) for r in updated_status(nodes, updates).collect())
     assert got == [("a", "P"), ("b", "NEW")]
+
+
+@pytest.mark.parametrize("fold_rows", [900, 100_000])
+def test_fold_hands_over_parts_of_a_chunk(spark, fold_rows):
+    """A step gets no more rows at a time than an Arrow batch holds, however large its key is."""
+
+    def step(rows, start):
+        seen = [*start["seen"], len(rows)][-3:]
+        return {"most": [max(seen)] * len(rows), "place": [start["n"] + i for i in range(1, len(rows) + 1)]}, {
+            "n": start["n"] + len(rows), "seen": seen}
+
+    state = T.StructType([T.StructField("n", T.LongType()), T.StructField("seen", T.ArrayType(T.LongType()))])
+    added = T.StructType([T.StructField("most", T.LongType()), T.StructField("place", T.LongType())])
+    df = spark.range(2000).select((F.col("id") % 2).alias("k"), (F.col("id") * 1_000_000).alias("ts_us"), "id")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        out = ordered_fold(df, ["k"], ["ts_us", "id"], step, {"n": 0, "seen": []}, state, added, fold_rows)
+        got = sorted((r["id"], r["place"], r["most"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [g[:2] for g in got] == [(i, i // 2 + 1) for i in range(2000)]
+    assert max(g[2] for g in got) <= 64
