@@ -9,7 +9,7 @@ from driftloom.catalog.fixtures import SIGNALS_SQL, micros, signals, table
 from driftloom.catalog.registry import query
 from driftloom.functions.signals import keep_sample
 from driftloom.schemas import LINEAGE_NODE
-from driftloom.session import run_folder
+from driftloom.session import run_folder, stage
 from driftloom.sources import datasets as D
 from driftloom.sources import signals as M
 from driftloom.sources import tables as K
@@ -64,7 +64,8 @@ def messages(spark, sf):
     "count(*) FILTER (WHERE event_id % 50 IN (8, 9)) AS rejected FROM events GROUP BY 1",
 )
 def src1(spark, sf):
-    rows, bad = M.decode_signals(messages(spark, sf))
+    # Both sides read the messages; written once, they are not built again for each.
+    rows, bad = M.decode_signals(stage(messages(spark, sf), "messages"))
     both = rows.select(F.col("model_version").alias("key"), F.lit(True).alias("ok")).unionByName(
         bad.select("key", F.lit(False).alias("ok"))
     )
@@ -153,12 +154,8 @@ def jon2(spark, sf):
     requests = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("request_id"), "lang"
     )
-    found = asked.join(requests, "request_id").withColumn("missing", F.lit(False))
-    lost = asked.join(requests, "request_id", "left_anti").select(
-        "request_id", "event_id", F.lit(None).cast("string").alias("lang"),
-        F.lit(True).alias("missing"),
-    )
-    return found.unionByName(lost).select("event_id", "request_id", "lang", "missing")
+    found = M.evidence_failures(asked, stage(requests, "requests"))
+    return found.select("event_id", "request_id", "lang", "missing")
 
 
 def loose_failures(spark, sf):

@@ -10,7 +10,10 @@ from driftloom.config import TOPICS
 from driftloom.functions.signals import with_dimensions
 from driftloom.operators.timeline import whole_part
 from driftloom.schemas import DRIFT_EVENT, SIGNAL
+from driftloom.session import broadcast_if_small
 
+#: Requests are an id and the few columns asked of them, some 100 bytes.
+BROADCAST_REQUESTS = 200_000
 REQUIRED = [f.name for f in SIGNAL.fields]
 
 
@@ -87,3 +90,13 @@ def evidence_requests(events: DataFrame) -> DataFrame:
         "event_id", "model_version", "detected_at",
         F.explode("evidence_request_ids").alias("request_id"),
     )
+
+
+def evidence_failures(asked: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each asked evidence id with the requests found under it, or once with `missing` true.
+
+    One join, of which `asked`, the side that grows with the events, is never the built one. Give it a
+    written table of requests: it is counted, and while it is small nothing is shuffled or sorted.
+    """
+    known = broadcast_if_small(requests.withColumn("missing", F.lit(False)), BROADCAST_REQUESTS)
+    return asked.join(known, "request_id", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
