@@ -2,8 +2,8 @@
 
 Where a decision depends on the last acting row only, the acting rows are the path from the first
 one. The path is found by doubling: after round k the first 2^k acting rows are known and every row
-knows the one 2^k steps on, so the rounds grow with the log of the path. Rows are dealt by key and
-position; no task gets a key.
+knows the one 2^k steps on, so the rounds grow with the log of the path. Rows that no row leads to any
+more are dropped on the way. Rows are dealt by key and position; no task gets a key.
 """
 
 from __future__ import annotations
@@ -48,5 +48,8 @@ def reached(steps: DataFrame, starts: DataFrame) -> tuple[DataFrame, int]:
         if new.isEmpty():
             return seen, rounds
         seen = cut(seen.unionAll(new))
+        # Beyond those seen, the path goes on over rows that some row leads to; the others are done with.
+        led = jump.select("_key", F.col("_next").alias("_rn")).unionAll(seen).distinct()
+        jump = cut(jump.join(led, ROW, "left_semi"))
         on = jump.select("_key", F.col("_rn").alias("_next"), F.col("_next").alias("_far"))
         jump = cut(jump.join(on, ["_key", "_next"]).select(*ROW, F.col("_far").alias("_next")))

@@ -515,3 +515,24 @@ def test_nearest_sends_no_more_often_for_more_rows(spark, monkeypatch):
         s[2 * i:2 * i + 2] = -np.inf
         want = np.argsort(-s, kind="stable")[:5]
         assert col[row == i].tolist() == want.tolist() and np.allclose(score[row == i], s[want])
+
+
+def test_doubling_keeps_only_rows_that_are_led_to(spark, monkeypatch):
+    """Many rows that lead to a few: after the first round the others are not carried on."""
+    from driftloom.operators import lifting
+
+    sizes = []
+    real = lifting.cut
+
+    def counted(df):
+        out = real(df)
+        if "_next" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lifting, "cut", counted)
+    rows = spark.range(1000).select(F.struct(F.lit("a").alias("k")).alias("_key"), F.col("id").alias("_rn"))
+    steps = rows.withColumn("_next", (F.floor(F.col("_rn") / 100) + 1).cast("long") * 100).filter("_next < 1000")
+    seen, _ = lifting.reached(steps, rows.filter("_rn = 7"))
+    assert sorted(r["_rn"] for r in seen.collect()) == [7, *range(100, 1000, 100)]
+    assert sizes[0] == 900 and max(sizes[1:]) <= 10
