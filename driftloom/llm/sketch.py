@@ -17,8 +17,11 @@ def parts(array: np.ndarray) -> list[tuple[int, bytes]]:
     return [(i, row.tobytes()) for i, row in enumerate(cut) if row.any()]
 
 
-def merged(chunks: DataFrame, length: int, kind: type, how=np.add) -> np.ndarray:
-    """Merges the tasks' chunks on the executors; the driver gets `length` values, never more."""
+def merged(chunks: DataFrame, length: int, kind: type, how=np.add, once: bool = False) -> np.ndarray:
+    """Merges the tasks' chunks on the executors; the driver gets `length` values, never more.
+
+    `once` says that no partition holds a chunk twice: then a task needs no second Python worker.
+    """
     width = min(CHUNK, length)
 
     def pair(batches):
@@ -38,7 +41,7 @@ def merged(chunks: DataFrame, length: int, kind: type, how=np.add) -> np.ndarray
         return pd.DataFrame({"chunk": [key[0]], "part": [out.tobytes()]})
 
     whole = np.zeros(length, kind)
-    small = chunks.mapInArrow(pair, PART).groupBy("chunk").applyInPandas(join, PART)
+    small = (chunks if once else chunks.mapInArrow(pair, PART)).groupBy("chunk").applyInPandas(join, PART)
     for row in small.collect():
         whole[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(row["part"], kind)
     return whole

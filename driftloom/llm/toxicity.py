@@ -9,9 +9,10 @@
   plus what chance gives on the average, 1 / examples. It is never 0 and does not grow with the input.
   Without these weights the neighbours tell too little: on held-out rows at sf0.1 the area under the
   curve is 0.87 in place of 0.99, and the votes of a third of the toxic documents reach one half.
-* Index: for each term its postings in order of example, shorter examples first. Terms that more
-  than one in `FREQUENT` examples hold are rows of weights, with the largest weight per term and range
-  of `block` examples. A document first adds up the postings of its other terms; the k-th best sum is a
+* Index: for each term its postings in order of example. Examples of like words stand together in
+  sections, shorter ones first; this sets how much is skipped, never the result. Terms that more than
+  one in `FREQUENT` examples of a section hold are rows of weights there, with the largest weight per
+  term and range of `block` examples. A document first adds up the postings of its other terms; the k-th best sum is a
   floor. A range whose best sum and largest weights stay below it is left out; in the others the
   frequent terms of many documents are one matrix product. The cosines that may be among the k
   nearest are then computed once more in double precision.
@@ -30,9 +31,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
@@ -59,41 +63,96 @@ class ToxicityConfig:
 POSTING_BYTES = 28
 #: Bytes a word takes besides its letters: its number and its weight.
 WORD_BYTES = 12
-#: Terms that more than one in so many examples hold are rows of weights instead of lists.
+#: Terms that more than one in so many examples of a section hold are rows of weights there instead of lists.
 FREQUENT = 16
 #: Documents that a task searches together.
 TOGETHER = 64
+#: Both numbers of a posting side by side: one look into memory for both.
+POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
+#: Most sections of examples of like words, and terms by which they are told apart.
+KINDS = 8
+KIND_TERMS = 256
+#: Examples of which only the best counts for a floor.
+LANE = 16
 #: Least examples of a calibration step (fixed value).
 GROUP = 5
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
-
+#: For texts in ASCII alone, the same words by a table.
+TABLE = {i: chr(i).lower() if WORD.match(chr(i)) else " " for i in range(128)}
 
-def _slices(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the slices [first, last), one after the other, and the slice of each."""
-    sizes = last - first
-    own = np.repeat(np.arange(len(sizes)), sizes)
-    return np.arange(len(own)) + (first - np.cumsum(sizes) + sizes)[own], own
 
+def words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return text.translate(TABLE).split() if text.isascii() else WORD.findall(text.lower())
 
-class Words(dict):
-    """Numbers of words. Sent as one text: a pickle of single strings takes several times its size."""
 
-    def __init__(self, found: list[str]):
-        super().__init__(zip(found, range(len(found))))
+def _slices(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All places of the slices [first, last), one after the other."""
+    sizes = last - first
+    at = np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+    at += np.arange(len(at), dtype=at.dtype)
+    return at
+
+
+def _joined(array: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The slices [first, last) of an array on end."""
+    return np.concatenate([array[:0], *(array[a:b] for a, b in zip(first.tolist(), last.tolist()))])
+
+
+def _kinds(term: np.ndarray, sizes: np.ndarray, terms: int, count: int) -> np.ndarray:
+    """A number below `count` for each example: a few rounds of k-means over its most frequent terms.
+
+    Only the order of examples depends on it, thus how much a search skips.
+    """
+    n = len(sizes)
+    if count < 2:
+        return np.zeros(n, np.int64)
+    held = np.bincount(term, minlength=terms)
+    often = np.argsort(-held, kind="stable")[:KIND_TERMS]
+    place = np.full(terms, -1, np.int64)
+    place[often] = np.arange(len(often))
+    column, row = place[term], np.repeat(np.arange(n), sizes)
+    seen = np.zeros((n, len(often)), np.float32)
+    seen[row[column >= 0], column[column >= 0]] = 1
+    seen /= np.maximum(np.sqrt(seen.sum(1, keepdims=True)), 1)
+    centres = seen[np.random.default_rng(0).choice(n, count, replace=False)]
+    for _ in range(8):
+        kinds = (seen @ centres.T).argmax(1)
+        for j in np.unique(kinds):
+            mean = seen[kinds == j].sum(0)
+            centres[j] = mean / max(float(np.sqrt(mean @ mean)), 1e-9)
+    return kinds
+
+
+class Words:
+    """Numbers of words. Held and sent as one text; single words are made where they are first looked up."""
+
+    def __init__(self, found: pa.Array):
+        found = found.cast(pa.string())
+        ends = pa.array([0, len(found)], pa.int32())
+        self.size = len(found)
+        self.text = pc.binary_join(pa.ListArray.from_arrays(ends, found), "\n")[0].as_py().encode()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self):
+        return iter(self.text.decode().split("\n") if self.size else [])
 
-    @classmethod
-    def of(cls, text: str) -> Words:
-        return cls(text.split("\n") if text else [])
+    def __getattr__(self, name: str):
+        if name != "get":
+            raise AttributeError(name)
+        self.get = dict(zip(self, range(self.size))).get
+        return self.get
 
-    def __reduce__(self):
-        return Words.of, ("\n".join(self),)
+    def __getstate__(self) -> dict:
+        return {"size": self.size, "text": self.text}
 
     @property
     def nbytes(self) -> int:
-        return sum(len(w.encode()) + 1 for w in self)
+        return len(self.text) + 1
 
 
 class Cut:
@@ -113,17 +172,23 @@ class Index:
     """Postings by term, and for frequent terms rows of weights with each range's largest weight."""
 
     #: Made from the vectors of the examples where they are first needed; never sent.
-    MADE = ("ranges", "example", "weight", "starts", "row_of", "rows", "most")
+    MADE = ("ranges", "postings", "example", "weight", "starts", "cells", "row_of", "rows", "first_row", "most")
 
     def __init__(self, term: np.ndarray, weight: np.ndarray, sizes: np.ndarray, labels: np.ndarray, names: np.ndarray, terms: int, block: int, row_bytes: int = 1 << 26):
-        # short examples have large weights: among their like, ranges get tighter bounds
-        order = np.lexsort((names, sizes))
+        # examples of like words stand together, so that a section has frequent terms of its own;
+        # short ones have large weights: among their like, ranges get tighter bounds
+        kinds = _kinds(term, sizes, terms, min(KINDS, len(sizes) // (2 * block)))
+        order = np.lexsort((names, sizes, kinds))
         ends = np.cumsum(sizes)
-        at = _slices((ends - sizes)[order], ends[order])[0]
+        at = _slices((ends - sizes)[order], ends[order])
         self.labels, self.names, self.block, self.terms = labels[order], names[order], block, terms
         self.terms_of, self.weights_of = term[at].astype(np.int32), weight[at].astype(np.float32)
         self.ends_of = np.concatenate([[0], np.cumsum(sizes[order])])
         self.row_bytes = row_bytes
+        #: First range of each section, and the end.
+        ranges = max(1, -(-len(names) // block))
+        first = np.unique(np.round(np.flatnonzero(np.diff(kinds[order])) / block).astype(np.int64))
+        self.sections = np.concatenate([[0], first[(first > 0) & (first < ranges)], [ranges]])
 
     def __getattr__(self, name: str):
         if name not in Index.MADE:
@@ -140,20 +205,38 @@ class Index:
     def _invert(self) -> None:
         n = len(self.names)
         self.ranges = max(1, -(-n // self.block))
-        own = np.repeat(np.arange(n), np.diff(self.ends_of))
+        own = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.ends_of))
         sort = np.argsort(self.terms_of, kind="stable")
-        self.weight, self.example = self.weights_of[sort], own[sort].astype(np.int32)
-        held = np.bincount(self.terms_of, minlength=self.terms)
-        self.starts = np.concatenate([[0], np.cumsum(held)])
-        width = self.ranges * self.block
-        often = np.flatnonzero(held * FREQUENT > n)
-        often = often[np.argsort(-held[often], kind="stable")][: self.row_bytes // (4 * width)]
-        self.row_of = np.full(self.terms, -1, np.int32)
-        self.row_of[often] = np.arange(len(often))
-        row = self.row_of[self.terms_of]
-        self.rows = np.zeros((len(often), width), np.float32)
-        self.rows[row[row >= 0], own[row >= 0]] = self.weights_of[row >= 0]
-        self.most = self.rows.reshape(len(often), self.ranges, self.block).max(2)
+        self.postings = np.empty(len(own), POSTING)
+        self.postings["example"], self.postings["weight"] = own[sort], self.weights_of[sort]
+        self.example, self.weight = self.postings["example"], self.postings["weight"]
+        del sort
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.terms_of, minlength=self.terms))])
+        count = len(self.sections) - 1
+        #: Postings of a term and a section lie from one cell to the next.
+        self.cells = np.empty((self.terms, count + 1), np.int32)
+        self.cells[:, 0] = self.starts[:-1]
+        self.row_of = np.full((self.terms, count), -1, np.int32)
+        self.rows, self.most = [], []
+        room = self.row_bytes // (4 * self.ranges * self.block)
+        for s, (lo, hi) in enumerate(zip(self.sections[:-1] * self.block, self.sections[1:] * self.block)):
+            at = slice(self.ends_of[min(lo, n)], self.ends_of[min(hi, n)])
+            held = np.bincount(self.terms_of[at], minlength=self.terms)
+            self.cells[:, s + 1] = self.cells[:, s] + held
+            often = np.flatnonzero(held * FREQUENT > min(hi, n) - lo)
+            often = often[np.argsort(-held[often], kind="stable")][:room]
+            self.row_of[often, s] = np.arange(len(often))
+            row = self.row_of[self.terms_of[at], s]
+            self.row_of[often, s] += sum(map(len, self.rows))  # numbered through
+            rows = np.zeros((len(often), hi - lo), np.float32)
+            rows[row[row >= 0], own[at][row >= 0] - lo] = self.weights_of[at][row >= 0]
+            self.rows.append(rows)
+            self.most.append(rows.reshape(len(often), -1, self.block).max(2))
+        self.first_row = np.concatenate([[0], np.cumsum([len(rows) for rows in self.rows])])
+
+    def kind(self, terms: np.ndarray) -> int:
+        """The section that most of these terms are frequent in."""
+        return int((self.row_of[terms] >= 0).sum(0).argmax())
 
     @property
     def cut(self) -> Cut:
@@ -175,18 +258,25 @@ class Index:
         """
         n, width = len(self.names), self.ranges * self.block
         sums = np.zeros((len(queries), width), np.float32)
-        often = np.zeros((len(queries), len(self.rows)), np.float32)
+        often = np.zeros((len(queries), self.first_row[-1]), np.float32)
         for i, (terms, weights) in enumerate(queries):
-            row = self.row_of[terms]
-            often[i, row[row >= 0]] = weights[row >= 0]
-            rare, w = terms[row < 0], weights[row < 0]
-            at, own = _slices(self.starts[rare], self.starts[rare + 1])
-            sums[i, :n] = np.bincount(self.example[at], w[own] * self.weight[at], n)
+            row, cells = self.row_of[terms], self.cells[terms]
+            held = row >= 0
+            which, s = np.nonzero(held)
+            often[i, row[which, s]] = weights[which]
+            which, s = np.nonzero(~held & (cells[:, 1:] > cells[:, :-1]))
+            first, last = cells[which, s], cells[which, s + 1]
+            got = self.postings.view(np.int64).take(_slices(first, last)).view(POSTING)
+            w = np.repeat(weights[which], last - first)
+            w *= got["weight"]
+            sums[i, :n] = np.bincount(got["example"], w, n)
             if skip[i] is not None:
                 sums[i, skip[i]] = -np.inf
-        slack = (len(self.rows) + 8) * 2.0**-23
-        bound = sums.reshape(len(queries), self.ranges, self.block).max(2) + often @ self.most
-        floor = _floors(sums[:, :n], k)
+        often = [often[:, a:b] for a, b in zip(self.first_row[:-1], self.first_row[1:])]
+        slack = (max(map(len, self.rows)) + 8) * 2.0**-23
+        bound = sums.reshape(len(queries), self.ranges, self.block).max(2)
+        bound += np.concatenate([w @ most for w, most in zip(often, self.most)], axis=1)
+        floor = self._floors(sums, k)
         done = np.zeros(bound.shape, bool)
         order = np.argsort(-bound.sum(0), kind="stable")
         half = -(-self.ranges // 2)
@@ -194,31 +284,43 @@ class Index:
             for r in part:
                 able = np.flatnonzero(bound[:, r] >= floor - slack)
                 if len(able):
+                    s = int(np.searchsorted(self.sections, r, "right")) - 1
                     own = slice(r * self.block, (r + 1) * self.block)
-                    sums[able, own] += often[able] @ self.rows[:, own]
+                    first = (r - self.sections[s]) * self.block
+                    rows = self.rows[s][:, first : first + self.block]
+                    if len(able) < len(queries):
+                        sums[able, own] += often[s][able] @ rows
+                    else:
+                        sums[:, own] += often[s] @ rows
                     done[able, r] = True
             if len(part) < self.ranges:
-                floor = np.maximum(floor, _floors(sums[:, :n], k))
+                floor = np.maximum(floor, self._floors(sums, k))
         out = []
         query = np.zeros(self.terms)
         for i, (terms, weights) in enumerate(queries):
             # a range left out has no example that reaches the floor
-            near = (sums[i, :n] >= max(float(floor[i]) - 2 * slack, 1e-38)) & np.repeat(done[i], self.block)[:n]
-            able = np.flatnonzero(near)
+            able = np.flatnonzero(sums[i, :n] >= max(float(floor[i]) - 2 * slack, 1e-38))
+            able = able[done[i, able // self.block]]
+            if len(able) > k:
+                got = sums[i, able]
+                able = able[got >= np.partition(got, -k)[-k] - 2 * slack]
             query[terms] = weights
-            at, own = _slices(self.ends_of[able], self.ends_of[able + 1])
-            found = np.bincount(own, query[self.terms_of[at]] * self.weights_of[at], len(able))
+            first, last = self.ends_of[able], self.ends_of[able + 1]
+            found = query.take(_joined(self.terms_of, first, last))
+            found *= _joined(self.weights_of, first, last)
+            found = np.add.reduceat(found, np.cumsum(last - first) - (last - first)) if len(able) else found  # no slice is empty
             query[terms] = 0
             best = np.lexsort((able, -found))[:k]
             out.append([(float(found[j]), int(able[j])) for j in best if found[j] > 0])
         return out
 
-
-def _floors(sums: np.ndarray, k: int) -> np.ndarray:
-    """The k-th largest sum of each row, 0 if there are not more: a cosine the k nearest reach."""
-    if sums.shape[1] <= k:
-        return np.zeros(len(sums), np.float32)
-    return np.maximum(np.partition(sums, sums.shape[1] - k, axis=1)[:, -k], 0)
+    def _floors(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """A sum of each row that its k largest reach, 0 if there are not more: the k-th best of the lanes' largest."""
+        lane = gcd(sums.shape[1], LANE) if sums.shape[1] > LANE * LANE * k else 1
+        best = sums.reshape(len(sums), lane, -1).max(1)
+        if best.shape[1] <= k:
+            return np.zeros(len(sums), np.float32)
+        return np.maximum(np.partition(best, best.shape[1] - k, axis=1)[:, -k], 0)
 
 
 class Model:
@@ -268,10 +370,11 @@ class Model:
     def near(self, texts: list[str | None], skip: list[int] | None = None) -> list[list[tuple[float, int]] | None]:
         """The nearest examples of each text, None for a text without any term."""
         out: list[list[tuple[float, int]] | None] = [None] * len(texts)
-        for lo in range(0, len(texts), TOGETHER):
-            some = [(i, self.vector(t)) for i, t in enumerate(texts[lo : lo + TOGETHER], lo)]
-            some = [(i, v) for i, v in some if len(v[0])]
-            got = self.index.nearest_of([v for _, v in some], self.k, [skip[i] if skip else None for i, _ in some]) if some else []
+        found = [(i, v) for i, v in enumerate(map(self.vector, texts)) if len(v[0])]
+        found.sort(key=lambda x: self.index.kind(x[1][0]))  # texts of like words need the same ranges
+        for lo in range(0, len(found), TOGETHER):
+            some = found[lo : lo + TOGETHER]
+            got = self.index.nearest_of([v for _, v in some], self.k, [skip[i] if skip else None for i, _ in some])
             for (i, _), near in zip(some, got):
                 out[i] = near
         return out
@@ -286,12 +389,15 @@ class Model:
         return min(1.0, max(0.0, score)), [int(self.index.names[e]) for _, e in near if self.index.labels[e] == label][:5]
 
 
-def vector(text: str | None, terms: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    counts = Counter(t for t in map(terms.get, words(text)) if t is not None)
-    if not counts:
+def vector(text: str | None, terms: Words, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    counts = Counter(words(text))
+    which = np.fromiter(map(terms.get, counts, repeat(-1)), np.int64, len(counts))
+    known = np.flatnonzero(which >= 0)
+    known = known[np.argsort(which[known])]
+    if not len(known):
         return np.empty(0, np.int64), np.empty(0)
-    which = np.array(sorted(counts), np.int64)
-    w = (1 + np.log([counts[t] for t in which.tolist()])) * idf[which]
+    which = which[known]
+    w = (1 + np.log(np.fromiter(counts.values(), np.int64, len(counts))[known])) * idf[which]
     norm = np.sqrt((w * w).sum())
     return (which, w / norm) if norm > 0 else (np.empty(0, np.int64), np.empty(0))
 
@@ -336,7 +442,7 @@ def _sample(scratch: Scratch, docs: DataFrame, labels: DataFrame, cfg: ToxicityC
     return scratch.write(rows.select("doc_id", "text", "toxic"), "examples")
 
 
-def _terms(examples: DataFrame, clean: int, toxic: int) -> tuple[list[str], np.ndarray]:
+def _terms(examples: DataFrame, clean: int, toxic: int) -> tuple[Words, np.ndarray]:
     """All words of the examples, and their weights by label."""
 
     def count(batches):
@@ -354,9 +460,10 @@ def _terms(examples: DataFrame, clean: int, toxic: int) -> tuple[list[str], np.n
     counts = examples.mapInArrow(count, "word string, t long, c long").groupBy("word").agg(
         F.sum("t").cast("double").alias("t"), F.sum("c").cast("double").alias("c")
     )
-    rows = counts.orderBy("word").toArrow()  # as many rows as the examples have words
+    # as many rows as the examples have words; frequent ones first, so that what is often looked up lies together
+    rows = counts.orderBy(F.desc(F.col("t") + F.col("c")), "word").toArrow()
     weights = label_weights(rows.column("t").to_numpy(), rows.column("c").to_numpy(), clean, toxic)
-    return rows.column("word").to_pylist(), weights
+    return Words(rows.column("word").combine_chunks()), weights
 
 
 def label_weights(t: np.ndarray, c: np.ndarray, clean: int, toxic: int) -> np.ndarray:
@@ -379,15 +486,16 @@ def _frequencies(docs: DataFrame, shared, n_terms: int) -> tuple[np.ndarray, int
         for b in batches:
             seen[-1] += b.num_rows
             for text in b.column("text").to_pylist():
-                hit = [i for i in map(terms.get, set(words(text))) if i is not None]
-                seen[hit] += 1  # a document's terms are distinct
+                found = set(words(text))  # a document's terms are distinct
+                hit = np.fromiter(map(terms.get, found, repeat(-1)), np.int64, len(found))
+                seen[hit[hit >= 0]] += 1
         got = sketch.parts(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([i for i, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())],
             names=["chunk", "part"],
         )
 
-    whole = sketch.merged(docs.select("text").mapInArrow(count, sketch.PART), length, np.int64)
+    whole = sketch.merged(docs.select("text").mapInArrow(count, sketch.PART), length, np.int64, once=True)
     return whole[:n_terms], int(whole[-1])
 
 
@@ -400,9 +508,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     clean, toxic = got.get(False, 0), got.get(True, 0)
     if not clean + toxic:
         return None
-    found, by_label = _terms(examples, clean, toxic)
-    terms = Words(found)
-    del found
+    terms, by_label = _terms(examples, clean, toxic)
     spark = docs.sparkSession
     shared = checked_broadcast(spark, terms, terms.nbytes, cfg.index_bytes)
     seen, total = _frequencies(docs, shared, len(terms))

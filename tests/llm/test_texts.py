@@ -1,10 +1,12 @@
 """Mixing, packing, scoring, extraction and records next to plain counterparts."""
 
+import pickle
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -12,7 +14,8 @@ from tokenizers import Tokenizer
 from driftloom.llm import warc
 from driftloom.llm.mixing import emitted, mixed
 from driftloom.llm.packing import GeneticConfig, pack
-from driftloom.llm.toxicity import Index, ToxicityConfig, fit, scored
+from driftloom.llm.toxicity import WORD, Index, ToxicityConfig, Words, fit, scored
+from driftloom.llm.toxicity import words as found_words
 from driftloom.llm.wrappers import Folded, align, extract, key, main_text, page_wrapper, parse
 from test_pairs import words
 
@@ -185,6 +188,37 @@ def test_toxicity_pruning_is_exact():
             assert all(abs(cos[e] - c) < 1e-9 for c, e in got)
 
 
+def test_toxicity_sections_spare_work():
+    rng = np.random.default_rng(7)
+    vectors = []
+    for i in range(1200):  # four languages, their words do not meet
+        t = np.unique(rng.integers(0, 300, 60)) + 300 * (i % 4)
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    sizes = np.array([len(t) for t, _ in vectors])
+    index = Index(np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), sizes, np.zeros(1200, int), np.arange(1200), 1200, 32)
+    assert len(index.sections) > 4
+    # words of one language are frequent among their like, so few postings are left to add up one by one
+    loose = [np.where(index.row_of[t] < 0, np.diff(index.cells[t], axis=1), 0).sum() for t, _ in vectors]
+    assert np.mean(loose) < 0.5 * np.mean([(index.starts[t + 1] - index.starts[t]).sum() for t, _ in vectors])
+    dense = np.zeros((1200, 1200))
+    for e in range(1200):
+        own = slice(index.ends_of[e], index.ends_of[e + 1])
+        dense[e, index.terms_of[own]] = index.weights_of[own]
+    for (t, w), near in zip(vectors, index.nearest_of(vectors, 15, [None] * 1200)):
+        cos = dense[:, t] @ w
+        assert np.allclose([c for c, _ in near], np.sort(cos)[::-1][:15], atol=1e-9)
+        assert all(abs(cos[e] - c) < 1e-9 for c, e in near)
+
+
+def test_toxicity_words_of_both_paths():
+    every = "".join(map(chr, range(128))) + " It's A_b-c\tD1"
+    assert found_words(every) == WORD.findall(every.lower()) and found_words(every + " Über")[-1] == "über"
+    held = Words(pa.array(["b", "ü", "a"]))
+    assert [held.get(w, -1) for w in ("a", "b", "c", "ü")] == [2, 0, -1, 1]
+    assert list(pickle.loads(pickle.dumps(held))) == ["b", "ü", "a"] and not list(Words(pa.array([], pa.string())))
+
+
 def test_toxicity_held_out_accuracy(spark):
     from driftloom.llm.queries import op5
 
