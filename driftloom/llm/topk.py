@@ -3,7 +3,7 @@
 Vectors are dealt into blocks of bounded size, near each other by a bounded sample of pivots (this
 sets how much is skipped, never the result). A block keeps, for each dimension, the list of its
 vectors in descending and in ascending order. For a query the lists are read in parallel from the
-end that its component favours; each vector met is scored in full; the threshold is the score that
+end that its component favours, for the queries of a block together; each vector met is scored in full; the threshold is the score that
 a vector standing at the current depth of all lists would have. Reading stops when the threshold
 cannot beat the k-th result; at equal score, when every vector not met yet has a larger id.
 
@@ -27,6 +27,10 @@ from pyspark.sql import functions as F
 from driftloom.llm.scratch import Scratch
 
 HIT = "query_id long, vec_id long, score long"
+#: Queries of a block that read its lists together.
+TOGETHER = 512
+#: Stands for no floor.
+LEAST = -(2**62)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -48,43 +52,59 @@ class Lists:
         self.down = np.argsort(-self.rows, axis=0, kind="stable")
         self.up = np.argsort(self.rows, axis=0, kind="stable")
 
-    def search(self, query: np.ndarray, own: int | None, k: int, floor: int | None) -> list[tuple[int, int]]:
-        """The k best (score, id); those below `floor` may be missing."""
-        used = np.flatnonzero(query)
-        n = len(self.ids)
-        weight = query[used]
-        side = np.where(weight[:, None] > 0, self.down[:, used].T, self.up[:, used].T) if len(used) else np.empty((0, n), np.int64)
+    def search(
+        self, queries: np.ndarray, own: np.ndarray | None, k: int, floors: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query as (query, score, id); those below its floor may be missing.
+
+        All queries read on together, each from the ends its components favour, and a vector that one
+        of them meets is scored for all that still read. `floors` are the least numbers where there are none.
+        """
+        n, dims = self.rows.shape
+        rows, asked = self.rows, queries
+        # products in double precision are exact as long as no sum can reach 2**53
+        if np.abs(rows).max(initial=0).astype(float) * np.abs(asked).astype(float).sum(1).max(initial=0) < 2.0**53:
+            rows, asked = rows.astype(np.float64), asked.astype(np.float64)
         met = np.zeros(n, bool)
-        best: list[tuple[int, int]] = []
+        places = np.arange(dims)
+        reading = np.arange(len(queries))
+        least, name = floors.copy(), np.full(len(queries), -1)
+        full = np.zeros(len(queries), bool)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
         depth, step = 0, 8
-        while depth < n:
+        while depth < n and len(reading):
             upto = min(n, depth + step)
-            fresh = np.unique(side[:, depth:upto]) if len(used) else np.arange(n)
+            wanted = asked[reading]
+            used = [(wanted > 0).any(0), (wanted < 0).any(0)]
+            fresh = np.concatenate([self.down[depth:upto, used[0]].ravel(), self.up[depth:upto, used[1]].ravel()])
+            fresh = np.unique(fresh) if upto < n else np.arange(n)
             fresh = fresh[~met[fresh]]
             met[fresh] = True
+            scores = (wanted @ rows[fresh].T).astype(np.int64)
+            q, v = np.nonzero(scores >= least[reading][:, None])
             if own is not None:
-                fresh = fresh[self.ids[fresh] != own]
-            scores = self.rows[fresh] @ query
-            least = best[-1][0] if len(best) == k else floor
-            if least is not None:
-                fresh, scores = fresh[scores >= least], scores[scores >= least]
-            if len(fresh):
-                top = np.lexsort((self.ids[fresh], -scores))[:k]
-                best = sorted(best + [(int(scores[t]), int(self.ids[fresh[t]])) for t in top], key=lambda h: (-h[0], h[1]))[:k]
-            if not len(used):
-                break
-            last = side[:, upto - 1]
-            threshold = int(self.rows[last, used] @ weight)
-            if floor is not None and threshold < floor:
-                break
-            if len(best) == k:
-                score, name = best[-1]
-                if threshold < score or (threshold == score and self.ids[last].max() >= name):
-                    break
+                other = self.ids[fresh[v]] != own[reading[q]]
+                q, v = q[other], v[other]
+            best = _best(np.append(best[0], reading[q]), np.append(best[1], scores[q, v]), np.append(best[2], self.ids[fresh[v]]), k)
+            last = np.flatnonzero(np.bincount(best[0], minlength=1)[best[0]] == k)[k - 1 :: k]
+            full[best[0][last]], least[best[0][last]], name[best[0][last]] = True, best[1][last], best[2][last]
+            high, low = self.down[upto - 1], self.up[upto - 1]
+            threshold = np.maximum(wanted, 0) @ rows[high, places] + np.minimum(wanted, 0) @ rows[low, places]
+            seen = np.where(wanted > 0, self.ids[high], np.where(wanted < 0, self.ids[low], np.iinfo(np.int64).min))
+            tied = (threshold == least[reading]) & full[reading] & (seen.max(1, initial=np.iinfo(np.int64).min) >= name[reading])
+            reading = reading[~((threshold < least[reading]) | tied)]
             depth, step = upto, step * 2
         return best
 
 
+def _best(query: np.ndarray, score: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, in order."""
+    order = np.lexsort((vec, -score, query))
+    query = query[order]
+    kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[kept], score[order][kept], vec[order][kept]
+
+
 def _matrix(column) -> np.ndarray:
     return np.array(column.tolist(), np.int64)
 
@@ -94,12 +114,13 @@ def _search(k: int, own_block: bool):
         out = []
         if len(block) and len(queries):
             lists = Lists(block["vec_id"].to_numpy(), _matrix(block["v"]))
-            floors = queries["floor"].tolist()
-            for name, query, floor in zip(queries["query_id"].tolist(), _matrix(queries["v"]), floors):
-                low = None if floor is None or floor != floor else int(floor)
-                for score, vec in lists.search(query, name if own_block else None, k, low):
-                    out.append((name, vec, score))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            names, asked = queries["query_id"].to_numpy(), _matrix(queries["v"])
+            floors = queries["floor"].fillna(LEAST).to_numpy().astype(np.int64)
+            for lo in range(0, len(names), TOGETHER):
+                own = names[lo : lo + TOGETHER]
+                q, score, vec = lists.search(asked[lo : lo + TOGETHER], own if own_block else None, k, floors[lo : lo + TOGETHER])
+                out.append(pd.DataFrame({"query_id": own[q], "vec_id": vec, "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
     return run
 
@@ -111,7 +132,7 @@ def _near(_key, queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     q = _matrix(queries["v"])
     high, low = _matrix(blocks["high"]), _matrix(blocks["low"])
     bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    floor = queries["floor"].fillna(-(2**62)).to_numpy().astype(np.int64)
+    floor = queries["floor"].fillna(LEAST).to_numpy().astype(np.int64)
     own = queries["block"].to_numpy()[:, None] == blocks["block"].to_numpy()[None, :]
     a, b = np.nonzero((bound >= floor[:, None]) & ~own)
     return pd.DataFrame({"query_id": queries["query_id"].to_numpy()[a], "block": blocks["block"].to_numpy()[b]})

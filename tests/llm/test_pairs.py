@@ -14,7 +14,7 @@ from driftloom.llm.jaccard import jaccard_groups
 from driftloom.llm.lines import dedup_lines
 from driftloom.llm.scratch import Scratch
 from driftloom.llm.substrings import COVER, PERIOD, covers, remove_repeats
-from driftloom.llm.topk import quantised, top_k
+from driftloom.llm.topk import Lists, quantised, top_k
 
 LAST = 1 << 62
 
@@ -170,3 +170,23 @@ def test_top_k(spark):
         got = top_k(vectors, vectors.where("vec_id % 50 = 0").select("vec_id"), **sizes)
         assert {tuple(r) for r in got.collect()} == want
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_lists_are_read_together():
+    rng = np.random.default_rng(9)
+    for big in (40, 1 << 28):  # beyond 2**53 products stay whole numbers
+        rows = rng.integers(-big, big, (300, 12))
+        rows[100:150] = rows[100]  # ties
+        ids = rng.permutation(1000)[:300]
+        queries = np.vstack([rows[::10], rows[100:103], np.zeros((1, 12), np.int64)])
+        own = np.append(ids[::10], [*ids[100:103], -5])
+        scores = [[(-sum(int(a) * int(b) for a, b in zip(q, r)), int(i)) for r, i in zip(rows, ids) if i != o] for q, o in zip(queries, own)]
+        want = [sorted(x)[:5] for x in scores]
+        none = np.full(len(queries), -(2**62))
+        q, score, vec = Lists(ids, rows).search(queries, own, 5, none)
+        got = [[(-int(s), int(v)) for s, v in zip(score[q == i], vec[q == i])] for i in range(len(queries))]
+        assert got == want
+        floors = np.array([-x[2][0] for x in want])  # the third best of each
+        q, score, vec = Lists(ids, rows).search(queries, own, 5, floors)
+        got = [[(-int(s), int(v)) for s, v in zip(score[q == i], vec[q == i])] for i in range(len(queries))]
+        assert all(g[:3] == w[:3] for g, w in zip(got, want))
