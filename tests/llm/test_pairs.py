@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from driftloom.llm import graph, sketch
+from driftloom.llm import graph, lines, sketch
 from driftloom.llm.exact import ExactDedup
 from driftloom.llm.jaccard import jaccard_groups
 from driftloom.llm.lines import dedup_lines
@@ -190,3 +190,26 @@ def test_lists_are_read_together():
         q, score, vec = Lists(ids, rows).search(queries, own, 5, floors)
         got = [[(-int(s), int(v)) for s, v in zip(score[q == i], vec[q == i])] for i in range(len(queries))]
         assert all(g[:3] == w[:3] for g, w in zip(got, want))
+
+
+def test_line_keys_come_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    pool = np.array(["w%d" % i for i in range(300)])
+    texts = [rng.choice(pool, 70).tolist() for _ in range(60)]
+    texts += [[*t[:-1], "other"] for t in texts[:40]] + [[*t[:-1], "third"] for t in texts[:20]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out, sizes = [], []
+    write = Scratch.write
+
+    def seen(self, table, name):
+        got = write(self, table, name)
+        if name == "hashes":
+            sizes.append(got.count())
+        return got
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    for size in (10, 2, 3):  # at once, and in rounds
+        monkeypatch.setattr(lines, "ROUND", size)
+        out.append(sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(df).collect()))
+    assert out[0] == out[1] == out[2] and sum(n for _, n in out[0]) > 0
+    assert sizes == [120] * 3  # hashes are written, so the shuffle of their votes is freed before the keys'
