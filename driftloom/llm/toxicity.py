@@ -28,8 +28,12 @@ twice count as toxic if one says so; null labels and ids are left out. Extra col
 
 from __future__ import annotations
 
+import ctypes
 import re
+import threading
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from itertools import repeat
 from math import gcd
@@ -67,6 +71,8 @@ WORD_BYTES = 12
 FREQUENT = 16
 #: Documents that a task searches together.
 TOGETHER = 64
+#: Seconds after which a Python worker without a task gives back what it can make again.
+REST_S = 2.0
 #: Both numbers of a posting side by side: one look into memory for both.
 POSTING = np.dtype([("example", np.int32), ("weight", np.float32)])
 #: Most sections of examples of like words, and terms by which they are told apart.
@@ -150,6 +156,9 @@ class Words:
     def __getstate__(self) -> dict:
         return {"size": self.size, "text": self.text}
 
+    def forget(self) -> None:
+        vars(self).pop("get", None)
+
     @property
     def nbytes(self) -> int:
         return len(self.text) + 1
@@ -234,6 +243,11 @@ class Index:
             self.most.append(rows.reshape(len(often), -1, self.block).max(2))
         self.first_row = np.concatenate([[0], np.cumsum([len(rows) for rows in self.rows])])
 
+    def forget(self) -> None:
+        """Gives back what is made again where it is needed."""
+        for name in Index.MADE:
+            vars(self).pop(name, None)
+
     def kind(self, terms: np.ndarray) -> int:
         """The section that most of these terms are frequent in."""
         return int((self.row_of[terms] >= 0).sum(0).argmax())
@@ -330,6 +344,13 @@ class Model:
         self.terms, self.idf, self.index, self.base, self.k = terms, idf, index, base, k
         self.steps: list[tuple[float, float]] = []
         self.without = base
+        self.lock, self.tasks, self.timer = threading.Lock(), 0, None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("lock", "tasks", "timer")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state, lock=threading.Lock(), tasks=0, timer=None)
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return vector(text, self.terms, self.idf)
@@ -367,6 +388,36 @@ class Model:
     def nbytes(self) -> int:
         return self.index.nbytes + self.idf.nbytes + self.terms.nbytes
 
+    @contextmanager
+    def awake(self) -> Iterator[Model]:
+        """For the time of a task. When no other follows for a while, what was made is given back.
+
+        Workers stay for later stages, and a broadcast value stays in them till their next Python task.
+        """
+        with self.lock:
+            self.tasks += 1
+            if self.timer:
+                self.timer.cancel()
+        try:
+            yield self
+        finally:
+            with self.lock:
+                self.tasks -= 1
+                self.timer = threading.Timer(REST_S, self.forget)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def forget(self) -> None:
+        with self.lock:
+            if self.tasks:
+                return
+            self.index.forget()
+            self.terms.forget()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
     def near(self, texts: list[str | None], skip: list[int] | None = None) -> list[list[tuple[float, int]] | None]:
         """The nearest examples of each text, None for a text without any term."""
         out: list[list[tuple[float, int]] | None] = [None] * len(texts)
@@ -539,16 +590,16 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     shared = checked_broadcast(spark, model, model.nbytes, 2 * cfg.index_bytes)
 
     def own(batches):
-        m = shared.value
-        place = {int(n): i for i, n in enumerate(m.index.names)}
-        for b in batches:
-            near = m.near(b.column("text").to_pylist(), [place[i] for i in b.column("doc_id").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0.0 if x is None else m.vote(x) for x in near], pa.float64()),
-                 pa.array([int(x > 0) for x in b.column("toxic").to_pylist()], pa.int64()),
-                 pa.array([x is None for x in near])],
-                names=["vote", "label", "empty"],
-            )
+        with shared.value.awake() as m:
+            place = {int(n): i for i, n in enumerate(m.index.names)}
+            for b in batches:
+                near = m.near(b.column("text").to_pylist(), [place[i] for i in b.column("doc_id").to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0.0 if x is None else m.vote(x) for x in near], pa.float64()),
+                     pa.array([int(x > 0) for x in b.column("toxic").to_pylist()], pa.int64()),
+                     pa.array([x is None for x in near])],
+                    names=["vote", "label", "empty"],
+                )
 
     votes = examples.mapInArrow(own, "vote double, label long, empty boolean").toArrow()
     model.calibrate(*(votes.column(k).to_numpy() for k in range(3)))
@@ -570,15 +621,15 @@ def scored(docs: DataFrame, model: Model | None, cfg: ToxicityConfig = ToxicityC
     ])
 
     def run(batches):
-        m = shared.value
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
-            got = [m.score(near) for near in m.near(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([g[0] for g in got], pa.float64()),
-                 pa.array([int(g[0] >= 0.5) for g in got], pa.int32()),
-                 pa.array([g[1] for g in got], pa.list_(pa.int64()))],
-                names=[*b.schema.names, "score", "predicted", "evidence"],
-            )
+        with shared.value.awake() as m:
+            for b in batches:
+                texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+                got = [m.score(near) for near in m.near(texts)]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array([g[0] for g in got], pa.float64()),
+                     pa.array([int(g[0] >= 0.5) for g in got], pa.int32()),
+                     pa.array([g[1] for g in got], pa.list_(pa.int64()))],
+                    names=[*b.schema.names, "score", "predicted", "evidence"],
+                )
 
     return docs.mapInArrow(run, schema)

@@ -379,3 +379,26 @@ def test_warc_ids_tell_payloads_apart(spark):
     assert made.select("record_id").distinct().count() == made.count() == 8
     assert made.join(source.select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("d")), "refers_to").where(
         "d = payload_digest").count() == 8
+
+
+def test_idle_worker_gives_back_what_it_made(spark, monkeypatch):
+    """After its last task a model keeps only what was sent; a later task finds the same again."""
+    import time
+
+    from driftloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "REST_S", 0.2)
+    docs = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} some text {'bad' * (i % 3 == 0)}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    texts = ["word1 some bad", "word2 text", ""]
+    fresh = pickle.loads(pickle.dumps(model))
+    with fresh.awake() as m:
+        before = m.near(texts)
+        time.sleep(0.5)
+        assert "rows" in vars(m.index) and "get" in vars(m.terms)  # never during a task
+    time.sleep(0.6)
+    assert not set(vars(fresh.index)) & set(toxicity.Index.MADE) and "get" not in vars(fresh.terms)
+    with fresh.awake() as m:
+        assert m.near(texts) == before
+    assert before == model.near(texts)
