@@ -213,3 +213,38 @@ def test_line_keys_come_in_rounds(spark, monkeypatch):
         out.append(sorted((r["doc_id"], r["n_removed"]) for r in dedup_lines(df).collect()))
     assert out[0] == out[1] == out[2] and sum(n for _, n in out[0]) > 0
     assert sizes == [120] * 3  # hashes are written, so the shuffle of their votes is freed before the keys'
+
+
+def test_line_pairs_need_fitting_lengths(spark, tmp_path, monkeypatch):
+    """Lines of one word repeated have one hash: only pairs of fitting length are made; groups stay exact."""
+    made = []
+    alike = lines._alike
+
+    def counted(scratch, pairs, *rest):
+        made.append(pairs.count())
+        return alike(scratch, pairs, *rest)
+
+    monkeypatch.setattr(lines, "_alike", counted)
+    texts = [" ".join(["same"] * n) for n in (1, 2, 4, 8, 16, 32, 64, 128)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(90, texts[5] + " same")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in dedup_lines(df).collect()}
+    assert [i for i, n in got.items() if n] == [90]
+    assert sum(made) <= 20  # one pair, found once at most under each of the ten keys by either step; 360 of all lengths
+
+
+def test_line_distance_without_shared_ends(spark):
+    """Shared words at both ends are left out; the decision is that of the whole lines."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["a", "bb", "a b", "ccc", "ü", "dd d"])
+    pairs = [("a b", "a"), ("b", "a b"), ("a a", "a a a"), ("a", "b"), ("a x b", "a b"), ("x", "x y"), ("a b a", "a b a b a")]
+    for _ in range(300):
+        a = rng.choice(vocabulary, rng.integers(1, 9)).tolist()
+        b = list(a)
+        for _ in range(rng.integers(1, 4)):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 2))] = rng.choice(vocabulary, rng.integers(0, 3)).tolist()
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = [(i, i, a, b, most) for i, (a, b) in enumerate(pairs) for most in range(6) if a and b]
+    df = spark.createDataFrame([(100 * i + most, i, a, b, most) for i, _, a, b, most in rows], "u long, v long, a string, b string, most int")
+    want = {r["u"] for r in df.where("levenshtein(a, b) <= most").collect()}
+    assert {r["u"] for r in lines._within(df).collect()} == want and 0 < len(want) < len(rows)
