@@ -70,7 +70,9 @@ WORD_BYTES = 12
 #: Terms that more than one in so many examples of a section hold are rows of weights there instead of lists.
 FREQUENT = 16
 #: Documents that a task searches together.
-TOGETHER = 64
+TOGETHER = 128
+#: A range is bounded in parts of so many examples.
+PART = 64
 #: Seconds after which a Python worker without a task gives back what it can make again.
 REST_S = 2.0
 #: Both numbers of a posting side by side: one look into memory for both.
@@ -198,6 +200,10 @@ class Index:
         ranges = max(1, -(-len(names) // block))
         first = np.unique(np.round(np.flatnonzero(np.diff(kinds[order])) / block).astype(np.int64))
         self.sections = np.concatenate([[0], first[(first > 0) & (first < ranges)], [ranges]])
+        # ranges are worked through in parts, with tighter bounds; sections begin where they did
+        self.block = gcd(block, PART)
+        self.sections *= block // self.block
+        self.sections[-1] = max(1, -(-len(names) // self.block))
 
     def __getattr__(self, name: str):
         if name not in Index.MADE:
@@ -240,7 +246,7 @@ class Index:
             rows = np.zeros((len(often), hi - lo), np.float32)
             rows[row[row >= 0], own[at][row >= 0] - lo] = self.weights_of[at][row >= 0]
             self.rows.append(rows)
-            self.most.append(rows.reshape(len(often), -1, self.block).max(2))
+            self.most.append(rows.reshape(len(often), (hi - lo) // self.block, self.block).max(2))
         self.first_row = np.concatenate([[0], np.cumsum([len(rows) for rows in self.rows])])
 
     def forget(self) -> None:

@@ -402,3 +402,23 @@ def test_idle_worker_gives_back_what_it_made(spark, monkeypatch):
     with fresh.awake() as m:
         assert m.near(texts) == before
     assert before == model.near(texts)
+
+
+def test_parts_of_ranges_change_no_neighbour(monkeypatch):
+    from driftloom.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(1500):
+        t = np.unique(rng.integers(0, 400, 12))
+        w = rng.random(len(t))
+        vectors.append((t, w / np.sqrt((w * w).sum())))
+    sizes = np.array([len(t) for t, _ in vectors])
+    made = []
+    for part in (64, 1 << 20):
+        monkeypatch.setattr(toxicity, "PART", part)
+        made.append(toxicity.Index(np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors]), sizes, np.zeros(1500, int), np.arange(1500), 400, 1024))
+    fine, whole = made
+    assert fine.block == 64 and whole.block == 1024 and (fine.names == whole.names).all()
+    got = [ix.nearest_of(vectors[:80], 5, [None] * 80) for ix in made]
+    assert [[e for _, e in x] for x in got[0]] == [[e for _, e in x] for x in got[1]]
