@@ -12,7 +12,7 @@
 * Index: for each term its postings in order of example. Examples of like words stand together in
   sections, shorter ones first; this sets how much is skipped, never the result. Terms that more than
   one in `FREQUENT` examples of a section hold are rows of weights there, with the largest weight per
-  term and range of `block` examples. A document first adds up the postings of its other terms; the k-th best sum is a
+  term and range of examples (sections begin at multiples of `block`, a range has 64 at most). A document first adds up the postings of its other terms; the k-th best sum is a
   floor. A range whose best sum and largest weights stay below it is left out; in the others the
   frequent terms of many documents are one matrix product. The cosines that may be among the k
   nearest are then computed once more in double precision.
