@@ -209,3 +209,44 @@ def test_feeds_bring_bounded_batches(spark):
     assert batches(feed) == [list(range(900)), list(range(900, 1000))]
     timed = batches(timed_stream(rows, "ts", batch_rows=100))
     assert sum(timed, []) == list(range(1000)) and max(map(len, timed)) <= 110
+
+
+def test_rows_reach_the_ordered_scorer_in_bundles(spark):
+    """Rows of a partition travel as a few binary cells, each of one key, and come out as they were."""
+    from collections import Counter
+
+    from driftloom.config import DIMENSIONS
+    from driftloom.streaming.ordered import BUNDLED, bundled, rows_of
+
+    rows = spark.range(0, 30_000, 1, 1).selectExpr(
+        "cast(id as string) as request_id", "id * 7 % 1000 as ts_us", "nullif(concat('m', id % 3), 'm2') as model_version",
+        "concat('t', id % 2) as tenant_id", *[f"cast(id as double) as {d}" for d in DIMENSIONS],
+    )
+    found = rows.mapInArrow(bundled, BUNDLED).collect()
+    assert len(found) <= 12  # at most two of each of six keys
+    got = Counter()
+    for r in found:
+        for x in rows_of([bytes(r.bundle)]).to_pylist():
+            got[(x["request_id"], x["ts_us"], r.model_version, r.tenant_id, x[DIMENSIONS[0]], x[DIMENSIONS[4]])] += 1
+    assert got == Counter(tuple(r[:6]) for r in rows.drop(*DIMENSIONS[1:4]).select(
+        "request_id", "ts_us", "model_version", "tenant_id", DIMENSIONS[0], DIMENSIONS[4]).collect())
+
+
+def test_rows_of_null_keys_wait_and_are_released(spark, tmp_path):
+    """What waits is kept over micro-batches as bundles, for null keys too."""
+    from driftloom.config import DIMENSIONS
+    from driftloom.streaming.ordered import ordered_scores, rocksdb_state
+
+    rows = spark.range(0, 600, 1, 1).selectExpr(
+        "cast(id as string) as request_id", "1700000000000000 + id * 1000000 as ts_us", "nullif(concat('m', id % 2), 'm1') as model_version",
+        "'t' as tenant_id", *[f"cast(id % 13 as double) as {d}" for d in DIMENSIONS],
+    )
+    last = rows.limit(1).withColumns({"request_id": F.lit("end"), "model_version": F.lit("end"), "ts_us": F.lit(1_700_009_000_000_000)})
+    src = in_files(rows.unionAll(last), f"{tmp_path}/in", 4)
+    with rocksdb_state(spark):
+        got = run(ordered_scores(src, SMALL, "3 minutes"), f"{tmp_path}/o").filter("request_id <> 'end'").collect()
+    assert len(got) == 600
+    assert all(r.position == int(r.request_id) // 2 for r in got)
+    waited = spark.read.format("statestore").option("path", f"{tmp_path}/o/cp").option("batchId", 1).option("operatorId", 0).option(
+        "stateVarName", "waiting").load()
+    assert waited.count() == 2  # one bundle of each key
