@@ -250,3 +250,13 @@ def test_rows_of_null_keys_wait_and_are_released(spark, tmp_path):
     waited = spark.read.format("statestore").option("path", f"{tmp_path}/o/cp").option("batchId", 1).option("operatorId", 0).option(
         "stateVarName", "waiting").load()
     assert waited.count() == 2  # one bundle of each key
+
+
+def test_feed_parts_are_written_by_many_tasks(spark):
+    from driftloom.streaming.run import dealt_stream
+
+    feed = dealt_stream(spark.range(0, 400_000, 1, 8), F.col("id") % 2, 2)
+    seen = []
+    each = feed.writeStream.foreachBatch(lambda b, _: seen.append((b.select(F.input_file_name()).distinct().count(), b.count())))
+    each.trigger(availableNow=True).start().awaitTermination()
+    assert [n for _, n in seen if n] == [200_000, 200_000] and min(f for f, n in seen if n) > 1
