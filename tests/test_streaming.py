@@ -260,3 +260,18 @@ def test_feed_parts_are_written_by_many_tasks(spark):
     each = feed.writeStream.foreachBatch(lambda b, _: seen.append((b.select(F.input_file_name()).distinct().count(), b.count())))
     each.trigger(availableNow=True).start().awaitTermination()
     assert [n for _, n in seen if n] == [200_000, 200_000] and min(f for f, n in seen if n) > 1
+
+
+def test_levels_do_not_depend_on_the_number_of_rows(spark, tmp_path):
+    """Window means that hover at a threshold, over 12 000 times in an hour, as of the batch job; null tenants too."""
+    from driftloom.config import DIMENSIONS
+
+    rows = spark.range(0, 24_000, 1, 1).selectExpr(
+        "cast(id as string) as request_id", "1700000000123000 + (id div 2) * 300000 as ts_us", "'m' as model_version",
+        "if(id % 2 = 0, 't', null) as tenant_id", *[f"0.0D as z_{d}" for d in DIMENSIONS],
+        "2.0D + pmod(xxhash64(id), 2001) / 1000.0D as composite", "false as late",
+    )
+    got = run(alert_stream(in_files(rows, f"{tmp_path}/in", 5), SMALL), f"{tmp_path}/o").select("request_id", "alert_level")
+    want = drift.with_alert_level(rows.drop("late"), SMALL).select("request_id", "alert_level")
+    assert want.groupBy("alert_level").count().count() > 1
+    assert want.exceptAll(got).count() == 0
