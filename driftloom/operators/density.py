@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.config import ClusterConfig
-from driftloom.operators.cells import Cells, distances, distinct_points, near_lists, unit, with_cores
+from driftloom.operators.cells import (
+    Cells, distances, distinct_points, lower_bounds, margin, near_lists, pair_distances, ready, small_frames, unit, with_cores,
+)
 from driftloom.operators.components import component_labels
 from driftloom.operators.timeline import ranked
-from driftloom.session import cut
+from driftloom.session import cut, release
 
 CFG = ClusterConfig()
 MIN_DISTANCE = 1e-12
@@ -123,21 +125,50 @@ def _known_edges(cells: Cells, points: DataFrame, near: DataFrame) -> DataFrame:
     return cut(close.unionAll(wheel).unionAll(hub))
 
 
-def _lightest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """For each component asked for, its lightest edge to another component among the points held."""
-    if asked.empty or held.empty:
-        return pd.DataFrame({"comp": [], "to_comp": [], "w": [], "u": [], "v": []})
-    d = reachability(
-        distances(unit(asked["vec"]), unit(held["vec"])), asked["core"].to_numpy(), held["core"].to_numpy()
-    )
-    comp, other = asked["comp"].to_numpy(), held["comp"].to_numpy()
-    d[comp[:, None] == other[None, :]] = np.inf
-    at = d.argmin(axis=1)
+LIGHTEST = "comp long, to_comp long, w double, u long, v long"
+
+
+def _lightest(
+    asked: pd.DataFrame, wave: dict, pivots: np.ndarray, radius: np.ndarray, floors: np.ndarray, owners: np.ndarray
+) -> pd.DataFrame:
+    """For each component asked for, its lightest edge below `bound` to another one in the blocks of a wave."""
+    vec, core, comp, bound = unit(asked["vec"]), *(asked[c].to_numpy() for c in ("core", "comp", "bound"))
+    single, off = vec.astype(np.float32), margin(vec.shape[1])
+    comps, code = np.unique(comp, return_inverse=True)
+    limit = bound.copy()
+    best, to = np.full(len(asked), np.inf), np.full(len(asked), -1, np.int64)
+    held = np.unique([c for c, _, _, _ in wave["spans"]])
+    low = np.maximum(np.maximum(lower_bounds(vec, held, pivots, radius), floors[held]), core[:, None])
+    for c, _, i, j in wave["spans"]:
+        rows = np.flatnonzero((low[:, np.searchsorted(held, c)] < limit) & (comp != owners[c]))
+        if not len(rows):
+            continue
+        j = i + int(np.searchsorted(wave["core"][i:j], limit[rows].max(), "left"))
+        if i == j:
+            continue
+        s = single[rows] @ wave["single"][i:j].T
+        r, at = np.nonzero(s > (1.0 - limit[rows] - off).astype(np.float32)[:, None] - np.float32(1e-7))
+        r, at = rows[r], at + i
+        open_ = (comp[r] != wave["comp"][at]) & (wave["core"][at] < limit[r])
+        r, at = r[open_], at[open_]
+        w = np.maximum(np.maximum(pair_distances(vec[r], wave["double"][at]), core[r]), wave["core"][at])
+        open_ = w < limit[r]
+        r, at, w = r[open_], at[open_], w[open_]
+        if not len(r):
+            continue
+        order = np.lexsort((wave["id"][at], w, r))
+        r, at, w = r[order], at[order], w[order]
+        first = np.flatnonzero(np.diff(r, prepend=-1))
+        r, at, w = r[first], at[first], w[first]
+        best[r], to[r] = w, at  # lighter than any found before
+        least = np.full(len(comps), np.inf)
+        np.minimum.at(least, code, np.minimum(best, limit))
+        limit = least[code]
+    found = np.flatnonzero(to >= 0)
     rows = pd.DataFrame({
-        "comp": comp, "to_comp": other[at], "w": d[np.arange(len(d)), at], "u": asked["id"].to_numpy(),
-        "v": held["id"].to_numpy()[at],
+        "comp": comp[found], "to_comp": wave["comp"][to[found]], "w": best[found], "u": asked["id"].to_numpy()[found],
+        "v": wave["id"][to[found]],
     })
-    rows = rows[rows["w"] < asked["bound"].to_numpy()]
     return rows.sort_values(["w", "u", "v"]).drop_duplicates("comp")
 
 
@@ -150,40 +181,69 @@ def spanning_edges(cells: Cells, near: DataFrame, limit: int) -> DataFrame:
     if cells.one_block:
         return points.groupBy().applyInPandas(_tree_of_block, EDGE)
     known = _known_edges(cells, points, near)
-    comps = points.select("id", F.col("id").alias("comp"))
-    chosen = None
+    comps = cut(points.select("id", F.col("id").alias("comp")))
+    chosen, old = None, []
     while True:
+        before = known
         for side in ("u", "v"):
             to = comps.select(F.col("id").alias(side), F.col("comp").alias(f"{side}_comp"))
             known = known.drop(f"{side}_comp").join(to, side)
         known = cut(known.select("u", "v", "w", "u_comp", "v_comp").filter("u_comp <> v_comp"))
+        release(before, *old)
         if known.isEmpty():
+            release(points, comps)
             return chosen if chosen is not None else cells.spark.createDataFrame([], EDGE)
         sides = known.select(F.col("u_comp").alias("comp"), F.col("v_comp").alias("to_comp"), "w", "u", "v").unionAll(
             known.select(F.col("v_comp").alias("comp"), F.col("u_comp").alias("to_comp"), "w", F.col("v").alias("u"), F.col("u").alias("v"))
         )
         edge = F.struct("w", "u", "v", "to_comp")
-        bounds = sides.groupBy("comp").agg(F.min(edge).alias("e"))
-        now = cut(points.join(comps, "id"))
+        now = cut(points.join(comps, "id").select("id", "vec", "core", "comp", "cell", "block"))
+        # every other component finds its lightest edge; the largest one waits to be found
+        largest = now.groupBy("comp").count().orderBy(F.desc("count"), "comp").first()["comp"]
+        bounds = cut(sides.filter(F.col("comp") != largest).groupBy("comp").agg(F.min(edge).alias("e")))
         floors, owners = np.full(len(cells.radius), np.inf), np.full(len(cells.radius), -1, np.int64)
         for r in now.groupBy("cell").agg(F.min("core").alias("f"), F.min("comp").alias("a"), F.max("comp").alias("b")).collect():
             floors[r["cell"]] = r["f"]
             if r["a"] == r["b"]:
                 owners[r["cell"]] = r["a"]
-        asking = now.join(bounds.select("comp", F.col("e.w").alias("bound")), "comp").filter("core < bound")
-        found = cells.search(
-            cells.routed(asking.select("id", "vec", "cell", "block", "core", "comp", "bound"), floors, owners),
-            now.select("id", "vec", "core", "comp", "cell", "block"), _lightest,
-            "comp long, to_comp long, w double, u long, v long",
-        )
+        asking = cut(now.join(bounds.select("comp", F.col("e.w").alias("bound")), "comp").filter("core < bound"))
+        found = _lightest_edges(cells, now, asking, floors, owners)
         best = cut(
             bounds.unionAll(found.select("comp", edge.alias("e"))).groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*")
         )
-        joins = best.select("u", "v", "w")
-        chosen = joins if chosen is None else cut(chosen.unionAll(joins))
         labels = component_labels(best.select(F.col("comp").alias("u"), F.col("to_comp").alias("v")), limit)
         labels = labels.select(F.col("id").alias("comp"), "root")
-        comps = cut(comps.join(labels, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        comps, old = cut(comps.join(labels, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))), [comps, labels]
+        joins = best.select("u", "v", "w")
+        if chosen is None:
+            chosen = joins
+        else:
+            old += [chosen, best]
+            chosen = cut(chosen.unionAll(joins))
+        release(now, asking, bounds, found)
+
+
+def _lightest_edges(cells: Cells, now: DataFrame, asking: DataFrame, floors: np.ndarray, owners: np.ndarray) -> DataFrame:
+    """Edges found for the points `asking`, wave after wave; at most one for each component and frame."""
+    pivots, radius = cells.pivots, cells.radius
+    if asking.isEmpty():
+        return cells.spark.createDataFrame([], LIGHTEST)
+    found = None
+    for shared in cells.waves(now.select("id", "vec", "core", "comp", "cell", "block"), "core"):
+
+        def passed(frames, shared=shared):
+            wave = ready(shared.value)
+            for pdf in small_frames(frames):
+                yield _lightest(pdf, wave, pivots, radius, floors, owners)
+
+        more = asking.select("id", "vec", "core", "comp", "bound").mapInPandas(passed, LIGHTEST)
+        edge = F.struct("w", "u", "v", "to_comp")
+        every = more if found is None else more.unionByName(found)
+        now_found = cut(every.groupBy("comp").agg(F.min(edge).alias("e")).select("comp", "e.to_comp", "e.w", "e.u", "e.v"))
+        if found is not None:
+            release(found)
+        found = now_found
+    return found
 
 
 def merge_edges(edges: pd.DataFrame, m: int) -> pd.DataFrame:
@@ -393,11 +453,13 @@ def tree_edges(points: DataFrame, cfg: ClusterConfig = CFG) -> DataFrame:
     copies = points.join(named, "vec").filter("id <> u").join(near.select(F.col("id").alias("u"), "core"), "u")
     copies = copies.select("u", F.col("id").alias("v"), F.col("core").alias("w"))
     edges = tree.unionAll(copies)
-    return cut(
+    edges = cut(
         edges.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(
             F.greatest(F.min("w"), F.lit(MIN_DISTANCE)).alias("w")
         )
     )
+    release(cells.points, near, tree)
+    return edges
 
 
 def density_clusters(

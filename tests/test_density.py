@@ -143,3 +143,37 @@ def test_near_lists_do_not_grow_with_the_cells(spark):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = np.sort(np.round(np.clip(1 - u @ u.T, 0, 2), 9), axis=1)[:, 3]
     assert [r.core for r in sorted(near)] == pytest.approx(want.tolist(), abs=2e-9)
+
+
+def test_no_pair_of_point_and_cell_is_written(spark, monkeypatch):
+    """Vectors without structure look at every cell, wave after wave; tables have a few rows a point."""
+    import driftloom.operators.cells as cells
+    import driftloom.operators.density as density_module
+
+    sizes, cut = [], cells.cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    v = np.random.default_rng(5).normal(size=(300, 24))
+    full = joining_weights(tree_edges(frame(spark, v), ClusterConfig()).collect())
+    monkeypatch.setattr(cells, "cut", counted)
+    monkeypatch.setattr(density_module, "cut", counted)
+    monkeypatch.setattr(cells, "WAVE_BYTES", 1, raising=False)
+    got = joining_weights(tree_edges(frame(spark, v), ClusterConfig(block_points=20)).collect())
+    assert got == pytest.approx(full, abs=0)
+    assert max(sizes) <= 6 * len(v)
+
+
+def test_superseded_tables_are_released(spark):
+    from driftloom.session import release, stage
+
+    table = stage(spark.range(5), "stage")
+    files = table.inputFiles()
+    release(table)
+    fs = spark._jvm.org.apache.hadoop.fs
+    assert files and not any(
+        fs.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs.Path(f)) for f in files
+    )
