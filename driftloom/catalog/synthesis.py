@@ -23,7 +23,8 @@ DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 def failures(spark, sf):
     """Embedded failures: vectors with the document of the same id; label 9 counts as noise."""
     e = table(spark, sf, "embeddings")
-    d = table(spark, sf, "documents").withColumnRenamed("doc_id", "vec_id")
+    # the join deals the texts out; there is no need to do so before
+    d = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("doc_id", "vec_id")
     return e.join(d, "vec_id").select(
         "vec_id", F.col("vec_id").cast("string").alias("request_id"),
         F.col("text").alias("prompt"), F.concat_ws(" ", "source", "lang").alias("response"),

@@ -16,7 +16,7 @@ from driftloom.functions.text import JUDGE_DIMENSIONS, STOP_WORDS, passes_judge
 from driftloom.functions.vectors import euclidean
 from driftloom.operators.density import density_clusters
 from driftloom.operators.timeline import ranked
-from driftloom.session import broadcast_if_small, cut, stage
+from driftloom.session import broadcast_if_small, cut, release, stage
 from driftloom.sources.datasets import write_training_sets
 
 CFG = SynthesisConfig()
@@ -113,13 +113,24 @@ def descriptions(
     )
 
 
-def cluster_table(labelled: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+#: Samples of clusters that are broadcast to the rows whose texts they name.
+BROADCAST_SAMPLES = 200_000
+
+
+def cluster_table(
+    labelled: DataFrame, scores: DataFrame | None = None, texts: DataFrame | None = None
+) -> DataFrame:
     """One row per cluster: size, persistence, centroid, samples, description; most stable first.
 
-    `labelled` has request_id, prompt, response, mean_logprob, embedding, cluster_id.
+    `labelled` has request_id, prompt, response, mean_logprob, embedding, cluster_id. With `texts`, prompt,
+    response and mean_logprob are there instead, by `_row`, and only those of samples are fetched.
     """
     members, _ = split_noise(labelled)
     reps = representatives(members)
+    if texts is not None:
+        named = stage(reps.drop("embedding"), "samples")
+        texts = texts.select("_row", "prompt", "response", "mean_logprob")
+        reps = stage(texts.join(broadcast_if_small(named, BROADCAST_SAMPLES), "_row"), "samples")
     samples = reps.groupBy("cluster_id").agg(
         F.array_sort(
             F.collect_list(F.struct("rank", "request_id", "prompt", "response", "mean_logprob"))
@@ -167,14 +178,19 @@ def find_clusters(
 ) -> tuple[DataFrame, DataFrame]:
     """(cluster table, noise) of embedded failures, through density clustering.
 
-    Ids are numbered first, in id order, so that any id type can be clustered.
+    Ids are numbered first, in id order, so that any id type can be clustered. Texts are written once and
+    wait there until the samples are known.
     """
-    spread = embedded.withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)))
+    rows = stage(embedded.withColumn("_row", F.monotonically_increasing_id()), "failures")
+    spread = rows.select("_row", id_col, "embedding").withColumn("_h", F.pmod(F.xxhash64(id_col), F.lit(1_000_000)))
     numbered = cut(ranked(spread, [], ["_h", id_col], "_h", 100_000, "_id").drop("_h"))
     labels, scores = density_clusters(numbered, "_id", "embedding", cfg)
-    labelled = numbered.join(labels.withColumnRenamed("id", "_id"), "_id").drop("_id")
-    table = keep_stable(cluster_table(labelled, scores), cfg.min_persistence)
-    return table, split_noise(labelled)[1]
+    labelled = cut(numbered.join(labels.withColumnRenamed("id", "_id"), "_id").drop("_id"))
+    scores = cut(scores)
+    release(numbered)
+    table = keep_stable(cluster_table(labelled, scores, rows), cfg.min_persistence)
+    noise = split_noise(labelled)[1].select("_row", "cluster_id")
+    return table, rows.join(noise, "_row").drop("_row")
 
 
 def synthetic_pairs(
