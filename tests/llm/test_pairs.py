@@ -248,3 +248,18 @@ def test_line_distance_without_shared_ends(spark):
     df = spark.createDataFrame([(100 * i + most, i, a, b, most) for i, _, a, b, most in rows], "u long, v long, a string, b string, most int")
     want = {r["u"] for r in df.where("levenshtein(a, b) <= most").collect()}
     assert {r["u"] for r in lines._within(df).collect()} == want and 0 < len(want) < len(rows)
+
+
+def test_simhash_votes(spark):
+    """Bits are set where most words have them, ties are not; votes are counted without a branch for each bit."""
+    rng = np.random.default_rng(4)
+    texts = ["a", "a a b", "a b", *[" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in rng.integers(1, 40, 60)]]
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, line string")
+    hashes = lines.simhashes(nodes)
+    names = nodes.select(F.explode(F.split("line", " ")).alias("w")).distinct()
+    of = {r["w"]: r["x"] & (1 << 64) - 1 for r in names.select("w", F.xxhash64("w").alias("x")).collect()}
+    for r in hashes.collect():
+        words_of = texts[r["id"]].split(" ")
+        want = sum(1 << j for j in range(64) if 2 * sum(of[w] >> j & 1 for w in words_of) > len(words_of))
+        assert r["h"] & (1 << 64) - 1 == want and r["len"] == len(texts[r["id"]])
+    assert "CASE" not in hashes._jdf.queryExecution().optimizedPlan().toString()
